@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ostinato.runtime import ship_package, table
+from ostinato.runtime import persist_table, shared_path, ship_package, table
+
+
+OP7_SQL = """
+with rows as (
+    select page_id, coalesce(html, '') body, cast(strlen(coalesce(html, '')) as bigint) payload_bytes,
+           sha256(coalesce(html, '')) payload_digest
+    from pages),
+firsts as (select payload_digest, min(page_id) first_id from rows where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when first_id <> page_id then 'revisit' else 'response' end record_type,
+       case when first_id <> page_id then first_id end refers_to
+from rows left join firsts using (payload_digest)
+"""
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +31,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), "doc_id", "text", str(path), public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.warc_archive import archive_report, build_index, write_archives
+
+    path = shared_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    index = persist_table(build_index(spark, path), "warc-index")
+    return archive_report(index, "page_id", "bigint")
+
+
 def _ready(query: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -27,8 +49,8 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op4_byte_bpe,)}
+    return {q.__name__: _ready(q) for q in (op4_byte_bpe, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
