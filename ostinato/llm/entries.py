@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ostinato.runtime import persist_table, shared_path, ship_package, table
 
@@ -31,6 +32,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), "doc_id", "text", str(path), public_tokenizers.PATTERN)
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.shard_balance import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"), "doc_id", "text", 16).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ostinato.llm.warc_archive import archive_report, build_index, write_archives
 
@@ -61,7 +76,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op4_byte_bpe, op7_warc, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op4_byte_bpe, op6_shards, op7_warc, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
