@@ -23,6 +23,12 @@ from rows left join firsts using (payload_digest)
 """
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.vector_links import vector_links
+
+    return vector_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +82,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op4_byte_bpe, op6_shards, op7_warc, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
