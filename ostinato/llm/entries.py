@@ -74,6 +74,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(index, "page_id", "bigint")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.shingle_join import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,7 +101,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
