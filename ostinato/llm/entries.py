@@ -80,6 +80,13 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.toxic_terms import learn, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,7 +108,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
