@@ -23,6 +23,12 @@ from rows left join firsts using (payload_digest)
 """
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.line_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -108,7 +114,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op9_toxicity, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op1_line_dedup, op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
