@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -307,24 +308,32 @@ def logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float
     return beta
 
 
-def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, held_out, score and predicted."""
+def score_of(text: F.Column, model: Model) -> F.Column:
+    """The score of a text column; nothing but that column is sent to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(model.words, model.stems)
         beta = np.array(model.coefficients)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                made = np.array([features(x.as_py(), lexicon, model.weights) for x in part.column(1)])
-                z = np.clip(beta[0] + (made * beta[1:]).sum(axis=1), -30, 30)
-                yield pa.record_batch([part.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["key", "score"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
+        for texts in batches:
+            made = np.array([features(x, lexicon, model.weights) for x in texts]).reshape(len(texts), len(beta) - 1)
+            z = np.clip(beta[0] + (made * beta[1:]).sum(axis=1), -30, 30)
+            yield pd.Series(1 / (1 + np.exp(-z)))
+
+    return score(F.coalesce(text, F.lit("")))
+
+
+def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, held_out, score and predicted."""
+    scored = docs.select(F.col(key).alias("key"), score_of(F.col(text), model).alias("score"))
     return scored.select(
         F.col("key").alias(key),
         F.coalesce(F.pmod(F.crc32(F.col("key").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that the model doesn't predict to be toxic."""
+    return docs.where(score_of(F.col(text), model) < THRESHOLD)
