@@ -57,6 +57,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), "doc_id", "text", str(path), public_tokenizers.PATTERN)
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ostinato.llm.image_links import image_groups, rendered_media
+
+    # no table holds images; each row of embeddings is drawn as one, every fifth as an edited copy of the one before
+    images = persist_table(rendered_media(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "media")
+    return image_groups(images, "vec_id")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ostinato.llm.shard_balance import balanced_shards
 
@@ -114,7 +122,7 @@ def _ready(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in (op1_line_dedup, op2_packing, op3_vectors, op4_byte_bpe, op6_shards, op7_warc, op8_ngram_join, op9_toxicity, op10_chat)}
+    return {q.__name__: _ready(q) for q in (op1_line_dedup, op2_packing, op3_vectors, op4_byte_bpe, op5_image_copies, op6_shards, op7_warc, op8_ngram_join, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
