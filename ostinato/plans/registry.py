@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from ostinato.plans import catalog, evaluation, harmony, projections
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLE)
+
+
+MODULES = (evaluation, harmony, projections)
