@@ -7,10 +7,10 @@ set are one class, and a class is compared once.
 
 Candidates of a shared prefix n-gram pass a length, a positional and a suffix filter, and each surviving pair is verified
 once, on the words themselves. A crowd of similar texts shares its prefix n-grams and would be all pairs; so pairs
-come in rounds. First, along each n-gram's list in order of set size, a text is paired with the first one still near enough in size
-and with its neighbour, which is linear in the list. Verified pairs give components. Then lists whose members all are in one
-component are done, and in the others only pairs across components are left: a link inside a component changes
-nothing. The result is the exact components of the link relation.
+come in rounds. In a list of an n-gram in order of set size, a text is paired with the first one still near enough in size
+and with its neighbour, which is linear in the list: first in each text's longest list only, then in all. Verified pairs give
+components; lists whose members all are in one component are done. Last, all pairs across components in the lists left are
+tested: a link inside a component changes nothing. The result is the exact components of the link relation.
 
 Defined results: words are runs without white space (\\x20 and \\x09 to \\x0D), A-Z in lower case; a text with fewer words
 than the n-gram size has its whole sequence as its only member; null, empty and blank texts have empty sets and link
@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from ostinato.llm.components import connected_components
 from ostinato.llm.text_arrays import byte_table, mix, set_hashes, shingle_hashes, slices, span_hashes, words
 from ostinato.runtime import partitions, persist_table
 
-#: Counters for n-gram frequencies. A counter's share of all n-grams is the frequency it can tell, whatever the input's size.
-BUCKETS = 1 << 18
+#: Counters for n-gram frequencies (16 MB), and the segments they are summed in. What tells a frequent n-gram from the
+#: chance load of its counter gets clearer as the input grows, as the load's spread grows with its root only.
+BUCKETS, SEGMENTS = 1 << 22, 256
 #: Parts that the suffix filter cuts a set into, by fixed pivots of the hash.
 PIVOTS = 16
 SIZE, PERCENT = 3, 90
@@ -52,21 +54,38 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Occurrences of n-grams (once per text) by counter, over all texts; BUCKETS numbers reach the driver."""
+    """Occurrences of n-grams (once per text) by counter, over all texts; BUCKETS numbers reach the driver.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+    A task sends each segment of its counters compressed; segments are summed as they stream by.
+    """
+    width = BUCKETS // SEGMENTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
             for _, _, hashes, _, _ in text_sets(batch.column(0), size):
-                total += np.bincount(counter_of(hashes), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["c", "n"])
-
-    found = docs.select(text).mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    out[found["c"].to_numpy()] = found["n"].to_numpy()
+                np.add.at(total, counter_of(hashes), 1)
+        yield from packed({k: total[k * width : (k + 1) * width] for k in range(SEGMENTS)})
+
+    def packed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, own in sums.items():
+            if own.any():
+                data = zlib.compress(own.astype("<u4").tobytes(), 1)
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["segment", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(data), dtype="<u4")
+                sums[k] = own + sums[k] if k in sums else own
+        yield from packed(sums)
+
+    schema = "segment int, data binary"
+    parts = docs.select(text).mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "segment")
+    out = np.zeros(BUCKETS, dtype=np.uint32)
+    for row in parts.mapInArrow(add, schema).collect():  # SEGMENTS rows
+        out[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), dtype="<u4")
     return out
 
 
@@ -125,13 +144,13 @@ def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Linear candidates of each n-gram's list in order of (n, key): neighbours, and each one with the first of its run, a run
     being cut where its first one is too small for the next. One streaming pass over sorted partitions, a few rows held."""
     n_parts = partitions(entries.sparkSession)
-    ordered = entries.repartition(n_parts, "gram").sortWithinPartitions("gram", "n", "key").select("gram", "n", "pos", "key")
+    ordered = entries.repartition(n_parts, "gram").sortWithinPartitions("gram", "n", "key").select("gram", "n", "pos", "key", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # gram, n, pos, key of the row before, and of its run's first
+        last = None  # gram, n, pos, key and component of the row before; the run's first likewise
         hub = None
         for batch in batches:
-            gram, n, pos, key = (batch.column(k).to_numpy() for k in range(4))
+            gram, n, pos, key, comp = (batch.column(k).to_numpy() for k in range(5))
             out: list[tuple[int, int]] = []
             same = np.empty(len(gram), dtype=bool)
             if not len(gram):
@@ -140,16 +159,18 @@ def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
             same[0] = last is not None and last[0] == gram[0]
             joins = np.flatnonzero(same)
             for k in joins.tolist():
-                mine = (int(n[k]), int(pos[k]), int(key[k]))
+                mine = (int(n[k]), int(pos[k]), int(key[k]), int(comp[k]))
                 if k == 0 or not same[k - 1]:
-                    before = last[1:] if k == 0 else (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]))
+                    before = last[1:] if k == 0 else (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]), int(comp[k - 1]))
                     if k or hub is None:
                         hub = before
                 else:
-                    before = (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]))
+                    before = (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]), int(comp[k - 1]))
                 if hub[0] * 100 < mine[0] * percent:
                     hub = before
                 for other in {hub, before}:
+                    if other[3] == mine[3]:
+                        continue
                     small, large = other[0], mine[0]
                     most = min(other[1], mine[1]) + min(small - other[1], large - mine[1])
                     if small * 100 >= large * percent and most * (100 + percent) >= percent * (small + large):
@@ -157,7 +178,7 @@ def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
                         out.append((a, b) if a < b else (b, a))
             if not same[-1]:
                 hub = None
-            last = (int(gram[-1]), int(n[-1]), int(pos[-1]), int(key[-1]))
+            last = (int(gram[-1]), int(n[-1]), int(pos[-1]), int(key[-1]), int(comp[-1]))
             pairs = np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -228,25 +249,34 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
     classes = persist_table(class_of, "set-classes")
     sets = classes.select(F.col("rep").alias("key"), "n", "pivots")
     every = classes.select(F.col("rep").alias("key"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = every.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
-    entries = persist_table(every.join(shared, "gram"), "prefixes")
+    shared = every.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
+    entries = persist_table(every.join(shared, "gram").withColumn("comp", F.col("key")), "prefixes")
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
-    first = verified(_suffix_filter(_hub_pairs(entries, percent), sets, percent), texts, size, percent)
-    links = persist_table(first, "links")
-    component = connected_components(links, "a", "b")
-    placed = entries.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    placed = persist_table(placed, "prefixes")
-    open_grams = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    left = persist_table(placed.join(open_grams, "gram"), "prefixes")
+    def tested(pairs: DataFrame) -> DataFrame:
+        return verified(_suffix_filter(pairs, sets, percent), texts, size, percent)
+
+    def opened(links: DataFrame, last: DataFrame) -> DataFrame:
+        """Entries with their components, of n-grams whose lists still hold several components."""
+        component = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "now"})
+        placed = last.join(component, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+        placed = persist_table(placed, "prefixes")
+        still = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+        return persist_table(placed.join(still, "gram"), "prefixes")
+
+    # each text's n-gram of the longest list: a crowd meets at one hub
+    top = entries.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
+    links = persist_table(tested(_hub_pairs(top.select("key", "t.*"), percent)), "links")
+    left = opened(links, entries)
+    links = persist_table(tested(_hub_pairs(left, percent)).unionAll(links), "links")
+    left = opened(links, left)
     across = (
         left.alias("x")
         .join(left.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & near_enough("x", "y", percent))
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         .distinct()
     )
-    second = verified(_suffix_filter(across, sets, percent), texts, size, percent)
-    all_links = persist_table(second.unionAll(links), "links")
+    all_links = persist_table(tested(across).unionAll(links), "links")
     final = connected_components(all_links, "a", "b")
     told = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "sig1", "sig2", F.coalesce("component", "rep").alias("component")

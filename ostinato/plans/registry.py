@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ostinato.plans import beats, catalog, evaluation, harmony, projections
+from ostinato.plans import beats, catalog, evaluation, hand_queries, harmony, notation_queries, projections
 
 
 def queries() -> dict:
@@ -13,4 +13,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(catalog.ORACLE)
 
 
-MODULES = (beats, evaluation, harmony, projections)
+MODULES = (beats, evaluation, hand_queries, harmony, notation_queries, projections)
