@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from ostinato.plans import beats, catalog, evaluation, hand_queries, harmony, layout_queries, notation_queries, projections, track_queries
+from ostinato.plans import (
+    beats,
+    catalog,
+    evaluation,
+    fold_queries,
+    hand_queries,
+    harmony,
+    layout_queries,
+    notation_queries,
+    projections,
+    stream_queries,
+    track_queries,
+)
 
 
 def queries() -> dict:
@@ -13,4 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(catalog.ORACLE)
 
 
-MODULES = (beats, evaluation, hand_queries, harmony, layout_queries, notation_queries, projections, track_queries)
+MODULES = (
+    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, stream_queries, track_queries,
+)
