@@ -14,6 +14,7 @@ from ostinato.plans import (
     projections,
     stream_queries,
     track_queries,
+    vision_queries,
 )
 
 
@@ -26,5 +27,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 MODULES = (
-    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, stream_queries, track_queries,
+    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, stream_queries, track_queries, vision_queries,
 )
