@@ -15,6 +15,7 @@ from ostinato.plans import (
     stream_queries,
     track_queries,
     vision_queries,
+    written_queries,
 )
 
 
@@ -27,5 +28,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 MODULES = (
-    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, stream_queries, track_queries, vision_queries,
+    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, stream_queries, track_queries, vision_queries, written_queries,
 )
