@@ -61,8 +61,7 @@ def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ostinato.llm.image_links import image_groups, rendered_media
 
     # no table holds images; each row of embeddings is drawn as one, every fifth as an edited copy of the one before
-    images = persist_table(rendered_media(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "media")
-    return image_groups(images, "vec_id")
+    return image_groups(rendered_media(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id")
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
