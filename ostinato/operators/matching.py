@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,22 +36,44 @@ def mutual_nearest(pairs: DataFrame) -> DataFrame:
     return ranked.where("_r = 1 and _e = 1").drop("_r", "_e")
 
 
+_MATCH = "clip_id long, pitch long, ref_id long, est_id long, error double"
+
+
+def _by_lane(pairs: DataFrame, solve: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """Runs ``solve`` on each clip and pitch's candidates (ref_onset, ref_id, error, est_id), sorted; it returns those it takes.
+
+    Lanes are small and many, so they are dealt by a hash and several are looped over in one call.
+    """
+    n = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["clip_id", "pitch", "ref_onset", "ref_id", "error", "est_id"]
+    dealt = pairs.select(F.pmod(F.xxhash64("clip_id", "pitch"), F.lit(n)).alias("_deal"), *columns)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(own[columns].itertuples(index=False, name=None))
+        out = [(*lane, x[1], x[3], x[2]) for lane, part in groupby(rows, key=lambda r: r[:2]) for x in solve([r[2:] for r in part])]
+        return pd.DataFrame(out, columns=["clip_id", "pitch", "ref_id", "est_id", "error"])
+
+    return dealt.groupBy("_deal").applyInPandas(run, _MATCH)
+
+
 def maximum_matching(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs, as many as there can be, by augmenting paths over candidates nearest first.
 
     Decomposes by clip and pitch. Returns clip_id, pitch, ref_id, est_id, error.
     """
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ref_onset", "ref_id", "error", "est_id"], kind="stable")
-        wants = own.groupby("ref_id", sort=False)["est_id"].apply(list).to_dict()
-        holder: dict[int, int] = {}
+    def solve(rows: list[tuple]) -> list[tuple]:
+        wants: dict[int, list[int]] = {}
+        for _, ref, _, est in rows:
+            wants.setdefault(ref, []).append(est)
+        holder: dict[int, int] = {}  # of an estimate
+        held: dict[int, int] = {}  # by a true note
         for ref in wants:
             # breadth-first search for an augmenting path, so deep chains need no recursion
             came: dict[int, int] = {}
-            queue, end = [ref], None
+            queue, end = deque([ref]), None
             while queue and end is None:
-                now = queue.pop(0)
+                now = queue.popleft()
                 for est in wants[now]:
                     if est in came:
                         continue
@@ -58,29 +84,27 @@ def maximum_matching(pairs: DataFrame) -> DataFrame:
                     queue.append(holder[est])
             while end is not None:
                 now = came[end]
-                before = next((e for e, r in holder.items() if r == now), None)
-                holder[end] = now
-                end = before if now != ref else None
-        kept = pd.DataFrame({"est_id": list(holder), "ref_id": list(holder.values())}, dtype="int64")
-        return own.merge(kept, on=["est_id", "ref_id"])[["clip_id", "pitch", "ref_id", "est_id", "error"]]
+                before = held.get(now)
+                holder[end], held[now] = now, end
+                end = before
+        return [x for x in rows if held.get(x[1]) == x[3]]
 
-    return pairs.groupBy("clip_id", "pitch").applyInPandas(solve, "clip_id long, pitch long, ref_id long, est_id long, error double")
+    return _by_lane(pairs, solve)
 
 
 def greedy_in_order(truth: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """For true notes in order, the nearest estimate of that pitch not taken yet; a taken one is gone."""
-    pairs = candidates(truth, found, tolerance)
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: list[tuple]) -> list[tuple]:
         taken: set[int] = set()
-        out = []
-        for row in own.sort_values(["ref_onset", "ref_id", "error", "est_id"], kind="stable").itertuples():
-            if row.est_id not in taken and (not out or out[-1].ref_id != row.ref_id):
-                taken.add(row.est_id)
+        out: list[tuple] = []
+        for row in rows:
+            if row[3] not in taken and (not out or out[-1][1] != row[1]):
+                taken.add(row[3])
                 out.append(row)
-        return pd.DataFrame([(x.clip_id, x.pitch, x.ref_id, x.est_id, x.error) for x in out], columns=["clip_id", "pitch", "ref_id", "est_id", "error"])
+        return out
 
-    return pairs.groupBy("clip_id", "pitch").applyInPandas(solve, "clip_id long, pitch long, ref_id long, est_id long, error double")
+    return _by_lane(candidates(truth, found, tolerance), solve)
 
 
 def ratio(a: F.Column, b: F.Column) -> F.Column:
