@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ostinato.runtime import ship_package
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -15,7 +20,13 @@ def query(sql: str | None = None) -> Callable:
         name = function.__name__
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = function
+
+        @wraps(function)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql:
             ORACLE[name] = sql
         return function
