@@ -153,14 +153,13 @@ def align(page: list[int], played: list[int]) -> tuple[float, list[tuple[int, in
 def ordered_alignment(page: DataFrame, played: DataFrame) -> DataFrame:
     """Pairs of a printed page's notes with what was played, in order, clip by clip. Both: clip_id, note_id, onset, pitch."""
 
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["clip_id", "page_id", "played_id", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        left, right = (x.sort_values(["onset", "pitch", "note_id"], kind="stable").reset_index(drop=True) for x in (left, right))
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["onset", "pitch", "note_id"], kind="stable")
+        left, right = (own[own["side"] == k].reset_index(drop=True) for k in (0, 1))
         total, pairs = align(left["pitch"].tolist(), right["pitch"].tolist())
-        rows = [(left["clip_id"][0], left["note_id"][i], right["note_id"][j], total) for i, j in pairs]
-        return pd.DataFrame(rows, columns=names)
+        rows = [(own["clip_id"].iloc[0], left["note_id"][i], right["note_id"][j], total) for i, j in pairs]
+        return pd.DataFrame(rows, columns=["clip_id", "page_id", "played_id", "score"])
 
-    cut = lambda d: d.select("clip_id", "note_id", "onset", "pitch").groupBy("clip_id")
-    return cut(page).cogroup(cut(played)).applyInPandas(solve, "clip_id long, page_id long, played_id long, score double")
+    sided = lambda d, k: d.select("clip_id", "note_id", "onset", "pitch", F.lit(k).alias("side"))
+    both = sided(page, 0).unionAll(sided(played, 1))
+    return both.groupBy("clip_id").applyInPandas(solve, "clip_id long, page_id long, played_id long, score double")
