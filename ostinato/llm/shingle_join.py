@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.components import connected_components
+from ostinato.llm.key_filter import marked
 from ostinato.llm.text_arrays import byte_table, mix, set_hashes, shingle_hashes, slices, span_hashes, words
 from ostinato.runtime import partitions, persist_table
 
 #: Counters for n-gram frequencies (16 MB), and the segments they are summed in. What tells a frequent n-gram from the
 #: chance load of its counter gets clearer as the input grows, as the load's spread grows with its root only.
 BUCKETS, SEGMENTS = 1 << 22, 256
-#: Parts that the suffix filter cuts a set into, by fixed pivots of the hash.
-PIVOTS = 16
+#: Parts that the suffix filter cuts the hashes of a set into; a set is told by the parity of each part's count, 128 bytes.
+PARTS = 1024
 SIZE, PERCENT = 3, 90
 
 
@@ -90,7 +91,7 @@ def gram_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def set_features(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Per row with a set: key, n, signature (two hashes of the set), prefix (hashes, rarest first) and pivot counts."""
+    """Per row with a set: key, n, signature (two hashes of the set), prefix (hashes, rarest first) and parities."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(docs, text, size))
 
@@ -106,8 +107,9 @@ def set_features(docs: DataFrame, key: str, text: str, size: int, percent: int)
                 prefix = hashes[order][place < keep[rows]]
                 ends = np.concatenate([[0], np.cumsum(keep[full])])
                 sums = [np.add.reduceat(mix(hashes ^ np.uint64(salt)), bounds[full]) if len(full) else np.zeros(0, np.uint64) for salt in (1, 2)]
-                pivot = np.zeros((len(n), PIVOTS), dtype=np.int32)
-                np.add.at(pivot, (rows, (hashes & np.uint64(PIVOTS - 1)).astype(np.int64)), 1)
+                parts = np.zeros((len(n), PARTS), dtype=np.uint8)
+                np.add.at(parts, (rows, (hashes & np.uint64(PARTS - 1)).astype(np.int64)), 1)
+                parity = np.packbits(parts[full] & 1, axis=1).view(np.int64)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, end - first).take(pa.array(full)),
@@ -116,13 +118,13 @@ def set_features(docs: DataFrame, key: str, text: str, size: int, percent: int)
                         pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64))),
                         pa.ListArray.from_arrays(
-                            pa.array((np.arange(len(full) + 1) * PIVOTS).astype(np.int32)), pa.array(pivot[full].ravel())
+                            pa.array((np.arange(len(full) + 1) * (PARTS // 64)).astype(np.int32)), pa.array(parity.ravel())
                         ),
                     ],
-                    names=["key", "n", "sig1", "sig2", "prefix", "pivots"],
+                    names=["key", "n", "sig1", "sig2", "prefix", "parity"],
                 )
 
-    schema = "key long, n long, sig1 long, sig2 long, prefix array<long>, pivots array<int>"
+    schema = "key long, n long, sig1 long, sig2 long, prefix array<long>, parity array<long>"
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -140,60 +142,77 @@ def near_enough(a: str, b: str, percent: int) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= needed(n, m, percent))
 
 
+def few_apart(a: str, b: str, percent: int) -> F.Column:
+    """Suffix filter for two sets (n, parity): each member of one set only turns one part's parity, so the sets differ in at
+    least as many members as parts."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.aggregate(
+        F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    return apart <= n + m - 2 * needed(n, m, percent)
+
+
+def _shared(every: DataFrame) -> DataFrame:
+    """Entries of n-grams that more than one text holds, from one streaming pass over sorted partitions: most n-grams occur
+    once and go no further."""
+    columns = ["gram", "n", "pos", "key"]
+    ordered = every.select(columns).repartition(partitions(every.sparkSession), "gram").sortWithinPartitions("gram")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, whose list may go on
+        known = False  # whether the row before that one is in its list
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            gram = rows.column(0).to_numpy()
+            like_next = gram[:-1] == gram[1:]
+            shared = like_next | np.concatenate([[known], like_next[:-1]]) if len(like_next) else like_next
+            yield rows.slice(0, len(gram) - 1).filter(pa.array(shared))
+            known = bool(like_next[-1]) if len(like_next) else known
+            held = rows.slice(len(gram) - 1)
+        if held is not None and known:
+            yield held
+
+    return ordered.mapInArrow(run, "gram long, n long, pos int, key long")
+
+
 def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Linear candidates of each n-gram's list in order of (n, key): neighbours, and each one with the first of its run, a run
-    being cut where its first one is too small for the next. One streaming pass over sorted partitions, a few rows held."""
+    being cut where its first one is too small for the next. One streaming pass over sorted partitions, two rows held."""
     n_parts = partitions(entries.sparkSession)
-    ordered = entries.repartition(n_parts, "gram").sortWithinPartitions("gram", "n", "key").select("gram", "n", "pos", "key", "comp")
+    columns = ("gram", "n", "pos", "key", "comp")
+    ordered = entries.repartition(n_parts, "gram").sortWithinPartitions("gram", "n", "key").select(*columns)
+
+    def passes(x: tuple, y: tuple) -> bool:
+        """x is the smaller set. Rows are (gram, n, pos, key, comp)."""
+        n, m = x[1], y[1]
+        if x[4] == y[4] or n * 100 < m * percent:
+            return False
+        least = -(-percent * (n + m) // (100 + percent))
+        most = min(x[2], y[2]) + min(n - x[2], m - y[2])
+        return most >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # gram, n, pos, key and component of the row before; the run's first likewise
-        hub = None
+        before = hub = None
         for batch in batches:
-            gram, n, pos, key, comp = (batch.column(k).to_numpy() for k in range(5))
-            out: list[tuple[int, int]] = []
-            same = np.empty(len(gram), dtype=bool)
-            if not len(gram):
-                continue
-            same[1:] = gram[1:] == gram[:-1]
-            same[0] = last is not None and last[0] == gram[0]
-            joins = np.flatnonzero(same)
-            for k in joins.tolist():
-                mine = (int(n[k]), int(pos[k]), int(key[k]), int(comp[k]))
-                if k == 0 or not same[k - 1]:
-                    before = last[1:] if k == 0 else (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]), int(comp[k - 1]))
-                    if k or hub is None:
-                        hub = before
-                else:
-                    before = (int(n[k - 1]), int(pos[k - 1]), int(key[k - 1]), int(comp[k - 1]))
-                if hub[0] * 100 < mine[0] * percent:
+            out: set[tuple[int, int]] = set()
+            for now in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if before is None or before[0] != now[0]:
+                    before = hub = now
+                    continue
+                if hub[1] * 100 < now[1] * percent:
                     hub = before
-                for other in {hub, before}:
-                    if other[3] == mine[3]:
-                        continue
-                    small, large = other[0], mine[0]
-                    most = min(other[1], mine[1]) + min(small - other[1], large - mine[1])
-                    if small * 100 >= large * percent and most * (100 + percent) >= percent * (small + large):
-                        a, b = other[2], mine[2]
-                        out.append((a, b) if a < b else (b, a))
-            if not same[-1]:
-                hub = None
-            last = (int(gram[-1]), int(n[-1]), int(pos[-1]), int(key[-1]), int(comp[-1]))
-            pairs = np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
+                for other in (hub,) if hub is before else (hub, before):
+                    if passes(other, now):
+                        out.add((other[3], now[3]) if other[3] < now[3] else (now[3], other[3]))
+                before = now
+            pairs = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sets differ too much part by part: each part's overlap is at most its smaller count."""
-    one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pivots").alias("pa"))
-    two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pivots").alias("pb"))
-    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(one, "a").join(two, "b")
-    return both.where(most >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-
 def _word_set(text: str, size: int) -> set:
     """The set by the words themselves; bytes.lower and bytes.split know A-Z and the six white-space bytes only."""
     own = text.encode().lower().split()
@@ -208,14 +227,15 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     Pairs are grouped by their first text, which is sent once per group of ``FAN`` pairs, and stream by it.
     """
     spark = pairs.sparkSession
-    marked = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     # a text with few partners is sent once; one with many is sent to up to 64 parts
     many = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    marked = marked.join(many, "a").withColumn("part", F.pmod(F.col("part"), F.least(F.lit(64), F.ceil(F.col("k") / FAN)).cast("int")))
-    marked = persist_table(marked.select("a", "b", "part"), "pairs")
-    heads = marked.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
-    wanted = heads.unionAll(marked.select(F.col("b").alias("key"), "a", "part", "b"))
-    rows = wanted.join(texts, "key").select("a", "part", "b", "text")
+    dealt = dealt.join(many, "a").withColumn("part", F.pmod(F.col("part"), F.least(F.lit(64), F.ceil(F.col("k") / FAN)).cast("int")))
+    dealt = persist_table(dealt.select("a", "b", "part"), "pairs")
+    heads = dealt.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = heads.unionAll(dealt.select(F.col("b").alias("key"), "a", "part", "b"))
+    near = marked(texts, ["key"], wanted, ["key"]).where("_maybe").select("key", "text")
+    rows = wanted.join(near, "key").select("a", "part", "b", "text")
     ordered = rows.repartition(2 * partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +264,22 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
     """Per row: key, n_shingles and component_id."""
     features = persist_table(set_features(docs, key, text, size, percent), "sets")
     class_of = features.where("key is not null").groupBy("n", "sig1", "sig2").agg(
-        F.min("key").alias("rep"), F.min_by("prefix", "key").alias("prefix"), F.min_by("pivots", "key").alias("pivots")
+        F.min("key").alias("rep"), F.min_by("prefix", "key").alias("prefix"), F.min_by("parity", "key").alias("parity")
     )
     classes = persist_table(class_of, "set-classes")
-    sets = classes.select(F.col("rep").alias("key"), "n", "pivots")
+    parities = classes.select(F.col("rep").alias("key"), "n", "parity")
     every = classes.select(F.col("rep").alias("key"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = every.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
-    entries = persist_table(every.join(shared, "gram").withColumn("comp", F.col("key")), "prefixes")
+    entries = persist_table(_shared(every).withColumn("comp", F.col("key")), "prefixes")
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return verified(_suffix_filter(pairs, sets, percent), texts, size, percent)
+        return verified(pairs, texts, size, percent)
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        one, two = parities.alias("x"), parities.alias("y")
+        first = pairs.join(one, F.col("a") == F.col("x.key")).select("a", "b", F.col("x.n"), "parity").alias("p")
+        near = first.join(two, (F.col("p.b") == F.col("y.key")) & few_apart("p", "y", percent))
+        return near.select("p.a", "p.b")
 
     def opened(links: DataFrame, last: DataFrame) -> DataFrame:
         """Entries with their components, of n-grams whose lists still hold several components."""
@@ -265,14 +290,16 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
         return persist_table(placed.join(still, "gram"), "prefixes")
 
     # each text's n-gram of the longest list: a crowd meets at one hub
-    top = entries.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
-    links = persist_table(tested(_hub_pairs(top.select("key", "t.*"), percent)), "links")
+    counted = entries.join(entries.groupBy("gram").agg(F.count("*").alias("many")), "gram")
+    top = counted.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
+    links = persist_table(tested(filtered(_hub_pairs(top.select("key", "t.*"), percent))), "links")
     left = opened(links, entries)
-    links = persist_table(tested(_hub_pairs(left, percent)).unionAll(links), "links")
-    left = opened(links, left)
+    links = persist_table(tested(filtered(_hub_pairs(left, percent))).unionAll(links), "links")
+    left = opened(links, left).join(parities.drop("n"), "key")
+    close = near_enough("x", "y", percent) & few_apart("x", "y", percent)
     across = (
         left.alias("x")
-        .join(left.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & near_enough("x", "y", percent))
+        .join(left.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & close)
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         .distinct()
     )
