@@ -1,10 +1,10 @@
 """Deduplication of passages: texts that share lines are aligned by patience diff, and common blocks leave the later one.
 
-A line here ends at a line break, or after a sentence mark or before a capitalised word, unless what came before it is
-shorter than ``MIN_LINE`` words; so a passage keeps its lines wherever it is inserted. Lines are compared by a 64-bit hash of their
+A line here ends at a line break, or after a sentence mark or before a capitalised word, but not between two stretches that are
+both shorter than ``MIN_LINE`` words; so a passage keeps its lines wherever it is inserted. Lines are compared by a 64-bit hash of their
 words' bytes.
 
-Candidates come from shared line hashes: a hash held by several texts ties each later one to its first holder. That is linear in
+Candidates come from shared hashes of lines of MIN_LINE words or more: a hash held by several texts ties each later one to its first holder. That is linear in
 the shared lines however common one is: a line's other holders are never paired with each other. A tie is followed up
 only if it is part of a run of shared lines of at least ``MIN_WORDS`` words, which rare lines are and stray common ones are not;
 this loses no block, as a deleted block is such a run. Each pair is aligned on its whole line lists: lines unique in both are
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.llm.key_filter import marked
 from ostinato.llm.text_arrays import byte_table, slices, span_hashes, words
 from ostinato.runtime import partitions, persist_table
 
@@ -58,9 +59,11 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     soft = _capital_starts(data, starts)
     soft[1:] |= np.isin(last[:-1], (33, 46, 63))
     raw = np.flatnonzero(hard | soft)
-    long_before = np.ones(len(raw), dtype=bool)
-    long_before[1:] = np.diff(raw) >= MIN_LINE
-    first = raw[hard[raw] | long_before]  # first word of each line
+    # two short ones in a row stay together; a short one beside a longer one is a line of its own
+    short = np.diff(np.append(raw, len(starts))) < MIN_LINE
+    together = np.zeros(len(raw), dtype=bool)
+    together[1:] = short[1:] & short[:-1]
+    first = raw[hard[raw] | ~together]  # first word of each line
     past = np.append(first[1:], len(starts))
     hashes = span_hashes(data, starts[first], ends[past - 1], byte_table(lower=False))
     line_row = rows[first]
@@ -274,14 +277,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     left = F.decode(
         F.aggregate("_spans", F.lit(b""), lambda out, s: F.concat(out, F.substring(raw, s["start"] + 1, s["size"]))), "UTF-8"
     )
-    extra = ["deleted_words", "copied_from"]
-    joined = docs.drop(*extra).join(
-        cuts, (F.col(key).cast("long") == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left"
-    )
-    return joined.withColumns(
+    names = [c for c in docs.columns if c not in ("deleted_words", "copied_from")]
+    rows = docs.select(names).withColumns({"_k": F.col(key).cast("long"), "_h": F.xxhash64(text)})
+    # most documents have nothing to lose: they go by without a shuffle of their texts
+    told = marked(rows, ["_k", "_h"], cuts, ["_key", "_th"])
+    none = [F.lit(0).cast("long").alias("deleted_words"), F.array().cast("array<bigint>").alias("copied_from")]
+    whole = told.where("not _maybe").select(*names, *none)
+    joined = told.where("_maybe").join(cuts, (F.col("_k") == F.col("_key")) & (F.col("_h") == F.col("_th")), "left")
+    changed = joined.withColumns(
         {
             text: F.when(F.col("_spans").isNull(), F.col(text)).otherwise(left),
             "deleted_words": F.coalesce("_gone", F.lit(0)).cast("long"),
             "copied_from": F.coalesce("_from", F.array().cast("array<bigint>")),
         }
-    ).drop("_key", "_th", "_from", "_gone", "_spans")
+    )
+    return whole.unionByName(changed.select(*names, "deleted_words", "copied_from"))
