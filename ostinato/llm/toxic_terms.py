@@ -50,7 +50,7 @@ OPENING, CLOSING = '"“„«', '"”“»'
 
 SAMPLE, MAX_TERMS, WINDOW, THRESHOLD = 8000, 2000, 20, 0.3
 #: Lengths of the stems that are tried, and words that a worker remembers at most.
-STEMS, CACHE = range(3, 9), 500_000
+STEMS, CACHE = range(3, 9), 150_000
 _WORD = re.compile(r"[^\W_](?:[\w@$]*\w)?")
 EXACT, FUZZY, STEM = 0, 1, 2
 
