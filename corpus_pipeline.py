@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm.entries import packed_pieces
+from ostinato.llm.key_filter import marked
 from ostinato.llm.line_dedup import deduplicated
 from ostinato.llm.shingle_join import shingle_components
 from ostinato.llm.toxic_terms import learn, without_toxic
@@ -32,8 +33,11 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group linked by sets of five-word n-grams at a similarity of 0.8 or more."""
     ship_package(spark)
     groups = shingle_components(docs, "doc_id", "text", 5, 80)
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    later = persist_table(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
+    # documents that can't be among the later ones go by without a shuffle of their texts
+    told = marked(docs, ["doc_id"], later, ["_later"])
+    first = told.where("_maybe").join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    return told.where("not _maybe").select(docs.columns).unionAll(first.select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
