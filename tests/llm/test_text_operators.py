@@ -228,7 +228,7 @@ def test_lines_of_a_passage_are_the_same_wherever_it_stands():
     passage = "The first of the lines. Another one stands here now. Éine dritte Zeile kommt noch dazu."
     inner = hashes(passage)
     assert inner == hashes("some words that came before " + passage)[1:]
-    assert inner == hashes(passage + " and some words after it")[:3]
+    assert inner == hashes(passage + " and some words after it")[: len(inner)]
 
 
 # --- toxicity
