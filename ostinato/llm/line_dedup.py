@@ -9,7 +9,9 @@ the shared lines however common one is: a line's other holders are never paired
 only if it is part of a run of shared lines of at least ``MIN_WORDS`` words, which rare lines are and stray common ones are not;
 this loses no block, as a deleted block is such a run. Each pair is aligned on its whole line lists: lines unique in both are
 anchors, the longest increasing chain of them is kept, anchors grow over equal neighbours, and gaps between them are aligned
-likewise; then lines left over are aligned again, so moved blocks are found too. What the alignments of a text with its earlier
+likewise; then lines left over are aligned again, so moved blocks are found too. Lines that aren't unique give no anchors: to the end, every
+unit of a line or of several short ones (MIN_LINE words and more) that the earlier text holds too is covered, wherever and however often
+it occurs, which is where aligning what is left over and over again ends. What the alignments of a text with its earlier
 texts cover together in runs of at least MIN_WORDS words is deleted. The first holder of a line always keeps it.
 
 Earlier and later are by key. Defined results: a null or empty text stays as it is; rows with equal key and text are one document
@@ -155,8 +157,25 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_places(a: list[int], b: list[int]) -> list[int]:
-    """Places in b of all lines that alignments with a cover, moved blocks included."""
+def units(count: list[int]) -> list[tuple[int, int]]:
+    """(first, past) of the shortest runs of lines of MIN_LINE words or more that start or end at each line."""
+    spans: set[tuple[int, int]] = set()
+    for k in range(len(count)):
+        for step in (1, -1):
+            at, total = k, 0
+            while 0 <= at < len(count) and total < MIN_LINE:
+                total += count[at]
+                at += step
+            if total >= MIN_LINE:
+                spans.add((k, at) if step > 0 else (at + 1, k + 1))
+    return sorted(spans)
+
+
+def aligned_places(a: list[int], b: list[int], a_words: list[int] | None = None, b_words: list[int] | None = None) -> list[int]:
+    """Places in b of all lines that alignments with a cover, moved and repeated blocks included.
+
+    The counts of words may be cut at MIN_LINE; without them every line is a unit.
+    """
     covered: set[int] = set()
     left = list(range(len(b)))
     while left:
@@ -165,6 +184,12 @@ def aligned_places(a: list[int], b: list[int]) -> list[int]:
             break
         covered |= {left[j] for _, j in found}
         left = [k for k in left if k not in covered]
+    if left:
+        a_units = units(a_words if a_words is not None else [MIN_LINE] * len(a))
+        held = {tuple(a[x:y]) for x, y in a_units}
+        for x, y in units(b_words if b_words is not None else [MIN_LINE] * len(b)):
+            if tuple(b[x:y]) in held:
+                covered.update(range(x, y))
     return sorted(covered)
 
 
@@ -218,19 +243,22 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 out += [(row, *who) for who in sorted(found)]
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.record_batch(
-                [batch.column(k).take(rows) for k in range(3)] + [pa.array([x[k] for x in out], pa.int64()) for k in (1, 2)],
-                names=["key", "th", "hashes", "fk", "ft"],
+                [batch.column(k).take(rows) for k in range(4)] + [pa.array([x[k] for x in out], pa.int64()) for k in (1, 2)],
+                names=["key", "th", "hashes", "words", "fk", "ft"],
             )
 
-    pairs = candidates.mapInArrow(pair_up, "key long, th long, hashes array<long>, fk long, ft long")
-    earlier = lists.select(F.col("key").alias("fk"), F.col("th").alias("ft"), F.col("hashes").alias("others"))
-    both = pairs.join(earlier, ["fk", "ft"]).select("key", "th", "fk", "hashes", "others")
+    # alignment asks only which lines are short
+    few = lambda c: F.transform(c, lambda x: F.least(x, F.lit(MIN_LINE)).cast("byte"))
+    pairs = candidates.mapInArrow(pair_up, "key long, th long, hashes array<long>, words array<int>, fk long, ft long")
+    pairs = pairs.withColumn("few", few("words")).drop("words")
+    earlier = lists.select(F.col("key").alias("fk"), F.col("th").alias("ft"), F.col("hashes").alias("others"), few("words").alias("others_few"))
+    both = pairs.join(earlier, ["fk", "ft"]).select("key", "th", "fk", "hashes", "others", "few", "others_few")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [
-                aligned_places(x.values.to_pylist(), y.values.to_pylist())
-                for x, y in zip(batch.column(4), batch.column(3), strict=True)
+                aligned_places(*(x.values.to_pylist() for x in row))
+                for row in zip(*(batch.column(k) for k in (4, 3, 6, 5)), strict=True)
             ]
             yield pa.record_batch(
                 [batch.column(k) for k in range(3)] + [pa.array(places, pa.list_(pa.int32()))], names=["key", "th", "fk", "places"]

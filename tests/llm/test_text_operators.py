@@ -220,6 +220,22 @@ def test_passages_leave_the_later_document_only(spark):
     assert line_dedup.deduplicated(rows.where("false")).count() == 0
 
 
+def test_repeated_passages_leave_the_later_document(spark):
+    assert line_dedup.aligned_places([1, 2, 3], [1, 2, 3, 1, 2, 3, 9]) == [*range(6)]
+    assert line_dedup.aligned_places([1, 2, 1, 2, 7], [8, 1, 2]) == [1, 2]
+    # a line of fewer than MIN_LINE words only beside another that is held too
+    assert line_dedup.aligned_places([1, 2, 1, 2], [2, 9, 2, 9, 1, 2, 1], [2] * 4, [2] * 7) == [4, 5, 6]
+    rng = random.Random(18)
+    sentence = lambda n: " ".join(words_of(rng, n)).capitalize() + "."
+    passage, own = ([sentence(9) for _ in range(6)] for _ in range(2))
+    once, often = " ".join([*own[:3], *passage]), " ".join([own[3], *passage * 13, own[4]])
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, [once, often, "", once.replace(own[0], own[5])])).collect()}
+    assert got[0]["text"] == once and got[1]["text"].split() == f"{own[3]} {own[4]}".split() and got[1]["deleted_words"] == 13 * 54
+    # and where the earlier document holds it more than once
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, [often, once])).collect()}
+    assert got[1]["text"].split() == " ".join(own[:3]).split() and got[0]["text"] == often
+
+
 def test_lines_of_a_passage_are_the_same_wherever_it_stands():
     def hashes(text):
         raw = text.encode()
