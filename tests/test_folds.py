@@ -73,3 +73,15 @@ def test_streamed_tracks_equal_batch_tracks(spark, data):
     streamed = registry.queries()["stateful_tracks"](spark, data).select(names).toPandas().sort_values(names).reset_index(drop=True)
     batch = registry.queries()["build_tracks"](spark, data).where("clip_id < 20").select(names).toPandas().sort_values(names).reset_index(drop=True)
     pd.testing.assert_frame_equal(streamed, batch)
+
+
+def test_streamed_tracks_are_those_of_all_clips(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet").where("event_id % 4 = 0")
+    events.withColumn("user_id", (events.user_id + 15).cast(events.schema["user_id"].dataType)).write.parquet(f"{tmp_path}/events.parquet")
+    names = ["clip_id", "pitch", "hand", "frame", "bottom", "track_id"]
+    streamed, batch = (
+        registry.queries()[q](spark, str(tmp_path)).select(names).toPandas().sort_values(names).reset_index(drop=True)
+        for q in ("stateful_tracks", "build_tracks")
+    )
+    assert streamed["clip_id"].max() >= 20
+    pd.testing.assert_frame_equal(streamed, batch)
