@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.music import BLACK, LOWEST, MAJOR_SCALE
@@ -145,22 +145,35 @@ def row_shift(first: np.ndarray, second: np.ndarray) -> float:
 def scroll_speeds(frames: DataFrame) -> DataFrame:
     """Per clip: median rows per second between pictures that follow each other, their spread, and how many were used."""
 
-    def measure(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("frame")
-        speeds = []
-        masks = [(t, (picture(i, h, w).astype(int).sum(axis=2) > 150).astype(float)) for t, h, w, i in own[["time", "height", "width", "image"]].itertuples(index=False)]
-        for (t0, a), (t1, b) in zip(masks[:-1], masks[1:], strict=True):
-            if t1 - t0 < 0.3 and a.any() and b.any():
-                speeds.append(row_shift(a, b) / (t1 - t0))
-        good = [s for s in speeds if 1 < s < 200]
-        middle = float(np.median(good)) if good else float("nan")
-        spread = float(np.median(np.abs(np.array(good) - middle))) if good else float("nan")
-        return pd.DataFrame({"clip_id": [own["clip_id"].iloc[0]], "ten": [own["ten"].iloc[0]], "speed": [middle], "spread": [spread], "samples": [len(good)]})
-
-    dealt = frames.withColumn("ten", F.floor(F.col("frame") / 10))
-    parts = dealt.groupBy("clip_id", "ten").applyInPandas(measure, "clip_id long, ten long, speed double, spread double, samples long")
-    good = parts.where("samples > 0")
-    return good.groupBy("clip_id").agg(F.median("speed").alias("speed"), F.median("spread").alias("spread"), F.sum("samples").alias("samples"))
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for clip, frame, time, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lit = picture(raw, h, w).astype(int).sum(axis=2) > 150
+                out.append((clip, frame, time, h, w, np.packbits(lit).tobytes() if lit.any() else None))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["clip_id", "frame", "time", "height", "width", "mask"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for clip, past, h, w, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (np.unpackbits(np.frombuffer(x, np.uint8), count=h * w).reshape(h, w).astype(float) for x in (before, after))
+                speed = row_shift(a, b) / past
+                if 1 < speed < 200:
+                    out.append((clip, float(speed)))
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64()))], names=["clip_id", "speed"])
+
+    # only masks, as bits, are sorted by clip and frame; each meets the one before it
+    made = frames.mapInArrow(masks, "clip_id long, frame long, time double, height int, width int, mask binary")
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    before = {c: F.lag(c).over(order) for c in ("time", "height", "width", "mask")}
+    pairs = made.withColumns({f"{c}_before": x for c, x in before.items()}).withColumn("past", F.col("time") - F.col("time_before"))
+    pairs = pairs.where("past < 0.3 and mask is not null and mask_before is not null and height = height_before and width = width_before")
+    speeds = pairs.select("clip_id", "past", "height", "width", "mask_before", "mask").mapInArrow(measure, "clip_id long, speed double")
+    per_clip = speeds.groupBy("clip_id").agg(F.median("speed").alias("speed"), F.collect_list("speed").alias("all"), F.count("*").alias("samples"))
+    apart = per_clip.select("clip_id", "speed", "samples", F.explode("all").alias("one"))
+    return apart.groupBy("clip_id", "speed", "samples").agg(F.median(F.abs(F.col("one") - F.col("speed"))).alias("spread")).select("clip_id", "speed", "spread", "samples")
 
 
 def period(profile: np.ndarray, low: float, high: float) -> float:

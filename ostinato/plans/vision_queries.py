@@ -1,4 +1,4 @@
-"""Queries on pictures; drawn here from the notes, one picture a second (five for the speed)."""
+"""Queries on pictures; drawn here from the notes, a picture for every frame of the clock that shows a tile."""
 
 from __future__ import annotations
 
@@ -10,26 +10,25 @@ from ostinato.sources import tiles as src
 from ostinato.sources.views import notes
 
 
-def _frames(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
-    rows = src.tiles(notes(spark, sf_dir))
-    return v.render(rows.where(rows.frame % step == 0))
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.render(src.tiles(notes(spark, sf_dir)))
 
 
 @query()
 def detected_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.detect(_frames(spark, sf_dir, 5))
+    return v.detect(_frames(spark, sf_dir))
 
 
 @query()
 def median_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.median_picture(_frames(spark, sf_dir, 5))
+    return v.median_picture(_frames(spark, sf_dir))
 
 
 @query()
 def scroll_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.scroll_speeds(_frames(spark, sf_dir, 1))
+    return v.scroll_speeds(_frames(spark, sf_dir))
 
 
 @query()
 def colour_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.palette(_frames(spark, sf_dir, 5))
+    return v.palette(_frames(spark, sf_dir))

@@ -51,3 +51,22 @@ def test_palette_finds_the_colours(spark, data):
     got = registry.queries()["colour_palette"](spark, data).toPandas()[["b", "g", "r"]].to_numpy()
     for colour in (v.BACKGROUND, *v.COLOURS.values()):
         assert np.abs(got - np.array(colour)).max(axis=1).min() <= 6
+
+
+def test_pictures_are_those_of_all_frames(spark, data):
+    frames = {(r.clip_id, r.frame) for r in src.tiles(notes(spark, data)).select("clip_id", "frame").distinct().collect()}
+    seen = {(r.clip_id, r.frame) for r in registry.queries()["detected_tiles"](spark, data).select("clip_id", "frame").distinct().collect()}
+    assert seen <= frames and len({f % 5 for _, f in seen}) == 5 and len(seen) >= 0.9 * len(frames)
+    pixels = registry.queries()["colour_palette"](spark, data).agg({"pixels": "sum"}).first()[0]
+    assert pixels == len(frames) * v.HEIGHT * v.WIDTH
+
+
+def test_speeds_are_medians_of_all_pairs(spark, data):
+    made = v.render(src.tiles(notes(spark, data).where("clip_id < 3"))).toPandas().sort_values(["clip_id", "frame"])
+    got = {r["clip_id"]: r for r in v.scroll_speeds(spark.createDataFrame(made, v.FRAME)).collect()}
+    for clip, own in made.groupby("clip_id"):
+        lit = [(r.time, (v.picture(r.image, r.height, r.width).astype(int).sum(axis=2) > 150).astype(float)) for r in own.itertuples()]
+        speeds = [v.row_shift(a, b) / (t1 - t0) for (t0, a), (t1, b) in zip(lit[:-1], lit[1:], strict=True) if t1 - t0 < 0.3 and a.any() and b.any()]
+        good = np.array([s for s in speeds if 1 < s < 200])
+        assert got[clip]["samples"] == len(good) > 0
+        assert np.isclose(got[clip]["speed"], np.median(good)) and np.isclose(got[clip]["spread"], np.median(np.abs(good - np.median(good))))
