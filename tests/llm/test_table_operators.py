@@ -161,6 +161,24 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert image_links.image_groups(images.where("false"), "id").count() == 0
 
 
+def test_copies_with_few_shared_table_entries_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(image_links, "BLOCK", 7, raising=False)  # several blocks
+    rng = np.random.default_rng(11)
+    rows, few = [], 0
+    for k in range(150):
+        image = image_links.draw(rng.standard_normal(8), 72)
+        noisy = (image[24:, :52].astype(float) + rng.normal(0, 5, (48, 52))).clip(0, 255).round().astype(np.uint8)
+        one, two = image_links.describe(image.astype(float)), image_links.describe(noisy.astype(float))
+        words = [{(t, v) for row in np.ascontiguousarray(d[1]).view("<u4").tolist() for t, v in enumerate(row)} for d in (one, two)]
+        least = max(image_links.MIN_INLIERS, image_links.MIN_SHARE * min(len(one[1]), len(two[1])))
+        if 4 <= len(words[0] & words[1]) < 24 and image_links.consensus(*one, *two) >= least:
+            few += 1
+            rows += [(2 * k, 72, 72, image.tobytes()), (2 * k + 1, 48, 52, noisy.tobytes())]
+    assert few >= 3
+    got = {r["id"]: r["component_id"] for r in image_links.image_groups(spark.createDataFrame(rows, "id long, height int, width int, pixels binary"), "id").collect()}
+    assert sum(got[k] == got[k + 1] for k in got if k % 2 == 0) >= 0.8 * few
+
+
 def test_broken_images_have_no_descriptors(spark):
     rows = [(1, 4, 4, b"\0" * 15), (2, 0, 4, b""), (3, 40, 40, bytes(1600)), (None, 40, 40, bytes(1600)), (4, None, 3, b"x")]
     images = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
