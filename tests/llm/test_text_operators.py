@@ -99,11 +99,11 @@ def test_packing_ids_agree_with_tokenizers():
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(VOCABULARY)
-    other.encode_special_tokens = True
-    own = bin_packing.byte_encoder(VOCABULARY, public_tokenizers.PATTERN)
+    own = bin_packing.encoder(VOCABULARY, public_tokenizers.PATTERN)
     rng = random.Random(6)
     probes = ODD + ["".join(chr(rng.choice([rng.randint(9, 126), rng.randint(160, 0xD7FF), rng.randint(0xE000, 0x1F6FF)])) for _ in range(40)) for _ in range(400)]
-    assert [own.encode_ordinary(x) for x in probes] == [other.encode(x, add_special_tokens=False).ids for x in probes]
+    probes += ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "<|endoftext|>" * 40 + " é"]
+    assert [own(x) for x in probes] == [other.encode(x, add_special_tokens=False).ids for x in probes]
 
 
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 2048, 5000])
