@@ -95,14 +95,16 @@ def test_shards_are_even_and_keep_groups(spark):
 def test_archives_give_payloads_back(spark):
     long = "<p>é</p>" * 40
     pages = [(5, "http://a/\r\nX: y", long), (2, "http://b/", long), (9, None, long), (1, "u", None), (3, "u", ""), (4, "u", "short"), (6, "u", "short"),
-             (7, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n" * 9), (8, "u", "z" * 9_000_000), (10, "", "\r\n\r\n" * 60)]
+             (7, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n" * 9), (8, "u", "z" * 9_000_000), (10, "", "\r\n\r\n" * 60), (None, "n", long), (None, "n", "own " * 50), (None, None, None)]
     table = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, _digest int")
     path = shared_path(spark, "warc-test")
     warc_archive.write_archives(table, path, "page_id", "url", "html")
     index = warc_archive.build_index(spark, path)
     assert index.count() == len(pages)
-    got = {r["page_id"]: r for r in warc_archive.archive_report(index, "page_id", "bigint").collect()}
-    for k, _, html in pages:
+    report = warc_archive.archive_report(index, "page_id", "bigint").collect()
+    got = {r["page_id"]: r for r in report}
+    assert sorted((r["payload_bytes"], r["record_type"]) for r in report if r["page_id"] is None) == [(0, "response"), (200, "response"), (len(long.encode()), "response")]
+    for k, _, html in [p for p in pages if p[0] is not None]:
         raw = (html or "").encode()
         assert (got[k]["payload_bytes"], got[k]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (got[k]["record_type"], got[k]["refers_to"]) == (("revisit", 2) if k in (5, 9) else ("response", None))
@@ -110,6 +112,21 @@ def test_archives_give_payloads_back(spark):
     assert bytes(one[0]["payload"]).decode() == pages[7][2]
 
 
+def test_archives_of_odd_tables(spark, monkeypatch):
+    kind = "page_id long, url string, html string"
+    for rows in ([], [(None, None, None)], [(1, "u", "x" * 200)] * 3, [(k, "u", "hot" * 50) for k in range(400)]):
+        path = shared_path(spark, "warc-odd")
+        warc_archive.write_archives(spark.createDataFrame(rows, kind), path, "page_id", "url", "html")
+        want = sorted((k is not None, k, "response" if k in (None, 0, 1) and len(rows) < 9 or k == 0 else "revisit") for k, _, _ in rows)
+        for known in (True, False):  # archives that only Spark can open are read the same
+            if not known:
+                monkeypatch.setattr(warc_archive, "arrow_opens", lambda _: False)
+            got = warc_archive.archive_report(warc_archive.build_index(spark, path), "page_id", "bigint").collect()
+            assert sorted((r["page_id"] is not None, r["page_id"], r["record_type"]) for r in got) == want
+            assert all(r["payload_bytes"] == len(rows[0][2] or "") for r in got)
+        monkeypatch.undo()
+
+
 def test_ranges_coalesce_neighbours_only():
     rows = [("a", 0, 10), ("a", 14, 10), ("a", 24 + warc_archive.GAP + 1, 5), ("b", 0, 5), ("b", 9, warc_archive.RANGE)]
     assert [len(g) for g in warc_archive._ranges(iter(rows))] == [2, 1, 1, 1]
