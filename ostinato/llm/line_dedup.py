@@ -1,22 +1,26 @@
-"""Deduplication of passages: texts that share lines are aligned by patience diff, and common blocks leave the later one.
-
-A line here ends at a line break, or after a sentence mark or before a capitalised word, but not between two stretches that are
-both shorter than ``MIN_LINE`` words; so a passage keeps its lines wherever it is inserted. Lines are compared by a 64-bit hash of their
-words' bytes.
-
-Candidates come from shared hashes of lines of MIN_LINE words or more: a hash held by several texts ties each later one to its first holder. That is linear in
-the shared lines however common one is: a line's other holders are never paired with each other. A tie is followed up
-only if it is part of a run of shared lines of at least ``MIN_WORDS`` words, which rare lines are and stray common ones are not;
-this loses no block, as a deleted block is such a run. Each pair is aligned on its whole line lists: lines unique in both are
-anchors, the longest increasing chain of them is kept, anchors grow over equal neighbours, and gaps between them are aligned
-likewise; then lines left over are aligned again, so moved blocks are found too. Lines that aren't unique give no anchors: to the end, every
-unit of a line or of several short ones (MIN_LINE words and more) that the earlier text holds too is covered, wherever and however often
-it occurs, which is where aligning what is left over and over again ends. What the alignments of a text with its earlier
-texts cover together in runs of at least MIN_WORDS words is deleted. The first holder of a line always keeps it.
-
-Earlier and later are by key. Defined results: a null or empty text stays as it is; rows with equal key and text are one document
-and get the same result; a row with a null key stays as it is; texts of equal key but different content are ordered by a hash of
-the text; other columns pass through unless their names are those of the added ones; an empty table gives an empty result.
+"""Deduplication of passages: texts that share a rare run of lines are aligned by patience diff, and common blocks leave the later one.
+
+A line ends at a line break, after a sentence mark, before a capitalised word and, in a stretch of more than ``LONG_LINE`` words
+without any of these, before words whose hash says so. Each of these cuts depends on the words beside it, so a passage has the
+same lines wherever it stands, but for its first and last one. Lines are compared by 64-bit hashes of their bytes.
+
+Candidates. Single lines are often common and prove nothing, so what ties texts is the hash of a run of lines: from each line on, the
+fewest lines that hold ``MIN_WORDS`` words together, however short they are. How many texts hold each run is counted; one that a
+single text holds ties nothing, and each other one ties its later texts to its first holder. Every block that can be deleted starts
+with such a run, so no block is missed, and ties are linear in the lines however common a run is: its other holders are never paired
+with each other. Between two texts the rarest shared run speaks for all of them.
+
+Alignment. A pair's whole line lists are aligned in one order: the longest increasing chain of lines that both hold once, grown over equal
+neighbours; between anchors the same again; a stretch without lines that both hold once goes on with its longest common run. A
+block is a run of aligned lines, side by side in both texts, of MIN_WORDS words or more. One alignment can't show a passage that
+has moved or that the later text holds twice; the lines that it left over are searched for further runs of MIN_WORDS words that stand in
+the earlier text in the same order. Lines in another order, or gathered from several texts, are no block. A text loses the blocks that it
+shares with each of its partners; blocks of two partners never make one together. The first holder of a run always keeps it.
+
+Earlier and later are by key. Defined results: a null or empty text stays as it is; rows of equal key are one document: they are never
+compared with each other, and rows of equal key and text get the same result; a row with a null key stays as it is; a text of fewer
+than MIN_WORDS words neither loses nor gives anything; a long text is one row, its lines take about 20 bytes each; other columns
+pass through whatever their names, except that the added ones replace columns of their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.key_filter import marked
-from ostinato.llm.text_arrays import byte_table, slices, span_hashes, words
-from ostinato.runtime import partitions, persist_table
+from ostinato.llm.spread import salted_join
+from ostinato.llm.text_arrays import byte_table, mix, powers, slices, span_hashes, words
+from ostinato.runtime import persist_table
 
-MIN_LINE, MIN_WORDS = 4, 32
+MIN_WORDS = 24
+#: A stretch of more words without a cut is cut before words whose hash is a multiple of CUT.
+LONG_LINE, CUT = 8, 4
 
 
 def _capital_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -55,19 +62,19 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(n_rows + 1, np.int64)
     rows = np.searchsorted(of_row, np.arange(len(starts)), side="right") - 1
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    hard = np.ones(len(starts), dtype=bool)
-    hard[1:] = (rows[1:] != rows[:-1]) | (breaks[starts[1:]] != breaks[starts[:-1]])
-    last = data[ends - 1]
-    soft = _capital_starts(data, starts)
-    soft[1:] |= np.isin(last[:-1], (33, 46, 63))
-    raw = np.flatnonzero(hard | soft)
-    # two short ones in a row stay together; a short one beside a longer one is a line of its own
-    short = np.diff(np.append(raw, len(starts))) < MIN_LINE
-    together = np.zeros(len(raw), dtype=bool)
-    together[1:] = short[1:] & short[:-1]
-    first = raw[hard[raw] | ~together]  # first word of each line
+    cuts = np.ones(len(starts), dtype=bool)
+    cuts[1:] = (rows[1:] != rows[:-1]) | (breaks[starts[1:]] != breaks[starts[:-1]])
+    cuts |= _capital_starts(data, starts)
+    cuts[1:] |= np.isin(data[ends - 1][:-1], (33, 46, 63))
+    table = byte_table(lower=False)
+    first = np.flatnonzero(cuts)
+    long = np.repeat(np.diff(np.append(first, len(starts))) > LONG_LINE, np.diff(np.append(first, len(starts))))
+    inside = np.flatnonzero(long)
+    if len(inside):
+        cuts[inside] |= span_hashes(data, starts[inside], ends[inside], table) % np.uint64(CUT) == 0
+        first = np.flatnonzero(cuts)
     past = np.append(first[1:], len(starts))
-    hashes = span_hashes(data, starts[first], ends[past - 1], byte_table(lower=False))
+    hashes = span_hashes(data, starts[first], ends[past - 1], table)
     line_row = rows[first]
     bounds = np.searchsorted(line_row, np.arange(n_rows + 1), side="left")
     # a line ends where the next one of its text begins; the last one with the text
@@ -76,13 +83,41 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, (past - first).astype(np.int32), end.astype(np.int32), bounds
 
 
+class Lines:
+    """Line hashes of one or more texts with sums that give a hash of any run of them."""
+
+    def __init__(self, hashes: np.ndarray, count: np.ndarray):
+        self.hashes = hashes.view(np.uint64) if hashes.dtype == np.int64 else hashes
+        self.total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        up, self.down = powers.get(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(mix(self.hashes) * up[: len(hashes)], out=self.sums[1:])
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def run(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of the n lines from start on."""
+        return mix((self.sums[start + n] - self.sums[start]) * self.down[start] + np.asarray(n).astype(np.uint64))
+
+    def passages(self, past: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first line, lines, hash) of the shortest run of MIN_WORDS words or more from each line on, if it ends by ``past``."""
+        start = np.arange(len(self))
+        end = np.searchsorted(self.total, self.total[:-1] + MIN_WORDS, side="left")
+        whole = end <= (len(self) if past is None else past)
+        start, n = start[whole], (end - start)[whole]
+        return start, n, self.run(start, n)
+
+
 def line_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document with words: key, th (hash of the text), and its lines' hashes, words and ends."""
+    """Per document with words: key, th (hash of the text), its lines' hashes, words and ends, and its passages' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(2)):
                 hashes, count, ends, bounds = lines(data, offsets)
+                last = np.repeat(bounds[1:], np.diff(bounds))
+                start, _, passages = Lines(hashes, count).passages(last)
                 at = pa.array(bounds.astype(np.int32))
                 yield pa.record_batch(
                     [
@@ -91,13 +126,15 @@ def line_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64))),
                         pa.ListArray.from_arrays(at, pa.array(count)),
                         pa.ListArray.from_arrays(at, pa.array(ends)),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(start, bounds).astype(np.int32)), pa.array(passages.view(np.int64))),
                     ],
-                    names=["key", "th", "hashes", "words", "ends"],
+                    names=["key", "th", "hashes", "words", "ends", "passages"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = rows.where("key is not null and text is not null")
-    return rows.mapInArrow(run, "key long, th long, hashes array<long>, words array<int>, ends array<int>")
+    made = rows.mapInArrow(run, "key long, th long, hashes array<long>, words array<int>, ends array<int>, passages array<long>")
+    return made.where(F.size("passages") > 0)
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -128,195 +165,189 @@ def _once(values: list[int], low: int, high: int) -> dict[int, int]:
     return {v: k for v, k in place.items() if k >= 0}
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (in a, in b), increasing in both."""
-    out: list[tuple[int, int]] = []
+def longest_run(a: Lines, alo: int, ahi: int, b: Lines, blo: int, bhi: int) -> tuple[int, int, int]:
+    """(place in a, place in b, lines) of the first of the longest runs that both stretches hold; 0 lines if there is none."""
+
+    def shared(n: int) -> tuple[int, int] | None:
+        starts_a, starts_b = np.arange(alo, ahi - n + 1), np.arange(blo, bhi - n + 1)
+        runs_a = a.run(starts_a, np.full(len(starts_a), n))
+        found = np.flatnonzero(np.isin(b.run(starts_b, np.full(len(starts_b), n)), runs_a))
+        if not len(found):
+            return None
+        j = int(starts_b[found[0]])
+        return int(starts_a[np.flatnonzero(runs_a == b.run(np.array([j]), np.array([n]))[0])[0]]), j
+
+    low, best, high = 0, (alo, blo), min(ahi - alo, bhi - blo)
+    while low < high:  # a run of n lines holds one of n - 1
+        n = (low + high + 1) // 2
+        at = shared(n)
+        if at is None:
+            high = n - 1
+        else:
+            low, best = n, at
+    return *best, low
+
+
+def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
+    """Aligned runs (place in a, place in b, lines), in the order of both. Stretches of fewer than MIN_WORDS words, in which no
+    block has room, are left out."""
+    left, right = a.hashes.tolist(), b.hashes.tolist()
+    out: list[tuple[int, int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         alo, ahi, blo, bhi = todo.pop()
-        if alo >= ahi or blo >= bhi:
+        if min(a.total[ahi] - a.total[alo], b.total[bhi] - b.total[blo]) < MIN_WORDS:
             continue
-        in_a, in_b = _once(a, alo, ahi), _once(b, blo, bhi)
-        common = sorted((k, in_a[v]) for v, k in in_b.items() if v in in_a)
-        chain = [common[k] for k in _increasing([x for _, x in common])]
-        pa_, pb_ = alo, blo
-        for j, i in chain:
-            if i < pa_ or j < pb_:
+        once = _once(left, alo, ahi)
+        common = sorted((k, once[v]) for v, k in _once(right, blo, bhi).items() if v in once)
+        anchors = [common[k] for k in _increasing([x for _, x in common])]
+        if not anchors:
+            i, j, n = longest_run(a, alo, ahi, b, blo, bhi)
+            if b.total[j + n] - b.total[j] >= MIN_WORDS:
+                out.append((i, j, n))
+                todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+            continue
+        i_from, j_from = alo, blo
+        for j, i in anchors:
+            if i < i_from or j < j_from:
                 continue  # an earlier anchor has grown over it
-            s = 1
-            while i - s >= pa_ and j - s >= pb_ and a[i - s] == b[j - s]:
-                s += 1
-            e = 1
-            while i + e < ahi and j + e < bhi and a[i + e] == b[j + e]:
-                e += 1
-            out += zip(range(i - s + 1, i + e), range(j - s + 1, j + e), strict=True)
-            todo.append((pa_, i - s + 1, pb_, j - s + 1))
-            pa_, pb_ = i + e, j + e
-        if chain:
-            todo.append((pa_, ahi, pb_, bhi))
+            before, after = 0, 1
+            while i - before > i_from and j - before > j_from and left[i - before - 1] == right[j - before - 1]:
+                before += 1
+            while i + after < ahi and j + after < bhi and left[i + after] == right[j + after]:
+                after += 1
+            out.append((i - before, j - before, before + after))
+            todo.append((i_from, i - before, j_from, j - before))
+            i_from, j_from = i + after, j + after
+        todo.append((i_from, ahi, j_from, bhi))
+    joined: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(out):
+        if joined and joined[-1][0] + joined[-1][2] == i and joined[-1][1] + joined[-1][2] == j:
+            joined[-1] = (*joined[-1][:2], joined[-1][2] + n)
+        else:
+            joined.append((i, j, n))
+    return joined
+
+
+def moved(a: Lines, b: Lines, low: int, high: int) -> list[tuple[int, int]]:
+    """(first, past) of the runs of MIN_WORDS words or more in b's lines from low to high that stand somewhere in a, each as long as it
+    can be."""
+    start, n, runs = b.passages(high)
+    start, n, runs = (x[np.searchsorted(start, low) :] for x in (start, n, runs))
+    starts_a, _, runs_a = a.passages()
+    order = np.argsort(runs_a, kind="stable")
+    first, past = (np.searchsorted(runs_a[order], runs, side=side) for side in ("left", "right"))
+    out: list[tuple[int, int]] = []
+    for k in np.flatnonzero(past > first).tolist():
+        j = int(start[k])
+        if out and j < out[-1][1]:
+            continue
+        places = starts_a[order[first[k] : past[k]]]
+        short, long = np.full(len(places), n[k]), np.minimum(len(a) - places, high - j)
+        while (short < long).any():
+            half = (short + long + 1) // 2
+            same = a.run(places, half) == b.run(np.full(len(places), j), half)
+            short, long = np.where(same, half, short), np.where(same, long, half - 1)
+        out.append((j, j + int(short.max())))
+    return out
+
+
+def common_blocks(a: Lines, b: Lines) -> list[tuple[int, int]]:
+    """(first, past) of the blocks of b's lines that an alignment with the earlier text a covers, in order."""
+    if len(a) == len(b) and (a.hashes == b.hashes).all():
+        return [(0, len(b))] if b.total[-1] >= MIN_WORDS else []
+    out = [(j, j + n) for _, j, n in patience(a, b) if b.total[j + n] - b.total[j] >= MIN_WORDS]
+    edges = [0, *[x for block in out for x in block], len(b)]
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        if b.total[high] - b.total[low] >= MIN_WORDS:
+            out += moved(a, b, low, high)
     return sorted(out)
 
 
-def units(count: list[int]) -> list[tuple[int, int]]:
-    """(first, past) of the shortest runs of lines of MIN_LINE words or more that start or end at each line."""
-    spans: set[tuple[int, int]] = set()
-    for k in range(len(count)):
-        for step in (1, -1):
-            at, total = k, 0
-            while 0 <= at < len(count) and total < MIN_LINE:
-                total += count[at]
-                at += step
-            if total >= MIN_LINE:
-                spans.add((k, at) if step > 0 else (at + 1, k + 1))
-    return sorted(spans)
-
-
-def aligned_places(a: list[int], b: list[int], a_words: list[int] | None = None, b_words: list[int] | None = None) -> list[int]:
-    """Places in b of all lines that alignments with a cover, moved and repeated blocks included.
-
-    The counts of words may be cut at MIN_LINE; without them every line is a unit.
-    """
-    covered: set[int] = set()
-    left = list(range(len(b)))
-    while left:
-        found = patience(a, [b[k] for k in left])
-        if not found:
-            break
-        covered |= {left[j] for _, j in found}
-        left = [k for k in left if k not in covered]
-    if left:
-        a_units = units(a_words if a_words is not None else [MIN_LINE] * len(a))
-        held = {tuple(a[x:y]) for x, y in a_units}
-        for x, y in units(b_words if b_words is not None else [MIN_LINE] * len(b)):
-            if tuple(b[x:y]) in held:
-                covered.update(range(x, y))
-    return sorted(covered)
-
-
-def runs(places: np.ndarray, count: np.ndarray, wild: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(first, past) of runs of places, of at least MIN_WORDS words; lines of ``wild`` may lie inside a run."""
-    if not len(places):
-        return []
-    skip = np.concatenate([[0], np.cumsum(~wild if wild is not None else np.ones(len(count), dtype=int))])
-    between = skip[places[1:]] - skip[places[:-1] + 1]
-    cuts = np.flatnonzero(between > 0) + 1
-    total = np.concatenate([[0], np.cumsum(count)])
-    bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True)
-    found = [(int(places[x]), int(places[y - 1]) + 1) for x, y in bounds]
-    return [(x, y) for x, y in found if total[y] - total[x] >= MIN_WORDS]
+def ties(lists: DataFrame) -> DataFrame:
+    """(uid, first, n): a document, the first holder of a passage in it, and how many documents hold the rarest such passage."""
+    held = lists.select("uid", "key", F.explode(F.array_distinct("passages")).alias("passage"))
+    counted = held.groupBy("passage").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
+    shared = persist_table(counted.where("first <> last").drop("last"), "shared-passages")
+    told = marked(held, ["passage"], shared, ["passage"]).where("_maybe").drop("_maybe")
+    met = salted_join(told, shared, ["passage"], ["uid"], shared.select("passage", "n"))
+    return met.where("key <> first").groupBy("uid", "first").agg(F.min("n").alias("n"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with passages deleted from ``text``, and deleted_words and copied_from (keys of the earlier documents)."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    lists = persist_table(line_lists(docs, key, text), "lines")
-    long_lines = F.transform(
-        F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= MIN_LINE), lambda x: x["hashes"]
-    )
-    held = lists.select("key", "th", F.explode(F.array_distinct(long_lines)).alias("hash"))
-    me = F.struct("key", "th")
-    shared = (
-        held.groupBy("hash").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("hash", "first")
-    )
-    at = lists.select("key", "th", F.posexplode(F.arrays_zip("hashes", "words")).alias("pos", "line")).where(
-        F.col("line.words") >= MIN_LINE
-    )
-    ties = at.select("key", "th", "pos", F.col("line.hashes").alias("hash")).join(shared, "hash").where(me != F.col("first"))
-    per_doc = ties.groupBy("key", "th").agg(F.collect_list(F.struct("pos", "first")).alias("ties"))
-    candidates = per_doc.join(lists, ["key", "th"]).select(
-        "key", "th", "hashes", "words", F.col("ties.pos").alias("pos"), F.col("ties.first.key").alias("fk"), F.col("ties.first.th").alias("ft")
-    )
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for row, (count, pos, fk, ft) in enumerate(zip(*(batch.column(k) for k in range(3, 7)), strict=True)):
-                place = pos.values.to_numpy()
-                order = np.argsort(place, kind="stable")
-                words_ = count.values.to_numpy()
-                first = list(zip(fk.values.to_pylist(), ft.values.to_pylist(), strict=True))
-                whom = {int(place[k]): first[k] for k in order.tolist()}
-                found: set[tuple[int, int]] = set()
-                for x, y in runs(place[order], words_, words_ < MIN_LINE):
-                    found |= {whom[k] for k in range(x, y) if k in whom}
-                out += [(row, *who) for who in sorted(found)]
-            rows = pa.array([x[0] for x in out], pa.int64())
-            yield pa.record_batch(
-                [batch.column(k).take(rows) for k in range(4)] + [pa.array([x[k] for x in out], pa.int64()) for k in (1, 2)],
-                names=["key", "th", "hashes", "words", "fk", "ft"],
-            )
-
-    # alignment asks only which lines are short
-    few = lambda c: F.transform(c, lambda x: F.least(x, F.lit(MIN_LINE)).cast("byte"))
-    pairs = candidates.mapInArrow(pair_up, "key long, th long, hashes array<long>, words array<int>, fk long, ft long")
-    pairs = pairs.withColumn("few", few("words")).drop("words")
-    earlier = lists.select(F.col("key").alias("fk"), F.col("th").alias("ft"), F.col("hashes").alias("others"), few("words").alias("others_few"))
-    both = pairs.join(earlier, ["fk", "ft"]).select("key", "th", "fk", "hashes", "others", "few", "others_few")
+def block_spans(lists: DataFrame) -> DataFrame:
+    """(key, th, copied_from, deleted_words, spans): the texts that lose blocks, and the spans of bytes that stay."""
+    pairs = persist_table(ties(lists).drop("n"), "ties")
+    mine = pairs.join(lists.select("uid", "key", "th", "hashes", "words", "ends"), "uid")
+    earlier = lists.select(F.col("key").alias("first"), F.col("hashes").alias("others"), F.col("words").alias("others_words"))
+    # one document may be the first holder for a third of all
+    both = salted_join(mine, earlier, ["first"], ["uid"], pairs.groupBy("first").agg(F.count("*").alias("n")))
+    both = both.select("uid", "key", "th", "first", "hashes", "words", "ends", "others", "others_words")
+    block = pa.struct([(c, pa.int64()) for c in ("start", "past", "words_start", "words_past")])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [
-                aligned_places(*(x.values.to_pylist() for x in row))
-                for row in zip(*(batch.column(k) for k in (4, 3, 6, 5)), strict=True)
-            ]
-            yield pa.record_batch(
-                [batch.column(k) for k in range(3)] + [pa.array(places, pa.list_(pa.int32()))], names=["key", "th", "fk", "places"]
-            )
-
-    aligned = both.mapInArrow(align, "key long, th long, fk long, places array<int>")
-    covered = aligned.groupBy("key", "th").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.collect_set("fk")).alias("copied_from")
+            found: list[list[dict]] = []
+            for row in zip(*(batch.column(k) for k in range(4, 9)), strict=True):
+                hashes, count, ends, others, others_count = (x.values.to_numpy() for x in row)
+                a, b = Lines(others, others_count), Lines(hashes, count)
+                at = np.concatenate([[0], ends])
+                edges = [(x, y) for x, y in common_blocks(a, b)]
+                found.append([dict(zip(("start", "past", "words_start", "words_past"), (int(at[x]), int(at[y]), int(b.total[x]), int(b.total[y])), strict=True)) for x, y in edges])
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(found, pa.list_(block))], names=["uid", "key", "th", "first", "blocks"])
+
+    kind = "array<struct<start:long,past:long,words_start:long,words_past:long>>"
+    aligned = both.mapInArrow(align, f"uid long, key long, th long, first long, blocks {kind}").where(F.size("blocks") > 0)
+    of_text = aligned.groupBy("uid", "key", "th").agg(
+        F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"), F.array_sort(F.collect_set("first")).alias("copied_from")
     )
-    # spans of bytes that stay
-    kept_schema = "key long, th long, copied_from array<long>, deleted_words long, spans array<struct<start:int,size:int>>"
+    ended = of_text.join(lists.select("uid", F.element_at("ends", -1).cast("long").alias("size")), "uid")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
+        span = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
         for batch in batches:
-            rows, gone, out = [], [], []
-            for row, (places, count, ends) in enumerate(zip(*(batch.column(k) for k in (3, 4, 5)), strict=True)):
-                words_, end = count.values.to_numpy(), ends.values.to_numpy()
-                blocks = runs(np.sort(places.values.to_numpy()), words_)
-                if not blocks:
-                    continue
-                start = np.concatenate([[0], end[:-1]])
-                low, own = 0, []
-                for x, y in blocks:
-                    if start[x] > low:
-                        own.append({"start": low, "size": int(start[x]) - low})
-                    low = int(end[y - 1])
-                if int(end[-1]) > low:
-                    own.append({"start": low, "size": int(end[-1]) - low})
-                rows.append(row)
-                gone.append(sum(int(words_[x:y].sum()) for x, y in blocks))
-                out.append(own)
-            take = pa.array(rows, pa.int64())
-            yield pa.record_batch(
-                [batch.column(k).take(take) for k in range(3)] + [pa.array(gone, pa.int64()), pa.array(out, kind)],
-                names=["key", "th", "copied_from", "deleted_words", "spans"],
-            )
-
-    cuts = covered.join(lists, ["key", "th"]).select("key", "th", "copied_from", "places", "words", "ends").mapInArrow(spans, kept_schema)
-    cuts = persist_table(cuts, "line-cuts").dropDuplicates(["key", "th"]).withColumnsRenamed(
-        {"key": "_key", "th": "_th", "copied_from": "_from", "deleted_words": "_gone", "spans": "_spans"}
-    )
-    raw = F.encode(F.col(text), "UTF-8")
+            gone, kept = [], []
+            for own, size in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                at = done = words_gone = 0
+                left = []
+                for x in own:
+                    if x["start"] > at:
+                        left.append({"start": at, "size": x["start"] - at})
+                    words_gone += max(0, x["words_past"] - max(done, x["words_start"]))
+                    at, done = max(at, x["past"]), max(done, x["words_past"])
+                if size > at:
+                    left.append({"start": at, "size": size - at})
+                gone.append(words_gone)
+                kept.append(left)
+            columns = [*(batch.column(k) for k in range(3)), pa.array(gone, pa.int64()), pa.array(kept, span)]
+            yield pa.record_batch(columns, names=["key", "th", "copied_from", "deleted_words", "spans"])
+
+    schema = "key long, th long, copied_from array<long>, deleted_words long, spans array<struct<start:int,size:int>>"
+    return ended.select("key", "th", "copied_from", "blocks", "size").mapInArrow(spans, schema)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with passages deleted from ``text``, and deleted_words and copied_from (keys of the earlier documents)."""
+    added = ("deleted_words", "copied_from")
+    names = [c for c in docs.columns if c not in added]
+    lists = persist_table(line_lists(docs, key, text).withColumn("uid", F.monotonically_increasing_id()), "lines")
+    cuts = persist_table(block_spans(lists), "line-cuts").dropDuplicates(["key", "th"])
+    # columns go by number, so that none can clash with those in use here
+    rows = docs.select(*names).toDF(*[f"c{k}" for k in range(len(names))])
+    its_key, its_text = (f"c{names.index(c)}" for c in (key, text))
+    rows = rows.withColumns({"key": F.col(its_key).cast("long"), "th": F.xxhash64(its_text)})
+    # most documents have nothing to lose: they go by without a shuffle of their texts
+    told = marked(rows, ["key", "th"], cuts, ["key", "th"])
+    none = [F.lit(0).cast("long").alias(added[0]), F.array().cast("array<bigint>").alias(added[1])]
+    whole = told.where("not _maybe").select(*rows.columns[:-2], *none)
+    raw = F.encode(F.col(its_text), "UTF-8")
     left = F.decode(
-        F.aggregate("_spans", F.lit(b""), lambda out, s: F.concat(out, F.substring(raw, s["start"] + 1, s["size"]))), "UTF-8"
+        F.aggregate("spans", F.lit(b""), lambda out, s: F.concat(out, F.substring(raw, s["start"] + 1, s["size"]))), "UTF-8"
     )
-    names = [c for c in docs.columns if c not in ("deleted_words", "copied_from")]
-    rows = docs.select(names).withColumns({"_k": F.col(key).cast("long"), "_h": F.xxhash64(text)})
-    # most documents have nothing to lose: they go by without a shuffle of their texts
-    told = marked(rows, ["_k", "_h"], cuts, ["_key", "_th"])
-    none = [F.lit(0).cast("long").alias("deleted_words"), F.array().cast("array<bigint>").alias("copied_from")]
-    whole = told.where("not _maybe").select(*names, *none)
-    joined = told.where("_maybe").join(cuts, (F.col("_k") == F.col("_key")) & (F.col("_h") == F.col("_th")), "left")
-    changed = joined.withColumns(
+    changed = told.where("_maybe").join(cuts, ["key", "th"], "left").withColumns(
         {
-            text: F.when(F.col("_spans").isNull(), F.col(text)).otherwise(left),
-            "deleted_words": F.coalesce("_gone", F.lit(0)).cast("long"),
-            "copied_from": F.coalesce("_from", F.array().cast("array<bigint>")),
+            its_text: F.when(F.col("spans").isNull(), F.col(its_text)).otherwise(left),
+            added[0]: F.coalesce(added[0], F.lit(0)).cast("long"),
+            added[1]: F.coalesce(added[1], F.array().cast("array<bigint>")),
         }
     )
-    return whole.unionByName(changed.select(*names, "deleted_words", "copied_from"))
+    return whole.unionByName(changed.select(*rows.columns[:-2], *added)).toDF(*names, *added)

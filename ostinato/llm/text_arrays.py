@@ -57,12 +57,12 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_powers = Powers()
+powers = Powers()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, from one running polynomial sum."""
-    up, down = _powers.get(len(data) + 1)
+    up, down = powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(table[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP))

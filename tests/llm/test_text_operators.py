@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ostinato.llm import bin_packing, bpe_codec, line_dedup, shingle_join, text_arrays, toxic_terms
+from ostinato.runtime import persist_table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -190,10 +191,112 @@ def test_join_of_nothing_and_of_null_keys(spark):
 # --- passages
 
 
-def test_patience_finds_moved_blocks():
-    a, b = list(range(20)), [*range(10, 20), 99, *range(10)]
-    assert line_dedup.aligned_places(a, b) == [*range(10), *range(11, 21)]
-    assert line_dedup.patience([], [1]) == [] and line_dedup.aligned_places([1, 1], [2]) == []
+def as_lines(values, count=16):
+    """Lines of 16 words each, so that a block needs two of them."""
+    return line_dedup.Lines(np.array(values, dtype=np.uint64), np.full(len(values), count, dtype=np.int32))
+
+
+def test_alignment_keeps_the_order():
+    blocks = lambda a, b, n=16: line_dedup.common_blocks(as_lines(a, n), as_lines(b, n))
+    assert blocks(range(20), range(19, -1, -1)) == []  # reversed
+    assert blocks(range(20), [k for k in range(20) if k % 2]) == []  # never side by side
+    assert blocks(range(20), [*range(10, 20), 99, *range(10)]) == [(0, 10), (11, 21)]  # moved
+    assert blocks([1, 2, 3], [1, 2, 3, 1, 2, 3, 9]) == [(0, 3), (3, 6)]  # repeated later
+    assert blocks([1, 1, 1, 1, 1], [1, 1, 1, 1]) == [(0, 4)]  # nothing unique
+    assert blocks([1, 1], [2]) == blocks([], [1]) == blocks([7], [7]) == []
+    assert blocks([7], [7], 40) == [(0, 1)]
+    assert line_dedup.patience(as_lines([8, 1, 2, 9, 5, 6]), as_lines([1, 2, 7, 5, 6])) == [(1, 0, 2), (4, 3, 2)]
+
+
+def test_blocks_equal_brute_force():
+    rng = random.Random(12)
+    for trial in range(300):
+        k = rng.choice([2, 4, 30])
+        a, b = ([rng.randrange(k) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        at = rng.randint(0, len(b))
+        x, y = sorted(rng.randint(0, len(a)) for _ in range(2))
+        b[at:at] = a[x:y]
+        got = line_dedup.common_blocks(as_lines(a), as_lines(b))
+        inside = lambda run: any(a[i : i + len(run)] == run for i in range(len(a)))
+        assert all(y - x >= 2 and inside(b[x:y]) for x, y in got), trial
+        assert all(p[1] <= q[0] for p, q in zip(got, got[1:], strict=False))
+        edges = [0, *[x for block in got for x in block], len(b)]
+        # nothing that could be a block is left
+        for low, high in zip(edges[::2], edges[1::2], strict=True):
+            assert not any(inside(b[j : j + 2]) for j in range(low, high - 1)), trial
+
+
+def test_reversed_and_gathered_texts_lose_nothing(spark):
+    rng = random.Random(31)
+    sentence = lambda n: " ".join(words_of(rng, n)).capitalize() + "."
+    own = [[sentence(10) for _ in range(6)] for _ in range(8)]
+    texts = [*[" ".join(x) for x in own], " ".join(own[1][::-1]), " ".join(x[k % 6] for k, x in enumerate(own))]
+    often, fewer = " ".join([own[0][0]] * 5), " ".join([own[0][0]] * 4)
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, [*texts, often, fewer])).collect()}
+    assert all(got[k]["text"] == t and got[k]["copied_from"] == [] for k, t in enumerate([*texts, often]))
+    assert got[11]["text"] == "" and got[11]["deleted_words"] == 40 and got[11]["copied_from"] == [10]
+    # a gathered text is a first holder like any other
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, [*texts, f"{sentence(10)} {texts[9]} {sentence(7)}"])).collect()}
+    assert got[10]["deleted_words"] == 80 and got[10]["copied_from"] == [9]
+
+
+def test_deduplication_equals_brute_force(spark):
+    """Against all earlier texts: what goes stands in one of them in runs of MIN_WORDS words, and no such run is left."""
+    rng = random.Random(14)
+    pool = [" ".join(words_of(rng, rng.randint(1, 14))).capitalize() + rng.choice(".!?\n") for _ in range(60)]
+    made: list[list[str]] = []
+    for _ in range(60):
+        own = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        if made and rng.random() < 0.7:
+            other = rng.choice(made)
+            x, y = sorted(rng.randint(0, len(other)) for _ in range(2))
+            at = rng.randint(0, len(own))
+            own[at:at] = other[x:y] * rng.choice([1, 1, 2])
+        made.append(own)
+    texts = [" ".join(x) for x in made]
+    lists = persist_table(line_dedup.line_lists(docs(spark, texts), "doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "test-lines")
+    found = {r["key"]: r for r in line_dedup.block_spans(lists).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, texts)).collect()}
+    held: list[list[int]] = []
+    assert len(found) > 10
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        hashes, count, ends, _ = line_dedup.lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        hashes, count, starts = hashes.tolist(), count.tolist(), [0, *ends.tolist()]
+        stays = [(x["start"], x["start"] + x["size"]) for x in found[k]["spans"]] if k in found else [(0, len(raw) + 1)]
+        gone = [not any(x <= at < y for x, y in stays) for at in starts[:-1]]
+        earlier = lambda run: any(h[i : i + len(run)] == run for h in held for i in range(len(h)))
+        runs = [(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes) + 1) if sum(count[i:j]) >= line_dedup.MIN_WORDS and earlier(hashes[i:j])]
+        assert all(any(gone[i:j]) for i, j in runs), k  # no block is left whole
+        assert all(any(i <= x < j for i, j in runs) for x in range(len(hashes)) if gone[x]), k
+        assert got[k]["deleted_words"] == sum(c for c, g in zip(count, gone, strict=True) if g)
+        assert got[k]["text"].split() == b"".join(raw[x:y] for x, y in stays).decode().split()
+        held.append(hashes)
+
+
+def test_any_column_name_passes_through(spark):
+    clash = ["_place", "_word", "_bits", "_maybe", "_key", "_th", "key", "th", "spans", "uid", "first", "c0", "_f0", "_f1", "copied_from"]
+    rng = random.Random(3)
+    text = " ".join(" ".join(words_of(rng, 9)).capitalize() + "." for _ in range(6))
+    rows = docs(spark, [text, text + " Tail.", None])
+    for k, name in enumerate(clash):
+        rows = rows.withColumn(name, F.lit(k))
+    got = line_dedup.deduplicated(rows)
+    assert got.columns == [c for c in rows.columns if c != "copied_from"] + ["deleted_words", "copied_from"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert found[1]["text"] == "Tail." and found[1]["copied_from"] == [0] and found[0]["text"] == text and found[2]["text"] is None
+    assert all(r[c] == k for r in found.values() for k, c in enumerate(clash[:-1]))
+
+
+def test_equal_keys_and_very_long_texts(spark):
+    rng = random.Random(33)
+    sentence = lambda: " ".join(words_of(rng, 9)).capitalize() + "."
+    long = " ".join(sentence() for _ in range(20_000))
+    short = " ".join(sentence() for _ in range(5))
+    rows = docs(spark, [long, long[5000:900_000], short]).unionAll(docs(spark, [short], 2)).unionAll(docs(spark, [short + " X y."], 2))
+    got = line_dedup.deduplicated(rows).collect()
+    assert len(got) == 5 and sum(r["deleted_words"] == 0 for r in got) == 4
+    assert next(r for r in got if r["doc_id"] == 1)["deleted_words"] > 100_000
 
 
 def test_passages_leave_the_later_document_only(spark):
@@ -221,10 +324,6 @@ def test_passages_leave_the_later_document_only(spark):
 
 
 def test_repeated_passages_leave_the_later_document(spark):
-    assert line_dedup.aligned_places([1, 2, 3], [1, 2, 3, 1, 2, 3, 9]) == [*range(6)]
-    assert line_dedup.aligned_places([1, 2, 1, 2, 7], [8, 1, 2]) == [1, 2]
-    # a line of fewer than MIN_LINE words only beside another that is held too
-    assert line_dedup.aligned_places([1, 2, 1, 2], [2, 9, 2, 9, 1, 2, 1], [2] * 4, [2] * 7) == [4, 5, 6]
     rng = random.Random(18)
     sentence = lambda n: " ".join(words_of(rng, n)).capitalize() + "."
     passage, own = ([sentence(9) for _ in range(6)] for _ in range(2))
@@ -245,6 +344,12 @@ def test_lines_of_a_passage_are_the_same_wherever_it_stands():
     inner = hashes(passage)
     assert inner == hashes("some words that came before " + passage)[1:]
     assert inner == hashes(passage + " and some words after it")[: len(inner)]
+    # without capitals and marks, and with capitals everywhere
+    rng = random.Random(41)
+    for shape in (str.lower, str.title, lambda t: "".join(chr(0x430 + ord(c) % 32) if c != " " else c for c in t)):
+        plain = shape(" ".join(words_of(rng, 60)))
+        inside = hashes(shape(" ".join(words_of(rng, 30))) + " " + plain + " " + shape(" ".join(words_of(rng, 30))))
+        assert len(set(hashes(plain)) & set(inside)) >= len(hashes(plain)) - 2
 
 
 # --- toxicity
