@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.music import BLACK, LOWEST, MAJOR_SCALE
+from ostinato.runtime import persist_table
 
 HEIGHT, WIDTH, BAND = 100, 208, 32
 SCALE = HEIGHT / 300.0
@@ -36,29 +37,37 @@ def key_spans(width: int = WIDTH) -> dict[int, tuple[int, int]]:
     return out
 
 
-def drawn(rows: pd.DataFrame, spans: dict[int, tuple[int, int]]) -> np.ndarray:
-    image = np.empty((HEIGHT, WIDTH, 3), np.uint8)
+def drawn(tiles: list[tuple[bool, int, int, int, int, str]], width: int = WIDTH) -> np.ndarray:
+    """A picture of tiles (black key, first column, past column, first row, past row, hand), black keys over white ones."""
+    image = np.empty((HEIGHT, width, 3), np.uint8)
     image[:] = BACKGROUND
-    order = sorted(rows.itertuples(), key=lambda r: r.pitch % 12 in BLACK)
-    for r in order:
-        a, b = spans[int(r.pitch)]
-        image[int(round(r.top * SCALE)) : max(int(round(r.bottom * SCALE)), int(round(r.top * SCALE)) + 1), a:b] = COLOURS[r.hand]
+    for _, a, b, top, bottom, hand in sorted(tiles, key=lambda t: t[0]):
+        image[top:bottom, a:b] = COLOURS[hand]
     return image
 
 
 def render(tiles: DataFrame) -> DataFrame:
-    """A picture per frame that shows a tile."""
+    """A picture per frame that shows a tile. A frame's tiles, which one picture has room for, are gathered; drawing is one pass."""
 
-    def build(own: pd.DataFrame) -> pd.DataFrame:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = key_spans()
-        out = []
-        for (frame, time), rows in own.groupby(["frame", "time"]):
-            out.append((own["clip_id"].iloc[0], frame, time, HEIGHT, WIDTH, drawn(rows, spans).tobytes()))
-        return pd.DataFrame(out, columns=["clip_id", "frame", "time", "height", "width", "image"])
-
-    # a clip's pictures are dealt by ten frames, so no call holds a clip
-    dealt = tiles.withColumn("ten", F.floor(F.col("frame") / 10))
-    return dealt.groupBy("clip_id", "ten").applyInPandas(build, FRAME)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                images = []
+                for shown in part.column(3).to_pylist():
+                    own = []
+                    for t in shown:
+                        top = round(t["top"] * SCALE)
+                        own.append((t["pitch"] % 12 in BLACK, *spans[t["pitch"]], top, max(round(t["bottom"] * SCALE), top + 1), t["hand"]))
+                    images.append(drawn(own).tobytes())
+                n = part.num_rows
+                columns = [*(part.column(k) for k in range(3)), pa.array([HEIGHT] * n, pa.int32()), pa.array([WIDTH] * n, pa.int32()), pa.array(images, pa.binary())]
+                yield pa.record_batch(columns, names=["clip_id", "frame", "time", "height", "width", "image"])
+
+    each = F.struct(F.col("pitch").cast("int").alias("pitch"), "top", "bottom", "hand")
+    shown = tiles.groupBy(F.col("clip_id").cast("long").alias("clip_id"), F.col("frame").cast("long").alias("frame"), "time")
+    return shown.agg(F.sort_array(F.collect_list(each)).alias("tiles")).mapInArrow(build, FRAME)
 
 
 def picture(image: bytes, height: int, width: int) -> np.ndarray:
@@ -74,26 +83,26 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
     colours = np.array([palette[n] for n in names], dtype=np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boards: dict[int, tuple] = {}
         for batch in batches:
             out: list[tuple] = []
             for clip, frame, time, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if w not in boards:
+                    boards[w] = _board(w)
+                keys, spans, share = boards[w]
                 image = picture(raw, h, w).astype(np.float32)
-                apart = np.linalg.norm(image[:, :, None, :] - colours, axis=3)
-                label = np.where(apart.min(axis=2) <= radius, apart.argmin(axis=2), -1)
-                free = np.ones(w, dtype=bool)
-                spans = key_spans(w)
-                for pitch in sorted(spans, key=lambda p: p % 12 not in BLACK):
-                    a, b = spans[pitch]
-                    columns = np.arange(a, b)
-                    if pitch % 12 in BLACK:
-                        free[a:b] = False
-                    else:
-                        columns = columns[free[a:b]]
-                    part = label[:, columns]
-                    for c, name in enumerate(names):
-                        on = np.concatenate([[False], (part == c).mean(axis=1) > 0.5, [False]])
-                        edges = np.flatnonzero(on[1:] != on[:-1])
-                        out += [(clip, frame, time, pitch, name, float(x), float(y)) for x, y in edges.reshape(-1, 2).tolist() if _own(part, label, c, x, y, a, b, pitch)]
+                apart = np.stack([np.square(image - c).sum(axis=2) for c in colours], axis=2)
+                label = np.where(apart.min(axis=2) <= radius * radius, apart.argmin(axis=2), -1)
+                for c, name in enumerate(names):
+                    lit = label == c
+                    if not lit.any():
+                        continue
+                    on = np.zeros((len(keys), h + 2), dtype=bool)  # a row per key, dark at both ends
+                    on[:, 1:-1] = (lit.astype(np.float32) @ share).T > 0.5
+                    key, edge = np.nonzero(on[:, 1:] != on[:, :-1])
+                    for k, x, y in zip(key[::2].tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                        if _own(label, c, x, y, *spans[keys[k]], keys[k]):
+                            out.append((clip, frame, time, keys[k], name, float(x), float(y)))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
             columns_ = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
             yield pa.record_batch(columns_, names=["clip_id", "frame", "time", "pitch", "hand", "top", "bottom"])
@@ -101,7 +110,23 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
     return frames.mapInArrow(run, "clip_id long, frame long, time double, pitch long, hand string, top double, bottom double")
 
 
-def _own(part: np.ndarray, label: np.ndarray, colour: int, top: int, bottom: int, a: int, b: int, pitch: int) -> bool:
+def _board(width: int) -> tuple[list[int], dict[int, tuple[int, int]], np.ndarray]:
+    """Keys, their columns, and a matrix that takes the mean over each key's own columns; black keys' columns are theirs alone."""
+    spans = key_spans(width)
+    keys = sorted(spans)
+    share = np.zeros((width, len(keys)), dtype=np.float32)
+    dark = np.zeros(width, dtype=bool)
+    for k in sorted(range(len(keys)), key=lambda k: keys[k] % 12 not in BLACK):
+        a, b = spans[keys[k]]
+        black = keys[k] % 12 in BLACK
+        own = np.arange(a, b) if black else a + np.flatnonzero(~dark[a:b])
+        dark[a:b] |= black
+        if len(own):
+            share[own, k] = 1 / len(own)
+    return keys, spans, share
+
+
+def _own(label: np.ndarray, colour: int, top: int, bottom: int, a: int, b: int, pitch: int) -> bool:
     """A black key's run is its own unless the colour goes on over the white keys on a side of it."""
     if pitch % 12 not in BLACK:
         return True
@@ -214,7 +239,8 @@ def palette(frames: DataFrame, colours: int = 3, seed: int = 5) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    counts = frames.mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").cast("double").alias("n"))
+    # written down: the fit goes over the counts many times, and drawing or decoding pictures is dear
+    counts = persist_table(frames.mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").cast("double").alias("n")), "colour-counts")
     part = lambda k: (F.shiftright("c", k).bitwiseAND(31) * 8 + 4).cast("double")
     points = counts.select("n", array_to_vector(F.array(part(10), part(5), part(0))).alias("features"))
     model = KMeans(k=colours, seed=seed, weightCol="n", initSteps=4).fit(points)
