@@ -2,13 +2,14 @@
 
 A line ends at a line break, after a sentence mark, before a capitalised word and, in a stretch of more than ``LONG_LINE`` words
 without any of these, before words whose hash says so. Each of these cuts depends on the words beside it, so a passage has the
-same lines wherever it stands, but for its first and last one. Lines are compared by 64-bit hashes of their bytes.
+same lines wherever it stands, but for its first and last one. Lines are compared by hashes of their bytes.
 
-Candidates. Single lines are often common and prove nothing, so what ties texts is the hash of a run of lines: from each line on, the
-fewest lines that hold ``MIN_WORDS`` words together, however short they are. How many texts hold each run is counted; one that a
-single text holds ties nothing, and each other one ties its later texts to its first holder. Every block that can be deleted starts
-with such a run, so no block is missed, and ties are linear in the lines however common a run is: its other holders are never paired
-with each other. Between two texts the rarest shared run speaks for all of them.
+Candidates. Single lines are often common and prove nothing, so what ties texts is the 64-bit hash of a run of lines: from each line
+on, the fewest lines that hold ``MIN_WORDS`` words together, however short they are. Of each ``BESIDE`` such runs that start one after
+the other the one with the smallest hash is kept (winnowing, Schleimer et al., 2003), so two texts that share a block in which BESIDE
+runs start always keep one of them both; a text with fewer runs keeps one. How many texts hold each kept run is counted; one that a
+single text holds ties nothing, and each other one ties its later texts to its first holder. So ties are linear in the lines however
+common a run is: its other holders are never paired with each other. Between two texts the rarest shared run speaks for all of them.
 
 Alignment. A pair's whole line lists are aligned in one order: the longest increasing chain of lines that both hold once, grown over equal
 neighbours; between anchors the same again; a stretch without lines that both hold once goes on with its longest common run. A
@@ -33,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.key_filter import marked
+from ostinato.llm.key_filter import marked, without
 from ostinato.llm.spread import salted_join
 from ostinato.llm.text_arrays import byte_table, mix, powers, slices, span_hashes, words
 from ostinato.runtime import persist_table
 
-MIN_WORDS = 24
+MIN_WORDS, BESIDE = 24, 4
 #: A stretch of more words without a cut is cut before words whose hash is a multiple of CUT.
 LONG_LINE, CUT = 8, 4
 
@@ -87,7 +88,7 @@ class Lines:
     """Line hashes of one or more texts with sums that give a hash of any run of them."""
 
     def __init__(self, hashes: np.ndarray, count: np.ndarray):
-        self.hashes = hashes.view(np.uint64) if hashes.dtype == np.int64 else hashes
+        self.hashes = hashes.astype(np.uint64)
         self.total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         up, self.down = powers.get(len(hashes) + 1)
         self.sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
@@ -109,8 +110,23 @@ class Lines:
         return start, n, self.run(start, n)
 
 
+def kept_runs(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places of the smallest of each BESIDE runs in a row of one text; ``bounds`` are the texts' first runs."""
+    n = np.diff(bounds)
+    last = np.repeat(bounds[1:], n)
+    place = np.arange(len(runs))
+    groups = place[(place + BESIDE <= last) | (place == np.repeat(bounds[:-1], n))]
+    if not len(groups):
+        return groups
+    own = groups[:, None] + np.arange(BESIDE)
+    inside = own < last[groups][:, None]
+    value = np.where(inside, runs[np.minimum(own, len(runs) - 1)], np.uint64((1 << 64) - 1))
+    return np.unique(groups + value.argmin(axis=1))
+
+
 def line_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document with words: key, th (hash of the text), its lines' hashes, words and ends, and its passages' hashes."""
+    """Per document of MIN_WORDS words or more: key, th (hash of the text), its lines' hashes (32 bits, enough within a pair), words
+    and bytes, the hashes of its kept runs, and its bytes and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,22 +134,28 @@ def line_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
                 hashes, count, ends, bounds = lines(data, offsets)
                 last = np.repeat(bounds[1:], np.diff(bounds))
                 start, _, passages = Lines(hashes, count).passages(last)
+                of_text = np.searchsorted(start, bounds)
+                kept = kept_runs(passages, of_text)
+                before = np.concatenate([[0], ends[:-1]])
+                before[bounds[:-1][np.diff(bounds) > 0]] = 0
                 at = pa.array(bounds.astype(np.int32))
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, end - first),
                         batch.column(1).slice(first, end - first),
-                        pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64))),
+                        pa.ListArray.from_arrays(at, pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                         pa.ListArray.from_arrays(at, pa.array(count)),
-                        pa.ListArray.from_arrays(at, pa.array(ends)),
-                        pa.ListArray.from_arrays(pa.array(np.searchsorted(start, bounds).astype(np.int32)), pa.array(passages.view(np.int64))),
+                        pa.ListArray.from_arrays(at, pa.array((ends - before).astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(kept, of_text).astype(np.int32)), pa.array(passages[kept].view(np.int64))),
+                        pa.array(np.diff(offsets)),
+                        pa.array(np.diff(np.concatenate([[0], np.cumsum(count, dtype=np.int64)])[bounds])),
                     ],
-                    names=["key", "th", "hashes", "words", "ends", "passages"],
+                    names=["key", "th", "hashes", "words", "sizes", "passages", "size", "n_words"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = rows.where("key is not null and text is not null")
-    made = rows.mapInArrow(run, "key long, th long, hashes array<long>, words array<int>, ends array<int>, passages array<long>")
+    made = rows.mapInArrow(run, "key long, th long, hashes array<int>, words array<int>, sizes array<int>, passages array<long>, size long, n_words long")
     return made.where(F.size("passages") > 0)
 
 
@@ -157,12 +179,14 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _once(values: list[int], low: int, high: int) -> dict[int, int]:
-    """Places of the values that occur once in values[low:high]."""
-    place: dict[int, int] = {}
-    for k in range(low, high):
-        place[values[k]] = -1 if values[k] in place else k
-    return {v: k for v, k in place.items() if k >= 0}
+def _anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(place in b, place in a) of the values that both hold once, in the order of b."""
+    once = []
+    for x in (a, b):
+        value, at, n = np.unique(x, return_index=True, return_counts=True)
+        once.append((value[n == 1], at[n == 1]))
+    _, p, q = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    return sorted(zip(once[1][1][q].tolist(), once[0][1][p].tolist(), strict=True))
 
 
 def longest_run(a: Lines, alo: int, ahi: int, b: Lines, blo: int, bhi: int) -> tuple[int, int, int]:
@@ -198,9 +222,8 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
         alo, ahi, blo, bhi = todo.pop()
         if min(a.total[ahi] - a.total[alo], b.total[bhi] - b.total[blo]) < MIN_WORDS:
             continue
-        once = _once(left, alo, ahi)
-        common = sorted((k, once[v]) for v, k in _once(right, blo, bhi).items() if v in once)
-        anchors = [common[k] for k in _increasing([x for _, x in common])]
+        common = _anchors(a.hashes[alo:ahi], b.hashes[blo:bhi])
+        anchors = [(blo + common[k][0], alo + common[k][1]) for k in _increasing([x for _, x in common])]
         if not anchors:
             i, j, n = longest_run(a, alo, ahi, b, blo, bhi)
             if b.total[j + n] - b.total[j] >= MIN_WORDS:
@@ -264,8 +287,16 @@ def common_blocks(a: Lines, b: Lines) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def copies(lists: DataFrame) -> DataFrame:
+    """(uid, key, th, first, size, n_words) of the documents whose whole text an earlier key has, with the first such key."""
+    thin = lists.select("uid", "key", "th", "size", "n_words")
+    counted = lists.groupBy("th").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first <> last")
+    counted = persist_table(counted.drop("last"), "equal-texts")
+    return persist_table(salted_join(thin, counted.select("th", "first"), ["th"], ["uid"], counted.select("th", "n")).where("key <> first"), "copies")
+
+
 def ties(lists: DataFrame) -> DataFrame:
-    """(uid, first, n): a document, the first holder of a passage in it, and how many documents hold the rarest such passage."""
+    """(uid, first, n): a document, the first holder of a run in it, and how many texts hold the rarest such run."""
     held = lists.select("uid", "key", F.explode(F.array_distinct("passages")).alias("passage"))
     counted = held.groupBy("passage").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
     shared = persist_table(counted.where("first <> last").drop("last"), "shared-passages")
@@ -275,22 +306,31 @@ def ties(lists: DataFrame) -> DataFrame:
 
 
 def block_spans(lists: DataFrame) -> DataFrame:
-    """(key, th, copied_from, deleted_words, spans): the texts that lose blocks, and the spans of bytes that stay."""
-    pairs = persist_table(ties(lists).drop("n"), "ties")
-    mine = pairs.join(lists.select("uid", "key", "th", "hashes", "words", "ends"), "uid")
-    earlier = lists.select(F.col("key").alias("first"), F.col("hashes").alias("others"), F.col("words").alias("others_words"))
+    """(key, th, copied_from, deleted_words, spans): the texts that lose blocks, and the spans of bytes that stay.
+
+    Equal texts are one text until the end: only the document of the smallest key is compared with others.
+    """
+    again = copies(lists)
+    own = without(lists, ["uid"], again, ["uid"], lists.select("uid"))
+    pairs = persist_table(ties(own).drop("n"), "ties")
+    counts = pairs.groupBy("first").agg(F.count("*").alias("n"))
+    # only the lists of documents in pairs are shuffled
+    tied = marked(own, ["uid"], pairs, ["uid"]).where("_maybe").select("uid", "key", "th", "hashes", "words", "sizes")
+    mine = pairs.join(tied.hint("merge"), "uid")
+    holders = marked(own, ["key"], counts, ["first"]).where("_maybe")
+    earlier = holders.select(F.col("key").alias("first"), F.col("hashes").alias("others"), F.col("words").alias("others_words"))
     # one document may be the first holder for a third of all
-    both = salted_join(mine, earlier, ["first"], ["uid"], pairs.groupBy("first").agg(F.count("*").alias("n")))
-    both = both.select("uid", "key", "th", "first", "hashes", "words", "ends", "others", "others_words")
+    both = salted_join(mine, earlier, ["first"], ["uid"], counts)
+    both = both.select("uid", "key", "th", "first", "hashes", "words", "sizes", "others", "others_words")
     block = pa.struct([(c, pa.int64()) for c in ("start", "past", "words_start", "words_past")])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[dict]] = []
             for row in zip(*(batch.column(k) for k in range(4, 9)), strict=True):
-                hashes, count, ends, others, others_count = (x.values.to_numpy() for x in row)
+                hashes, count, sizes, others, others_count = (x.values.to_numpy() for x in row)
                 a, b = Lines(others, others_count), Lines(hashes, count)
-                at = np.concatenate([[0], ends])
+                at = np.concatenate([[0], np.cumsum(sizes)])
                 edges = [(x, y) for x, y in common_blocks(a, b)]
                 found.append([dict(zip(("start", "past", "words_start", "words_past"), (int(at[x]), int(at[y]), int(b.total[x]), int(b.total[y])), strict=True)) for x, y in edges])
             yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(found, pa.list_(block))], names=["uid", "key", "th", "first", "blocks"])
@@ -300,7 +340,7 @@ def block_spans(lists: DataFrame) -> DataFrame:
     of_text = aligned.groupBy("uid", "key", "th").agg(
         F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"), F.array_sort(F.collect_set("first")).alias("copied_from")
     )
-    ended = of_text.join(lists.select("uid", F.element_at("ends", -1).cast("long").alias("size")), "uid")
+    ended = of_text.join(lists.select("uid", "size").hint("merge"), "uid")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
@@ -322,7 +362,9 @@ def block_spans(lists: DataFrame) -> DataFrame:
             yield pa.record_batch(columns, names=["key", "th", "copied_from", "deleted_words", "spans"])
 
     schema = "key long, th long, copied_from array<long>, deleted_words long, spans array<struct<start:int,size:int>>"
-    return ended.select("key", "th", "copied_from", "blocks", "size").mapInArrow(spans, schema)
+    cut = ended.select("key", "th", "copied_from", "blocks", "size").mapInArrow(spans, schema)
+    nothing = F.array().cast("array<struct<start:int,size:int>>")
+    return cut.unionAll(again.select("key", "th", F.array("first"), F.col("n_words"), nothing))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,7 +385,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     left = F.decode(
         F.aggregate("spans", F.lit(b""), lambda out, s: F.concat(out, F.substring(raw, s["start"] + 1, s["size"]))), "UTF-8"
     )
-    changed = told.where("_maybe").join(cuts, ["key", "th"], "left").withColumns(
+    changed = told.where("_maybe").join(cuts.hint("merge"), ["key", "th"], "left").withColumns(
         {
             its_text: F.when(F.col("spans").isNull(), F.col(its_text)).otherwise(left),
             added[0]: F.coalesce(added[0], F.lit(0)).cast("long"),

@@ -33,4 +33,5 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], own: list[st
     one = marked(left).withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*own), F.col("_salts"))).cast("int"))
     every = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))
     two = marked(right).withColumn("_salt", F.explode(every))
-    return one.drop("_salts").join(two.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+    # a merge join at every size: what a side may be broadcast for at one size grows with the data
+    return one.drop("_salts").join(two.drop("_salts").hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -208,6 +208,19 @@ def test_alignment_keeps_the_order():
     assert line_dedup.patience(as_lines([8, 1, 2, 9, 5, 6]), as_lines([1, 2, 7, 5, 6])) == [(1, 0, 2), (4, 3, 2)]
 
 
+def test_kept_runs_are_the_smallest_of_their_neighbours():
+    rng = np.random.default_rng(2)
+    bounds = np.cumsum([0, 0, 1, 2, 3, 4, 5, 9, 0, 40])
+    runs = rng.integers(0, 30, bounds[-1]).astype(np.uint64)
+    want = set()
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        for k in range(x, max(x + (y > x), y - line_dedup.BESIDE + 1)):
+            own = runs[k : min(k + line_dedup.BESIDE, y)].tolist()
+            want.add(int(k + own.index(min(own))))
+    assert line_dedup.kept_runs(runs, bounds).tolist() == sorted(want)
+    assert line_dedup.kept_runs(runs[:0], np.zeros(3, int)).tolist() == []
+
+
 def test_blocks_equal_brute_force():
     rng = random.Random(12)
     for trial in range(300):
@@ -258,7 +271,7 @@ def test_deduplication_equals_brute_force(spark):
     found = {r["key"]: r for r in line_dedup.block_spans(lists).collect()}
     got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(spark, texts)).collect()}
     held: list[list[int]] = []
-    assert len(found) > 10
+    seen = 0
     for k, text in enumerate(texts):
         raw = text.encode()
         hashes, count, ends, _ = line_dedup.lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -266,12 +279,17 @@ def test_deduplication_equals_brute_force(spark):
         stays = [(x["start"], x["start"] + x["size"]) for x in found[k]["spans"]] if k in found else [(0, len(raw) + 1)]
         gone = [not any(x <= at < y for x, y in stays) for at in starts[:-1]]
         earlier = lambda run: any(h[i : i + len(run)] == run for h in held for i in range(len(h)))
+        hashes = [x >> 32 for x in hashes]
         runs = [(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes) + 1) if sum(count[i:j]) >= line_dedup.MIN_WORDS and earlier(hashes[i:j])]
-        assert all(any(gone[i:j]) for i, j in runs), k  # no block is left whole
+        # no block in which BESIDE runs start is left whole
+        large = [(i, j) for i, j in runs if sum(sum(count[x:j]) >= line_dedup.MIN_WORDS for x in range(i, j)) >= line_dedup.BESIDE]
+        assert all(any(gone[i:j]) for i, j in large), k
+        seen += len(large)
         assert all(any(i <= x < j for i, j in runs) for x in range(len(hashes)) if gone[x]), k
         assert got[k]["deleted_words"] == sum(c for c, g in zip(count, gone, strict=True) if g)
         assert got[k]["text"].split() == b"".join(raw[x:y] for x, y in stays).decode().split()
         held.append(hashes)
+    assert seen > 10 and len(found) > 10
 
 
 def test_any_column_name_passes_through(spark):
@@ -349,7 +367,7 @@ def test_lines_of_a_passage_are_the_same_wherever_it_stands():
     for shape in (str.lower, str.title, lambda t: "".join(chr(0x430 + ord(c) % 32) if c != " " else c for c in t)):
         plain = shape(" ".join(words_of(rng, 60)))
         inside = hashes(shape(" ".join(words_of(rng, 30))) + " " + plain + " " + shape(" ".join(words_of(rng, 30))))
-        assert len(set(hashes(plain)) & set(inside)) >= len(hashes(plain)) - 2
+        assert len(set(hashes(plain)) - set(inside)) <= 2
 
 
 # --- toxicity
