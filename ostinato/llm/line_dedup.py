@@ -159,6 +159,21 @@ def line_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
     return made.where(F.size("passages") > 0)
 
 
+class Passages:
+    """A text's runs of MIN_WORDS words: (first line, lines, hash) in the order of the text, and their places sorted by hash."""
+
+    def __init__(self, text: Lines):
+        self.start, self.n, self.runs = text.passages()
+        self.end = self.start + self.n
+        self.order = np.argsort(self.runs, kind="stable")
+        self.sorted = self.runs[self.order]
+
+    def inside(self, low: int, high: int) -> np.ndarray:
+        """Places of the runs in the lines from low to high."""
+        first, past = np.searchsorted(self.start, [low, high])
+        return first + np.flatnonzero(self.end[first:past] <= high)
+
+
 def _increasing(values: list[int]) -> list[int]:
     """Places of a longest increasing run."""
     tails: list[int] = []
@@ -212,7 +227,7 @@ def longest_run(a: Lines, alo: int, ahi: int, b: Lines, blo: int, bhi: int) -> t
     return *best, low
 
 
-def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
+def patience(a: Lines, b: Lines, of_a: Passages, of_b: Passages) -> list[tuple[int, int, int]]:
     """Aligned runs (place in a, place in b, lines), in the order of both. Stretches of fewer than MIN_WORDS words, in which no
     block has room, are left out."""
     left, right = a.hashes.tolist(), b.hashes.tolist()
@@ -225,6 +240,8 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
         common = _anchors(a.hashes[alo:ahi], b.hashes[blo:bhi])
         anchors = [(blo + common[k][0], alo + common[k][1]) for k in _increasing([x for _, x in common])]
         if not anchors:
+            if not np.isin(of_b.runs[of_b.inside(blo, bhi)], of_a.runs[of_a.inside(alo, ahi)]).any():
+                continue
             i, j, n = longest_run(a, alo, ahi, b, blo, bhi)
             if b.total[j + n] - b.total[j] >= MIN_WORDS:
                 out.append((i, j, n))
@@ -252,20 +269,18 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int, int]]:
     return joined
 
 
-def moved(a: Lines, b: Lines, low: int, high: int) -> list[tuple[int, int]]:
+def moved(a: Lines, b: Lines, of_a: Passages, of_b: Passages, low: int, high: int) -> list[tuple[int, int]]:
     """(first, past) of the runs of MIN_WORDS words or more in b's lines from low to high that stand somewhere in a, each as long as it
     can be."""
-    start, n, runs = b.passages(high)
-    start, n, runs = (x[np.searchsorted(start, low) :] for x in (start, n, runs))
-    starts_a, _, runs_a = a.passages()
-    order = np.argsort(runs_a, kind="stable")
-    first, past = (np.searchsorted(runs_a[order], runs, side=side) for side in ("left", "right"))
+    own = of_b.inside(low, high)
+    start, n, runs = of_b.start[own], of_b.n[own], of_b.runs[own]
+    first, past = (np.searchsorted(of_a.sorted, runs, side=side) for side in ("left", "right"))
     out: list[tuple[int, int]] = []
     for k in np.flatnonzero(past > first).tolist():
         j = int(start[k])
         if out and j < out[-1][1]:
             continue
-        places = starts_a[order[first[k] : past[k]]]
+        places = of_a.start[of_a.order[first[k] : past[k]]]
         short, long = np.full(len(places), n[k]), np.minimum(len(a) - places, high - j)
         while (short < long).any():
             half = (short + long + 1) // 2
@@ -279,11 +294,12 @@ def common_blocks(a: Lines, b: Lines) -> list[tuple[int, int]]:
     """(first, past) of the blocks of b's lines that an alignment with the earlier text a covers, in order."""
     if len(a) == len(b) and (a.hashes == b.hashes).all():
         return [(0, len(b))] if b.total[-1] >= MIN_WORDS else []
-    out = [(j, j + n) for _, j, n in patience(a, b) if b.total[j + n] - b.total[j] >= MIN_WORDS]
+    of_a, of_b = Passages(a), Passages(b)
+    out = [(j, j + n) for _, j, n in patience(a, b, of_a, of_b) if b.total[j + n] - b.total[j] >= MIN_WORDS]
     edges = [0, *[x for block in out for x in block], len(b)]
     for low, high in zip(edges[::2], edges[1::2], strict=True):
         if b.total[high] - b.total[low] >= MIN_WORDS:
-            out += moved(a, b, low, high)
+            out += moved(a, b, of_a, of_b, low, high)
     return sorted(out)
 
 

@@ -205,7 +205,8 @@ def test_alignment_keeps_the_order():
     assert blocks([1, 1, 1, 1, 1], [1, 1, 1, 1]) == [(0, 4)]  # nothing unique
     assert blocks([1, 1], [2]) == blocks([], [1]) == blocks([7], [7]) == []
     assert blocks([7], [7], 40) == [(0, 1)]
-    assert line_dedup.patience(as_lines([8, 1, 2, 9, 5, 6]), as_lines([1, 2, 7, 5, 6])) == [(1, 0, 2), (4, 3, 2)]
+    one, two = as_lines([8, 1, 2, 9, 5, 6]), as_lines([1, 2, 7, 5, 6])
+    assert line_dedup.patience(one, two, line_dedup.Passages(one), line_dedup.Passages(two)) == [(1, 0, 2), (4, 3, 2)]
 
 
 def test_kept_runs_are_the_smallest_of_their_neighbours():
