@@ -10,17 +10,20 @@ Equal vectors are one class: a class is compared once and counts as many times a
 ``BLOCK`` classes are cut into blocks, and each pair of blocks is one piece of work, so neither memory nor a task's work
 follows the largest bucket.
 
-At cosine 0.9 a pair meets in one of 24 tables with probability 0.99 or more (width 2, 8 directions each); closer pairs
-more often.
+The number of directions per table follows the number of classes: so many that a vector shares a bucket with about one
+unrelated vector. The number of tables follows from that and holds the chance of missing a pair at the threshold at ``MISS``;
+closer pairs are missed less. Work so grows as n to the power 1.27 at a cosine of 0.9, beside the pairs that are in fact close.
 
-Defined results: vectors that are null, of another length than the first valid one, zero, or hold null or non-finite
-components link with nothing and are their own component; repeated keys are rows of their own that share links; extra
-columns are ignored; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
+component; vectors of different lengths never link; repeated keys are rows of their own that share links; a row with a null key links
+with nothing and has a null component_id and kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.components import connected_components
+from ostinato.llm.spread import salted_join
 from ostinato.runtime import partitions, persist_table
 
-TABLES, PER_TABLE, WIDTH, SEED = 24, 8, 2.0, 20240229
+WIDTH, SEED, MISS = 2.0, 20240229, 0.03
 #: Classes compared at once; the matrix of cosines has BLOCK x BLOCK numbers.
 BLOCK = 1024
 
 
+def collision(distance: float, width: float = WIDTH) -> float:
+    """The chance that two points this far apart share the cell of one direction (Datar et al., 2004)."""
+    if distance <= 0:
+        return 1.0
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def table_plan(n: int, threshold: float, miss: float = MISS, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, directions per table) for n unit vectors, of which unrelated ones are about at right angles."""
+    near, far = collision(math.sqrt(max(0.0, 2 - 2 * threshold)), width), collision(math.sqrt(2), width)
+    per_table = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    found = near**per_table
+    return (1 if found >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-found)))), per_table
+
+
+@lru_cache(maxsize=4)
 def directions(dim: int, tables: int, per_table: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng((seed, dim))
     return rng.standard_normal((dim, tables * per_table)), rng.random(tables * per_table)
 
 
@@ -61,16 +82,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
-    """Valid vectors grouped by equality: (rep, size, vec), and their length."""
+def classes(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """Valid vectors grouped by equality: (vec, rep, size)."""
     values = F.col(column).cast("array<double>")
     good = F.exists(values, lambda v: v != 0) & F.forall(
         values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     )
     valid = vectors.select(F.col(key).alias("id"), values.alias("vec")).where(good & F.col("id").isNotNull())
-    first = valid.select(F.size("vec").alias("n")).first()
-    dim = first["n"] if first else 0
-    return valid.where(F.size("vec") == dim).groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")), dim
+    return valid.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
 
 
 def _forest(links: np.ndarray, ids: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -113,36 +132,40 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, table: int,
 
 
 def vector_links(
-    vectors: DataFrame, key: str, column: str, threshold: float = 0.9, tables: int = TABLES, per_table: int = PER_TABLE,
-    width: float = WIDTH, seed: int = SEED,
-) -> DataFrame:
-    """Per row: key, n_links, component_id and kept."""
+    vectors: DataFrame, key: str, column: str, threshold: float = 0.9, miss: float = MISS, width: float = WIDTH, seed: int = SEED
+) -> DataFrame:
+    """Per row: key, n_links, component_id and kept. A pair at the threshold is missed with a chance of ``miss``."""
     spark = vectors.sparkSession
-    of_class, dim = classes(vectors, key, column)
-    of_class = persist_table(of_class, "vector-classes")
+    of_class = persist_table(classes(vectors, key, column), "vector-classes")
+    tables, per_table = table_plan(of_class.count(), threshold, miss, width)
     n = partitions(spark)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                unit = _unit(_matrix(part.column(2), dim))
-                keys = bucket_keys(unit, tables, per_table, width, seed)
-                listed = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind))
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), listed(unit, pa.float64()), listed(keys, pa.int64())],
-                    names=["rep", "size", "vec", "keys"],
-                )
+            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                own = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                for k in range(0, own.num_rows, 1024):
+                    part = own.slice(k, 1024)
+                    unit = _unit(_matrix(part.column(2), dim))
+                    keys = bucket_keys(unit, tables, per_table, width, seed)
+                    listed = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind))
+                    yield pa.record_batch(
+                        [part.column(0), part.column(1), pa.array([dim] * part.num_rows, pa.int32()), listed(unit, pa.float64()), listed(keys, pa.int64())],
+                        names=["rep", "size", "dim", "vec", "keys"],
+                    )
 
     points = persist_table(
-        of_class.select("rep", "size", "vec").mapInArrow(hashed, "rep long, size long, vec array<double>, keys array<long>"),
+        of_class.select("rep", "size", "vec").mapInArrow(hashed, "rep long, size long, dim int, vec array<double>, keys array<long>"),
         "vector-points",
     )
-    names = points.select("rep", F.posexplode("keys").alias("t", "bucket"))
+    # vectors of one length only share a table
+    names = points.select("rep", "dim", F.posexplode("keys").alias("t", "bucket")).withColumn("t", F.col("dim").cast("long") * tables + F.col("t")).drop("dim")
     crowd = names.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = persist_table(crowd, "crowded-buckets")
     # block of a class in a large bucket by a hash; each pair of blocks is one piece of work
     met = (
-        names.join(crowd, ["t", "bucket"])
+        salted_join(names, crowd, ["t", "bucket"], ["rep"], crowd)
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -163,7 +186,7 @@ def vector_links(
             for k in np.flatnonzero(found):
                 counts[int(ids[k])] = counts.get(int(ids[k]), 0) + int(found[k])
 
-        def block(rows: pa.Table) -> list[np.ndarray]:
+        def block(rows: pa.Table, dim: int) -> list[np.ndarray]:
             flat = rows.combine_chunks()
             one = lambda c: flat.column(c).to_numpy()
             matrix = lambda c, m, kind: flat.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, m).astype(kind)
@@ -173,13 +196,14 @@ def vector_links(
             if rows.num_rows < 2:
                 return
             t, lo, hi = (rows.column(c)[0].as_py() for c in ("t", "lo", "hi"))
+            dim, t = divmod(t, tables)
             if lo == hi:
-                _compare(block(rows), None, t, threshold, add, link)
+                _compare(block(rows, dim), None, t, threshold, add, link)
             else:
                 mine = rows.column("mine").to_numpy()
                 cut = int((mine == lo).sum())
                 if 0 < cut < rows.num_rows:
-                    _compare(block(rows.slice(0, cut)), block(rows.slice(cut)), t, threshold, add, link)
+                    _compare(block(rows.slice(0, cut), dim), block(rows.slice(cut), dim), t, threshold, add, link)
 
         def link(a: int, b: int) -> None:
             links.append((a, b))
@@ -226,13 +250,17 @@ def vector_links(
         of_class.join(counted, "rep", "left")
         .join(component, "rep", "left")
         .select(
-            F.col("vec").alias("_vec"),
+            "vec",
+            "size",
             (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("_n"),
             F.coalesce("component", "rep").alias("_component"),
         )
     )
-    rows = vectors.select(F.col(key).alias("_id"), F.col(column).cast("array<double>").alias("_v"))
-    return rows.join(told, F.col("_v") == F.col("_vec"), "left").select(
+    told = persist_table(told, "vector-classes")
+    rows = vectors.select(F.col(key).alias("_id"), F.when(F.col(key).isNotNull(), F.col(column).cast("array<double>")).alias("vec"))
+    # one vector may be that of a third of all rows
+    met = salted_join(rows, told.drop("size"), ["vec"], ["_id"], told.select("vec", F.col("size").alias("n")), "left")
+    return met.select(
         F.col("_id").alias(key),
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("_component", "_id").alias("component_id"),

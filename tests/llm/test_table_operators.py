@@ -49,7 +49,7 @@ def test_vector_links_equal_brute_force(spark):
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
-    got = vector_links.vector_links(table, "vec_id", "embedding", 0.9, tables=40).toPandas().sort_values("vec_id")
+    got = vector_links.vector_links(table, "vec_id", "embedding", 0.9, miss=1e-5).toPandas().sort_values("vec_id")
     assert got["n_links"].tolist() == near.sum(axis=1).tolist()
     comp = list(range(len(rows)))
     for _ in range(len(rows)):
@@ -58,6 +58,54 @@ def test_vector_links_equal_brute_force(spark):
     assert vector_links.vector_links(table.where("false"), "vec_id", "embedding").count() == 0
 
 
+def pairs_at(rng, cosine, n, dim):
+    """n pairs of unit vectors with this cosine."""
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def test_recall_near_the_threshold_with_production_parameters(spark):
+    rng = np.random.default_rng(8)
+    cosines = np.linspace(0.9001, 0.92, 1500)[:, None]
+    a, b = pairs_at(rng, cosines, 1500, 48)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    got = vector_links.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 0.9).toPandas()
+    linked = got.sort_values("vec_id")["n_links"].to_numpy()
+    assert (linked[:1500] == linked[1500:]).all() and linked.max() == 1 and linked[:1500].mean() >= 0.95
+
+
+def test_share_of_pairs_compared_falls_with_the_number_of_vectors():
+    rng = np.random.default_rng(9)
+    shares, costs = [], []
+    for n in (500, 5000, 50_000):
+        tables, per_table = vector_links.table_plan(n, 0.9)
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((6000, 48)), rng.standard_normal((6000, 48))))
+        one, two = (vector_links.bucket_keys(x, tables, per_table, vector_links.WIDTH, vector_links.SEED) for x in (a, b))
+        shares.append((one == two).sum() / 6000)  # comparisons for a pair
+        costs.append(n * n * shares[-1])
+    assert shares[0] > 2 * shares[1] > 4 * shares[2]
+    assert costs[1] < 40 * costs[0] and costs[2] < 40 * costs[1]  # 100 if it were quadratic
+
+
+def test_vectors_of_several_lengths_and_null_keys(spark):
+    rows = [(9, [1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-5.0]), (4, [3.0]), (None, [1.0, 0.0]), (5, []), (6, None), (None, None), (2, [2.0, 0.0])]
+    got = vector_links.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    found = sorted((r["vec_id"] is not None, r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None)
+    assert [x[1:] for x in found] == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 0, 5, True), (6, 0, 6, True), (9, 1, 4, False)]
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, None)] * 2
+
+
+def test_components_of_very_large_ids(spark):
+    top = 1 << 62
+    rows = [(top + k, top + k + 1) for k in range(4)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(rows, "x long, y long"), "x", "y").collect()}
+    assert got == {top + k: top for k in range(5)}
+
+
 def test_blocks_of_a_large_bucket_count_like_one(spark, monkeypatch):
     rng = np.random.default_rng(4)
     center = rng.standard_normal(8)
