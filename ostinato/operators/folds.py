@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 MIN_REPEAT, REACH, SAME_END, TAIL_REACH, TAIL_LEAD = 0.07, 0.2, 0.04, 0.4, 0.3
 MIN_DURATION, MAX_SHIFT, REPEAT_GAP, SKIP = 0.02, 0.35, 0.05, 0.25
-BIN, INERTIA = 0.01, 5.0
+BIN, INERTIA, ANCHOR, LEAST_ONSETS = 0.01, 5.0, 0.2, 8
 
 _NOTE = "clip_id long, pitch long, onset double, duration double, hand string, parts long"
 
@@ -90,39 +90,61 @@ def keep_repeats(notes: DataFrame, step: float) -> DataFrame:
     return notes.groupBy("clip_id").applyInPandas(solve, "clip_id long, note_id long, pitch long, snapped double")
 
 
-def beat_path(onsets: np.ndarray, weights: np.ndarray, beat: float) -> np.ndarray:
-    """Beat times by dynamic programming on 10 ms bins: onset strength at beats, less a penalty for uneven spacing in log time."""
-    n = int(onsets.max() / BIN) + 2
-    strength = np.zeros(n)
-    np.add.at(strength, np.rint(onsets / BIN).astype(int).clip(0, n - 1), weights)
-    period = beat / BIN
-    lags = np.arange(max(1, int(period / 2)), int(period * 2) + 1)
-    cost = INERTIA * np.square(np.log(lags / period))
-    best, back = strength.copy(), np.full(n, -1)
-    for k in range(lags[0], n):
-        use = lags[lags <= k]
-        value = best[k - use] - cost[: len(use)]
-        j = int(value.argmax())
-        if value[j] > 0:
-            best[k] += value[j]
-            back[k] = k - use[j]
-    tail = max(0, n - int(period * 1.5))
-    at = tail + int(best[tail:].argmax())
-    path = []
-    while at >= 0:
-        path.append(at * BIN)
-        at = back[at]
-    return np.array(path[::-1])
-
-
-def track_beats(accented: DataFrame, beat: float) -> DataFrame:
-    """(clip_id, beat_no, time) from notes with accents."""
+def beat_strength(onsets: np.ndarray, weights: np.ndarray, beat: float, phase: float) -> np.ndarray:
+    """Accent per bin of BIN seconds from the first onset on, 1 at the strongest. A chain may begin only near the steady grid: in the
+    first beat, bins further from it than ANCHOR of a beat are silent."""
+    since = onsets - onsets.min()
+    heard = np.bincount(np.rint(since / BIN).astype(int), weights=weights, minlength=int(since.max() / BIN) + 2)
+    opening = np.arange(min(len(heard), int(np.ceil(beat / BIN))))
+    place = (onsets.min() + opening * BIN - phase) / beat
+    heard[opening[np.abs(place - np.rint(place)) > ANCHOR]] = 0
+    top = heard.max()
+    return heard / top if top > 0 else heard
+
+
+def best_chain(strength: np.ndarray, period: float) -> np.ndarray:
+    """Bins of the chain of beats of the greatest total strength less INERTIA * log(step / period) ** 2 for each step.
+
+    Steps go from half the period to twice it. The shortest step bounds how far a bin's total depends on others: that many bins
+    are settled at once, each from a window over the totals before it, all windows being rows of one strided view.
+    """
+    short, long = max(2, int(period * 0.5)), int(period * 2)
+    if len(strength) < 4 or not strength.any() or long < short:
+        return np.zeros(0, dtype=int)
+    price = INERTIA * np.square(np.log(np.arange(long, short - 1, -1) / period))  # in the order of a window: longest step first
+    total = np.concatenate([np.full(long, -np.inf), strength])  # padded, so that each window is whole
+    before = np.full(len(strength), -1)
+    for low in range(short, len(strength), short):
+        high = min(low + short, len(strength))
+        window = np.lib.stride_tricks.sliding_window_view(total[low : high + long - short], long - short + 1) - price
+        step = short + window[:, ::-1].argmax(axis=1)  # of equal ones the shortest step
+        gain = window[np.arange(high - low), long - step]
+        grows = gain > 0
+        total[long + low : long + high][grows] += gain[grows]
+        before[low:high][grows] = (np.arange(low, high) - step)[grows]
+    last = max(0, len(strength) - int(period * 2))
+    chain = [last + int(total[long + last :].argmax())]
+    while before[chain[-1]] >= 0:
+        chain.append(int(before[chain[-1]]))
+    return np.array(chain[::-1]) if len(chain) > 1 else np.zeros(0, dtype=int)
+
+
+def beat_times(onsets: np.ndarray, weights: np.ndarray, beat: float, phase: float) -> np.ndarray:
+    """Where each beat falls; none for fewer than LEAST_ONSETS notes."""
+    if len(onsets) < LEAST_ONSETS or beat <= 0:
+        return np.zeros(0)
+    return onsets.min() + best_chain(beat_strength(onsets, weights, beat, phase), beat / BIN) * BIN
+
+
+def track_beats(accented: DataFrame, beat: float, phases: DataFrame) -> DataFrame:
+    """(clip_id, beat_no, time) from notes with accents and each clip's steady phase (clip_id, phase)."""
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        times = beat_path(own["onset"].to_numpy(), own["accent"].to_numpy(), beat)
+        times = beat_times(own["onset"].to_numpy(), own["accent"].to_numpy(), beat, float(own["phase"].iloc[0]))
         return pd.DataFrame({"clip_id": own["clip_id"].iloc[0], "beat_no": np.arange(len(times)), "time": times})
 
-    return accented.select("clip_id", "onset", "accent").groupBy("clip_id").applyInPandas(solve, "clip_id long, beat_no long, time double")
+    rows = accented.select("clip_id", "onset", "accent").join(phases.select("clip_id", "phase"), "clip_id")
+    return rows.groupBy("clip_id").applyInPandas(solve, "clip_id long, beat_no long, time double")
 
 
 def align(page: list[int], played: list[int]) -> tuple[float, list[tuple[int, int]]]:

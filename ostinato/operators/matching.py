@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,25 +38,56 @@ def mutual_nearest(pairs: DataFrame) -> DataFrame:
 _MATCH = "clip_id long, pitch long, ref_id long, est_id long, error double"
 
 
+_LANE = ["clip_id", "pitch", "ref_onset", "ref_id", "error", "est_id"]
+
+
 def _by_lane(pairs: DataFrame, solve: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
     """Runs ``solve`` on each clip and pitch's candidates (ref_onset, ref_id, error, est_id), sorted; it returns those it takes.
 
-    Lanes are small and many, so they are dealt by a hash and several are looped over in one call.
+    Sorted partitions stream by; one lane at a time is held.
     """
-    n = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["clip_id", "pitch", "ref_onset", "ref_id", "error", "est_id"]
-    dealt = pairs.select(F.pmod(F.xxhash64("clip_id", "pitch"), F.lit(n)).alias("_deal"), *columns)
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(own[columns].itertuples(index=False, name=None))
-        out = [(*lane, x[1], x[3], x[2]) for lane, part in groupby(rows, key=lambda r: r[:2]) for x in solve([r[2:] for r in part])]
-        return pd.DataFrame(out, columns=["clip_id", "pitch", "ref_id", "est_id", "error"])
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select(_LANE).repartition(n, "clip_id", "pitch").sortWithinPartitions(_LANE)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    names = ["clip_id", "pitch", "ref_id", "est_id", "error"]
 
-    return dealt.groupBy("_deal").applyInPandas(run, _MATCH)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for lane, part in groupby(rows, key=lambda r: r[:2]):
+            out += [(*lane, x[1], x[3], x[2]) for x in solve([r[2:] for r in part])]
+            if len(out) > 8192:
+                yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+                out = []
+        yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return dealt.mapInArrow(run, _MATCH)
+
+
+def largest_matching(wants: dict[int, list[int]]) -> dict[int, int]:
+    """Who holds each thing, as many as can be: each one in turn takes what it wants first; if that is held, its holder moves on to
+    what else it wants, if it can, before the next want is tried. The search is kept in a list, so long chains need no recursion."""
+    holder: dict[int, int] = {}
+    for one in wants:
+        tried: set[int] = set()
+        path = [(one, iter(wants[one]), -1)]  # who moves, what is left to try, and what it is to take
+        while path:
+            who, left, _ = path[-1]
+            thing = next((x for x in left if x not in tried), None)
+            if thing is None:
+                path.pop()
+                continue
+            tried.add(thing)
+            path[-1] = (who, left, thing)
+            if thing not in holder:
+                holder.update((taken, by) for by, _, taken in path)
+                break
+            path.append((holder[thing], iter(wants[holder[thing]]), -1))
+    return holder
 
 
 def maximum_matching(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, as many as there can be, by augmenting paths over candidates nearest first.
+    """One-to-one pairs, as many as there can be, true notes in order of onset, candidates nearest first.
 
     Decomposes by clip and pitch. Returns clip_id, pitch, ref_id, est_id, error.
     """
@@ -66,32 +96,20 @@ def maximum_matching(pairs: DataFrame) -> DataFrame:
         wants: dict[int, list[int]] = {}
         for _, ref, _, est in rows:
             wants.setdefault(ref, []).append(est)
-        holder: dict[int, int] = {}  # of an estimate
-        held: dict[int, int] = {}  # by a true note
-        for ref in wants:
-            # breadth-first search for an augmenting path, so deep chains need no recursion
-            came: dict[int, int] = {}
-            queue, end = deque([ref]), None
-            while queue and end is None:
-                now = queue.popleft()
-                for est in wants[now]:
-                    if est in came:
-                        continue
-                    came[est] = now
-                    if est not in holder:
-                        end = est
-                        break
-                    queue.append(holder[est])
-            while end is not None:
-                now = came[end]
-                before = held.get(now)
-                holder[end], held[now] = now, end
-                end = before
-        return [x for x in rows if held.get(x[1]) == x[3]]
+        holder = largest_matching(wants)
+        return [x for x in rows if holder.get(x[3]) == x[1]]
 
     return _by_lane(pairs, solve)
 
 
+def with_details(matched: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
+    """A matching's pairs with duration_error and same_hand."""
+    mine = truth.select(F.col("note_id").alias("ref_id"), F.col("duration").alias("_d"), F.col("hand").alias("_h"))
+    other = found.select(F.col("note_id").alias("est_id"), F.col("duration").alias("_e"), F.col("hand").alias("_g"))
+    both = matched.join(mine, "ref_id").join(other, "est_id")
+    return both.withColumns({"duration_error": F.abs(F.col("_d") - F.col("_e")), "same_hand": F.col("_h") == F.col("_g")}).drop("_d", "_e", "_h", "_g")
+
+
 def greedy_in_order(truth: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """For true notes in order, the nearest estimate of that pitch not taken yet; a taken one is gone."""
 

@@ -97,13 +97,18 @@ def metre(matches: DataFrame, beat: float) -> DataFrame:
 
 
 def repeats_at(onsets: DataFrame, lag: float, tolerance: float) -> DataFrame:
-    """Share of a clip's onsets that have another one ``lag`` later, within the tolerance (a semi join on a band)."""
+    """Share of a clip's onsets that have another one ``lag`` later, within the tolerance (a semi join on a band).
+
+    Only onsets with room for a partner before the clip's last onset count; a clip without any has a share of 0.
+    """
     from ostinato.operators.joins import band_join
 
-    moved = onsets.withColumn("due", F.col("onset") + lag)
-    partner = band_join(moved, onsets, ["clip_id"], "due", "onset", tolerance).select("clip_id", "onset").distinct().withColumn("hit", F.lit(1))
-    joined = onsets.join(partner, ["clip_id", "onset"], "left")
-    return joined.groupBy("clip_id").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("share"))
+    last = onsets.groupBy("clip_id").agg(F.max("onset").alias("last"))
+    due = onsets.join(last, "clip_id").withColumns({"due": F.col("onset") + lag, "room": F.col("onset") + lag <= F.col("last") + tolerance})
+    partner = band_join(due.where("room"), onsets, ["clip_id"], "due", "onset", tolerance).select("clip_id", "onset").distinct().withColumn("hit", F.lit(1.0))
+    joined = due.join(partner, ["clip_id", "onset"], "left")
+    share = F.avg(F.when(F.col("room"), F.coalesce("hit", F.lit(0.0))))
+    return joined.groupBy("clip_id").agg(F.coalesce(share, F.lit(0.0)).alias("share"))
 
 
 def pitch_returns(notes: DataFrame, step: float, lag: int) -> DataFrame:

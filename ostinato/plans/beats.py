@@ -13,7 +13,7 @@ from ostinato.sources.views import notes, with_views
 BEAT, TATUM, PHASE = 0.5, 0.125, 0.1
 _N = with_views("notes")
 _ONSETS = _N + ", onsets AS (SELECT DISTINCT clip_id, round(onset, 4) AS onset FROM notes)"
-_GRID = ", grid AS (SELECT k, 0.06::double + k * (1.0::double - 0.06::double) / 119 AS period FROM (SELECT unnest(range(120)) AS k))"
+_GRID = ", grid AS (SELECT k, 0.06::double + k * (1.0::double - 0.06::double) / 1199 AS period FROM (SELECT unnest(range(1200)) AS k))"
 _SCORES = (
     _ONSETS
     + _GRID
@@ -28,7 +28,7 @@ _ACCENTS = (
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.coherence(r.distinct_onsets(notes(spark, sf_dir)), [0.06 + k * (1.0 - 0.06) / 119 for k in range(120)])
+    return r.coherence(r.distinct_onsets(notes(spark, sf_dir)), r.period_grid(0.06, 1.0, 1200))
 
 
 @query(_SCORES + " SELECT clip_id, CAST(k AS INTEGER) AS k, round(score, 6) AS score FROM scored")
@@ -107,8 +107,9 @@ def metre_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _ONSETS
-    + """ SELECT a.clip_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM onsets b WHERE b.clip_id = a.clip_id AND abs(a.onset + 0.5::double - b.onset) <= 0.03125::double) THEN 1::double ELSE 0::double END), 9) AS share
-FROM onsets a GROUP BY 1"""
+    + """, due AS (SELECT clip_id, onset, onset + 0.5::double AS due, onset + 0.5::double <= max(onset) OVER (PARTITION BY clip_id) + 0.03125::double AS room FROM onsets),
+ told AS (SELECT a.clip_id, CASE WHEN EXISTS (SELECT 1 FROM onsets b WHERE b.clip_id = a.clip_id AND abs(a.due - b.onset) <= 0.03125::double) THEN 1::double ELSE 0::double END AS hit, room FROM due a)
+SELECT clip_id, round(coalesce(avg(hit) FILTER (room), 0), 9) AS share FROM told GROUP BY 1"""
 )
 def repeats_at_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = r.repeats_at(r.distinct_onsets(notes(spark, sf_dir)), 0.5, 0.03125)

@@ -23,7 +23,9 @@ def quantize_keep_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.track_beats(rhythm.accents(notes(spark, sf_dir), 0.5), 0.5)
+    accented = rhythm.accents(notes(spark, sf_dir), 0.5)
+    phases = rhythm.beat_phase(accented, 0.5, 0.125).withColumn("phase", F.col("line") * 0.125)
+    return folds.track_beats(accented, 0.5, phases)
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ostinato.operators import tracks as t
 from ostinato.plans.catalog import query
+from ostinato.runtime import persist_table
 from ostinato.sources import tiles as src
 from ostinato.sources.views import notes, with_views
 
@@ -165,4 +166,38 @@ def build_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tracks_to_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes to tiles to tracks and back."""
-    return t.tracks_to_notes(build_tracks(spark, sf_dir))
+    return t.tracks_to_notes(persist_table(build_tracks(spark, sf_dir), "tracks"), 1 / src.FPS)
+
+
+_SAMPLES = (
+    _T
+    + """, edged AS (SELECT *, max(bottom) OVER k - 10::double AS low_limit, min(top) OVER k + 10::double AS roof FROM tiles WINDOW k AS (PARTITION BY clip_id, note_id)),
+ cutted AS (SELECT *, count(*) FILTER (top <= roof) OVER (PARTITION BY clip_id, note_id) >= 2 AND top <= roof AS cut FROM edged),
+ parted AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY clip_id, note_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS part,
+   max(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, note_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cut_later FROM cutted),
+ climbing AS (SELECT *, coalesce(NOT cut AND cut_later = 0 AND top < max(top) OVER (PARTITION BY clip_id, note_id, part ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 20::double, false) AS climbs FROM parted),
+ sampled AS (SELECT *, bottom < 298 AND bottom < low_limit AS low, top > 2 AND NOT cut AND NOT (max(climbs::int) OVER (PARTITION BY clip_id, note_id ORDER BY frame ROWS UNBOUNDED PRECEDING) = 1) AS high FROM climbing)"""
+)
+
+
+@query(_SAMPLES + " SELECT clip_id, note_id, frame, low, high FROM sampled")
+def plateau_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which frames of a track time its onset and its end: neither edge where it has stopped, nor the next tile's top."""
+    return t.timing_samples(src.tiles(notes(spark, sf_dir)), t.TRACK, 1 / src.FPS).select("clip_id", "note_id", "frame", "low", "high")
+
+
+@query(
+    _SAMPLES
+    + """, stats AS (SELECT clip_id, note_id, count(*) AS n, median(CASE WHEN low THEN time + (300 - bottom) / 100::double END) AS onset,
+   median(CASE WHEN high THEN time + (300 - top) / 100::double END) AS ends, max(bottom - top) AS tall, count(*) FILTER (low) AS low_n, count(*) FILTER (high) AS high_n,
+   arg_max(bottom, frame) FILTER (low) - arg_min(bottom, frame) FILTER (low) AS low_fell, arg_max(top, frame) FILTER (high) - arg_min(top, frame) FILTER (high) AS high_fell,
+   regr_slope(bottom, time) FILTER (low) AS low_rate, regr_slope(top, time) FILTER (high) AS high_rate FROM sampled GROUP BY 1, 2),
+ good AS (SELECT *, coalesce(ends - onset, tall / 100::double) AS length FROM stats WHERE low_n > 0
+   AND greatest(low_fell, CASE WHEN high_n >= 5 AND abs(high_rate / 100 - 1) <= 0.15::double THEN high_fell ELSE 0 END) >= 0.06::double * 100
+   AND (coalesce(low_n < 4 OR (low_rate >= -5 AND abs(low_rate / 100 - 1) <= 0.6::double), true) OR coalesce(high_n < 4 OR (high_rate >= -5 AND abs(high_rate / 100 - 1) <= 0.6::double), true)))
+SELECT clip_id, note_id, round(greatest(onset, 0), 6) AS onset, round(greatest(length, 0.02::double), 6) AS duration, n FROM good WHERE length > 0"""
+)
+def timed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes from tracks whose tiles are known."""
+    found = t.notes_of(src.tiles(notes(spark, sf_dir)), t.TRACK, 1 / src.FPS)
+    return _r(found, "onset", "duration")

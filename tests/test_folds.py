@@ -48,10 +48,44 @@ def test_beats_of_a_steady_clip(bpm):
     beat = 60 / bpm
     rng = np.random.default_rng(bpm)
     onsets = np.sort(np.arange(40) * beat + rng.normal(0, 0.01, 40).clip(-0.03, 0.03) + 0.1)
-    path = folds.beat_path(onsets, np.ones(40), beat)
+    path = folds.beat_times(onsets, np.ones(40), beat, 0.1)
     assert np.abs(np.diff(path) - beat).max() < 0.12 and abs(len(path) - 40) <= 2
 
 
+def test_chains_start_on_the_steady_grid():
+    onsets = np.concatenate([[0.25], 0.5 + np.arange(30) * 0.5])
+    path = folds.beat_times(onsets, np.ones(31), 0.5, 0.0)
+    assert abs(path[0] - 0.5) < 0.02 and len(folds.beat_times(onsets[:7], np.ones(7), 0.5, 0.0)) == 0
+    assert len(folds.beat_times(np.zeros(0), np.zeros(0), 0.5, 0.0)) == 0
+
+
+def test_best_chain_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        strength = rng.random(rng.integers(4, 22)) * (rng.random() < 0.9)
+        period = float(rng.uniform(2, 6))
+        short, long = max(2, int(period / 2)), int(period * 2)
+
+        def price(step, period=period):
+            return folds.INERTIA * np.log(step / period) ** 2
+
+        def best(k, strength=strength, short=short, long=long, price=price, known=None):
+            """The greatest total of a chain that ends at k."""
+            before = [best(k - d) - price(d) for d in range(short, long + 1) if k - d >= 0]
+            return strength[k] + max([0.0, *before])
+
+        got = folds.best_chain(strength, period)
+        if not strength.any():
+            assert len(got) == 0
+            continue
+        tops = {k: best(k) for k in range(max(0, len(strength) - int(period * 2)), len(strength))}
+        if len(got) < 2:
+            assert max(tops.values()) == pytest.approx(strength[max(tops, key=tops.get)])
+            continue
+        total = strength[got].sum() - sum(price(d) for d in np.diff(got))
+        assert total == pytest.approx(max(tops.values())) and got[-1] in tops
+
+
 def test_alignment_scores_equal_brute_force():
     rng = random.Random(1)
     for _ in range(150):
@@ -71,7 +105,7 @@ def test_alignment_scores_equal_brute_force():
 def test_streamed_tracks_equal_batch_tracks(spark, data):
     names = ["clip_id", "pitch", "hand", "frame", "bottom", "track_id"]
     streamed = registry.queries()["stateful_tracks"](spark, data).select(names).toPandas().sort_values(names).reset_index(drop=True)
-    batch = registry.queries()["build_tracks"](spark, data).where("clip_id < 20").select(names).toPandas().sort_values(names).reset_index(drop=True)
+    batch = registry.queries()["build_tracks"](spark, data).select(names).toPandas().sort_values(names).reset_index(drop=True)
     pd.testing.assert_frame_equal(streamed, batch)
 
 

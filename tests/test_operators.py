@@ -51,10 +51,42 @@ def test_maximum_matching_is_maximal(spark, data):
     assert len(got) == total
 
 
+def test_matching_prefers_the_nearest_and_is_maximal():
+    rng = random.Random(4)
+    for _ in range(300):
+        wants = {r: rng.sample(range(6), rng.randint(0, 4)) for r in range(rng.randint(0, 6))}
+        got = matching.largest_matching(wants)
+        assert len(set(got.values())) == len(got) and all(e in wants[r] for e, r in got.items())
+
+        def most(left, free, wants=wants):
+            if not left:
+                return 0
+            return max([most(left[1:], free), *(1 + most(left[1:], free - {e}) for e in wants[left[0]] if e in free)])
+
+        assert len(got) == most(list(wants), frozenset(range(6)))
+        # the textbook's search by recursion
+        held = {}
+
+        def move(r, seen, wants=wants, held=held):
+            for e in wants[r]:
+                if e not in seen:
+                    seen.add(e)
+                    if e not in held or move(held[e], seen):
+                        held[e] = r
+                        return True
+            return False
+
+        for r in wants:
+            move(r, set())
+        assert got == held
+    chain = {k: [k, k + 1] if k else [0] for k in range(4999, -1, -1)}
+    assert len(matching.largest_matching(chain)) == 5000
+
+
 def test_metrics_of_empty_and_identical_estimates(spark):
     truth = made(spark, [(1, 1, 0.0, 60, 1.0, "R", 80), (2, 1, 1.0, 62, 1.0, "L", 80), (3, 2, 0.0, 60, 1.0, "R", 80)])
     found = truth.where("clip_id = 1")
-    pairs = matching.mutual_nearest(matching.candidates(truth, found))
+    pairs = matching.with_details(matching.maximum_matching(matching.candidates(truth, found)), truth, found)
     got = {r["clip_id"]: r for r in matching.clip_metrics(truth, found, pairs).collect()}
     assert got[1]["f1"] == 1.0 and got[1]["onset_mae"] == 0.0
     assert (got[2]["f1"], got[2]["precision"], got[2]["matched"]) == (0.0, 0.0, 0)
@@ -65,7 +97,7 @@ def test_metrics_of_empty_and_identical_estimates(spark):
 def test_notes_survive_tiles_and_tracks(spark):
     truth = made(spark, [(k, k % 2, 3.0 + 1.3 * k, 60 + k % 5, 0.6, "LR"[k % 2], 80) for k in range(20)])
     tiles = tracks.with_previous_frame(src.tiles(truth), src.frame_clock(truth))
-    back = tracks.tracks_to_notes(tracks.build_tracks(tiles)).toPandas()
+    back = tracks.tracks_to_notes(tracks.build_tracks(tiles), 1 / src.FPS).toPandas()
     assert len(back) == 20
     want = truth.toPandas()
     got = back.sort_values(["clip_id", "onset"])["onset"].round(6).tolist()
@@ -148,5 +180,5 @@ def test_vlq():
 def test_empty_tables(spark):
     empty = made(spark, [])
     assert matching.maximum_matching(matching.candidates(empty, empty)).count() == 0
-    assert tracks.tracks_to_notes(tracks.build_tracks(tracks.with_previous_frame(src.tiles(empty), src.frame_clock(empty)))).count() == 0
+    assert tracks.tracks_to_notes(tracks.build_tracks(tracks.with_previous_frame(src.tiles(empty), src.frame_clock(empty))), 1 / src.FPS).count() == 0
     assert isinstance(notation.voices(spark.createDataFrame([], "clip_id long, side string, start long, stop long, pitch long")).toPandas(), pd.DataFrame)
