@@ -12,10 +12,14 @@ and with its neighbour, which is linear in the list: first in each text's longes
 components; lists whose members all are in one component are done. Last, all pairs across components in the lists left are
 tested: a link inside a component changes nothing. The result is the exact components of the link relation.
 
+Lists of an n-gram may be as long as the crowd that holds it: they are counted by partial aggregates, cut by range where one pass over
+them in order is enough, and salted where they are joined.
+
 Defined results: words are runs without white space (\\x20 and \\x09 to \\x0D), A-Z in lower case; a text with fewer words
 than the n-gram size has its whole sequence as its only member; null, empty and blank texts have empty sets and link
-with nothing; repeated rows are rows of their own in one class (a key stands for one text); null keys link with nothing; extra columns are ignored; an
-empty table gives an empty result.
+with nothing; repeated rows, and rows of equal key but different texts, are rows of their own, each with its own set size and
+component; a row with a null key links with nothing and has a null component_id; a text of any length is read whole (its set takes a few
+times its size in memory); extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.components import connected_components
 from ostinato.llm.key_filter import marked
+from ostinato.llm.spread import salted_join
 from ostinato.llm.text_arrays import byte_table, mix, set_hashes, shingle_hashes, slices, span_hashes, words
 from ostinato.runtime import partitions, persist_table
 
@@ -91,41 +96,48 @@ def gram_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def set_features(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Per row with a set: key, n, signature (two hashes of the set), prefix (hashes, rarest first) and parities."""
+    """Per row: key, th (hash of the text), n, signature (two hashes of the set), prefix (hashes, rarest first) and parities."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(docs, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for batch in batches:
-            for first, end, hashes, rows, bounds in text_sets(batch.column(1), size):
+            for first, end, hashes, rows, bounds in text_sets(batch.column(2), size):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 order = np.lexsort((hashes, rare[counter_of(hashes)], rows))
-                keep = n - (percent * n + 99) // 100 + 1  # the prefix length of a set of n
+                keep = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)  # the prefix length of a set of n
                 place = np.arange(len(hashes)) - bounds[:-1][rows]
                 prefix = hashes[order][place < keep[rows]]
-                ends = np.concatenate([[0], np.cumsum(keep[full])])
-                sums = [np.add.reduceat(mix(hashes ^ np.uint64(salt)), bounds[full]) if len(full) else np.zeros(0, np.uint64) for salt in (1, 2)]
+                sums = np.zeros((2, len(n)), dtype=np.uint64)
+                if len(full):
+                    for salt in (1, 2):
+                        sums[salt - 1, full] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), bounds[full])
                 parts = np.zeros((len(n), PARTS), dtype=np.uint8)
                 np.add.at(parts, (rows, (hashes & np.uint64(PARTS - 1)).astype(np.int64)), 1)
-                parity = np.packbits(parts[full] & 1, axis=1).view(np.int64)
+                parity = np.packbits(parts & 1, axis=1).view(np.int64)
+                at = lambda k: pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32))
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(first, end - first).take(pa.array(full)),
-                        pa.array(n[full].astype(np.int64)),
+                        batch.column(0).slice(first, end - first),
+                        batch.column(1).slice(first, end - first),
+                        pa.array(n.astype(np.int64)),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64))),
-                        pa.ListArray.from_arrays(
-                            pa.array((np.arange(len(full) + 1) * (PARTS // 64)).astype(np.int32)), pa.array(parity.ravel())
-                        ),
+                        pa.ListArray.from_arrays(at(keep), pa.array(prefix.view(np.int64))),
+                        pa.ListArray.from_arrays(at(np.full(len(n), PARTS // 64)), pa.array(parity.ravel())),
                     ],
-                    names=["key", "n", "sig1", "sig2", "prefix", "parity"],
+                    names=["key", "th", "n", "sig1", "sig2", "prefix", "parity"],
                 )
 
-    schema = "key long, n long, sig1 long, sig2 long, prefix array<long>, parity array<long>"
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = "key long, th long, n long, sig1 long, sig2 long, prefix array<long>, parity array<long>"
+    return identified(docs, key, text).mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, th and text; a key and its text's hash tell a row."""
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
 
 def needed(n: F.Column, m: F.Column, percent: int) -> F.Column:
@@ -153,36 +165,20 @@ def few_apart(a: str, b: str, percent: int) -> F.Column:
 
 
 def _shared(every: DataFrame) -> DataFrame:
-    """Entries of n-grams that more than one text holds, from one streaming pass over sorted partitions: most n-grams occur
-    once and go no further."""
-    columns = ["gram", "n", "pos", "key"]
-    ordered = every.select(columns).repartition(partitions(every.sparkSession), "gram").sortWithinPartitions("gram")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, whose list may go on
-        known = False  # whether the row before that one is in its list
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            gram = rows.column(0).to_numpy()
-            like_next = gram[:-1] == gram[1:]
-            shared = like_next | np.concatenate([[known], like_next[:-1]]) if len(like_next) else like_next
-            yield rows.slice(0, len(gram) - 1).filter(pa.array(shared))
-            known = bool(like_next[-1]) if len(like_next) else known
-            held = rows.slice(len(gram) - 1)
-        if held is not None and known:
-            yield held
-
-    return ordered.mapInArrow(run, "gram long, n long, pos int, key long")
+    """Entries of n-grams that more than one text holds, with ``many``, how many: most n-grams occur once and go no further."""
+    counted = every.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
+    shared = persist_table(counted, "shared-grams")
+    told = marked(every, ["gram"], shared, ["gram"]).where("_maybe").drop("_maybe")
+    return salted_join(told, shared, ["gram"], ["key"], shared.select("gram", F.col("many").alias("n")))
 
 
 def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Linear candidates of each n-gram's list in order of (n, key): neighbours, and each one with the first of its run, a run
-    being cut where its first one is too small for the next. One streaming pass over sorted partitions, two rows held."""
+    being cut where its first one is too small for the next. One streaming pass over sorted partitions, two rows held; a long list may
+    go on in the next partition, with a first one of its own. What that leaves apart is met across components in the end."""
     n_parts = partitions(entries.sparkSession)
     columns = ("gram", "n", "pos", "key", "comp")
-    ordered = entries.repartition(n_parts, "gram").sortWithinPartitions("gram", "n", "key").select(*columns)
+    ordered = entries.select(*columns).repartitionByRange(n_parts, "gram", "n", "key").sortWithinPartitions("gram", "n", "key")
 
     def passes(x: tuple, y: tuple) -> bool:
         """x is the smaller set. Rows are (gram, n, pos, key, comp)."""
@@ -221,8 +217,8 @@ def _word_set(text: str, size: int) -> set:
     return set(zip(*(own[k:] for k in range(size)), strict=False))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts (key, text) are similar enough, each compared once.
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes (id, key, th) whose texts (key, th, text) are similar enough, each compared once.
 
     Pairs are grouped by their first text, which is sent once per group of ``FAN`` pairs, and stream by it.
     """
@@ -230,12 +226,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     # a text with few partners is sent once; one with many is sent to up to 64 parts
     many = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    dealt = dealt.join(many, "a").withColumn("part", F.pmod(F.col("part"), F.least(F.lit(64), F.ceil(F.col("k") / FAN)).cast("int")))
+    dealt = salted_join(dealt, many, ["a"], ["b"], many.select("a", F.col("k").alias("n")))
+    dealt = dealt.withColumn("part", F.pmod(F.col("part"), F.least(F.lit(64), F.ceil(F.col("k") / FAN)).cast("int")))
     dealt = persist_table(dealt.select("a", "b", "part"), "pairs")
-    heads = dealt.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
-    wanted = heads.unionAll(dealt.select(F.col("b").alias("key"), "a", "part", "b"))
-    near = marked(texts, ["key"], wanted, ["key"]).where("_maybe").select("key", "text")
-    rows = wanted.join(near, "key").select("a", "part", "b", "text")
+    heads = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = heads.unionAll(dealt.select(F.col("b").alias("id"), "a", "part", "b"))
+    counts = persist_table(wanted.groupBy("id").agg(F.count("*").alias("n")).join(classes.select("id", "key", "th").hint("merge"), "id"), "wanted")
+    near = marked(texts, ["key", "th"], counts, ["key", "th"]).where("_maybe").drop("_maybe")
+    named = counts.join(near.hint("merge"), ["key", "th"]).select("id", "text")
+    # a text that many pairs hold is sent to several tasks
+    rows = salted_join(wanted, named, ["id"], ["a", "b"], counts.select("id", "n")).select("a", "part", "b", "text")
     ordered = rows.repartition(2 * partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +263,17 @@ FAN = 64
 def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles and component_id."""
     features = persist_table(set_features(docs, key, text, size, percent), "sets")
-    class_of = features.where("key is not null").groupBy("n", "sig1", "sig2").agg(
-        F.min("key").alias("rep"), F.min_by("prefix", "key").alias("prefix"), F.min_by("parity", "key").alias("parity")
-    )
-    classes = persist_table(class_of, "set-classes")
-    parities = classes.select(F.col("rep").alias("key"), "n", "parity")
-    every = classes.select(F.col("rep").alias("key"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    one = F.struct("key", "th")
+    of_set = features.where("key is not null and n > 0").groupBy("n", "sig1", "sig2")
+    class_of = of_set.agg(F.min(one).alias("one"), F.count("*").alias("rows"), F.min_by("prefix", one).alias("prefix"), F.min_by("parity", one).alias("parity"))
+    classes = persist_table(class_of.select("n", "sig1", "sig2", "one.*", "rows", "prefix", "parity").withColumn("id", F.monotonically_increasing_id()), "set-classes")
+    parities = classes.select(F.col("id").alias("key"), "n", "parity")
+    every = classes.select(F.col("id").alias("key"), "n", F.posexplode("prefix").alias("pos", "gram"))
     entries = persist_table(_shared(every).withColumn("comp", F.col("key")), "prefixes")
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    texts = identified(docs, key, text)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, texts, size, percent)
+        return verified(pairs, classes, texts, size, percent)
 
     def filtered(pairs: DataFrame) -> DataFrame:
         one, two = parities.alias("x"), parities.alias("y")
@@ -286,32 +286,38 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
         component = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "now"})
         placed = last.join(component, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
         placed = persist_table(placed, "prefixes")
-        still = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-        return persist_table(placed.join(still, "gram"), "prefixes")
+        held = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        still = persist_table(held.where("lo < hi").select("gram", "n"), "open-grams")
+        return persist_table(salted_join(placed, still.select("gram"), ["gram"], ["key"], still), "prefixes")
 
     # each text's n-gram of the longest list: a crowd meets at one hub
-    counted = entries.join(entries.groupBy("gram").agg(F.count("*").alias("many")), "gram")
-    top = counted.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
+    top = entries.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
     links = persist_table(tested(filtered(_hub_pairs(top.select("key", "t.*"), percent))), "links")
     left = opened(links, entries)
     links = persist_table(tested(filtered(_hub_pairs(left, percent))).unionAll(links), "links")
-    left = opened(links, left).join(parities.drop("n"), "key")
+    left = persist_table(opened(links, left).join(parities.drop("n"), "key"), "prefixes")
+    side = lambda name: left.select("gram", F.struct("key", "n", "pos", "comp", "parity").alias(name))
+    lists = left.groupBy("gram").agg(F.count("*").alias("n"))
     close = near_enough("x", "y", percent) & few_apart("x", "y", percent)
     across = (
-        left.alias("x")
-        .join(left.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & close)
+        salted_join(side("x"), side("y"), ["gram"], ["x.key"], lists)
+        .where((F.col("x.comp") < F.col("y.comp")) & close)
         .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         .distinct()
     )
     all_links = persist_table(tested(across).unionAll(links), "links")
-    final = connected_components(all_links, "a", "b")
-    told = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "sig1", "sig2", F.coalesce("component", "rep").alias("component")
-    )
-    of_key = features.where("key is not null").join(told, ["n", "sig1", "sig2"]).groupBy("key").agg(
-        F.max("n").alias("n_shingles"), F.min("component").alias("component_id")
-    )
-    rows = docs.select(F.col(key).cast("long").alias("key"))
-    return rows.join(of_key, "key", "left").select(
-        F.col("key").alias(key), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
+    final = persist_table(connected_components(all_links, "a", "b").withColumnRenamed("node", "id"), "set-components")
+    # a component is named by its smallest key
+    members = final.join(classes.select("id", "key"), "id")
+    first = persist_table(members.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n")), "component-names")
+    named = salted_join(final, first.drop("n"), ["component"], ["id"], first.drop("first")).select("id", "first")
+    told = classes.select("id", "n", "sig1", "sig2", "key", "rows").join(named, "id", "left")
+    told = persist_table(told.select("n", "sig1", "sig2", F.coalesce("first", "key").alias("component_id"), "rows"), "set-components")
+    counts = told.select("n", "sig1", "sig2", F.col("rows").alias("_rows")).withColumnRenamed("n", "size")
+    rows = features.select("key", "th", F.col("n").alias("size"), "sig1", "sig2")
+    # one set may be that of a third of all rows
+    met = salted_join(
+        rows, told.drop("rows").withColumnRenamed("n", "size"), ["size", "sig1", "sig2"], ["key", "th"], counts.withColumnRenamed("_rows", "n"), "left"
     )
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
+    return met.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"))

@@ -184,8 +184,15 @@ def test_components_equal_brute_force(spark, size, percent):
 def test_join_of_nothing_and_of_null_keys(spark):
     assert shingle_join.shingle_components(docs(spark, ["x"]).where("false"), "doc_id", "text").count() == 0
     rows = docs(spark, ["a b c d", "a b c d"]).withColumn("doc_id", F.when(F.col("doc_id") == 0, 7).cast("long"))
-    got = {r["doc_id"]: r["component_id"] for r in shingle_join.shingle_components(rows, "doc_id", "text").collect()}
-    assert got == {7: 7, None: None}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.shingle_components(rows, "doc_id", "text").collect()}
+    assert got == {7: (2, 7), None: (2, None)}
+
+
+def test_rows_of_one_key_with_different_texts_are_rows_of_their_own(spark):
+    one, two = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(30))
+    rows = docs(spark, [one, two], 3).unionAll(docs(spark, [two], 3)).unionAll(docs(spark, [one + " more", "", None], 8)).unionAll(docs(spark, [one], 3))
+    got = sorted(tuple(r) for r in shingle_join.shingle_components(rows.withColumn("n", F.lit(1)).withColumn("th", F.lit(2)), "doc_id", "text").collect())
+    assert got == [(3, 28, 3), (3, 38, 3), (3, 38, 3), (4, 28, 3), (8, 39, 3), (9, 0, 9), (10, 0, 10)]
 
 
 # --- passages
