@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,17 +50,3 @@ def snapped(value: Column, step: Column, phase: Column, max_shift: float) -> Col
 
 def floor_mod(value: Column, divisor: Column) -> Column:
     return value - F.floor(value / divisor) * divisor
-
-
-def circle_sums(value: Column, period: Column) -> tuple[Column, Column]:
-    """Cosine and sine on a circle of that period, to be averaged."""
-    angle = F.lit(2 * math.pi) * value / period
-    return F.cos(angle), F.sin(angle)
-
-
-def signature_size(key: Column) -> Column:
-    """Sharps (positive) or flats of a key such as 'Eb minor'; null for an unknown name."""
-    sharps = {"C": 0, "G": 1, "D": 2, "A": 3, "E": 4, "B": 5, "F#": 6, "F": -1, "Bb": -2, "Eb": -3, "Ab": -4, "Db": -5}
-    minor = {"A": 0, "E": 1, "B": 2, "F#": 3, "C#": 4, "G#": 5, "D": -1, "G": -2, "C": -3, "F": -4, "Bb": -5, "Eb": -6}
-    pairs = [(f"{k} major", v) for k, v in sharps.items()] + [(f"{k} minor", v) for k, v in minor.items()]
-    return F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), key)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ostinato.functions.music import circle_sums, floor_mod
+from ostinato.functions.music import floor_mod
 
 BASS_SHARE, MAX_SHIFT, MIN_ONSETS, TATUM_TOLERANCE = 0.35, 0.35, 8, 0.92
+#: Onsets that are laid on all circles at once.
+CHUNK = 256
 
 
 def distinct_onsets(notes: DataFrame) -> DataFrame:
@@ -20,15 +26,49 @@ def period_grid(low: float, high: float, count: int) -> list[float]:
 
 
 def coherence(onsets: DataFrame, periods: list[float]) -> DataFrame:
-    """Per clip and period: length of the mean unit vector of onsets on a circle of that period.
+    """Per clip and period: length of the mean unit vector of onsets on a circle of that period (clip_id, k, period, n, score).
 
-    The periods are a literal array, exploded beside each onset and summed at once per clip and period; no join.
+    Onsets stream by clip; all periods are summed at once for up to CHUNK of them, so nothing is multiplied by the number of periods
+    but the sums of a clip.
     """
-    grid = F.posexplode(F.array(*map(F.lit, periods))).alias("k", "period")
-    rows = onsets.select("clip_id", "onset", grid)
-    cos, sin = circle_sums(F.col("onset"), F.col("period"))
-    means = rows.groupBy("clip_id", "k", "period").agg(F.avg(cos).alias("c"), F.avg(sin).alias("s"), F.count("*").alias("n"))
-    return means.withColumn("score", F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")))
+    grid = np.array(periods)
+    names = ["clip_id", "n", "scores"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, total = None, 0, np.zeros(len(grid), dtype=complex)
+        out: list[tuple] = []
+
+        def close() -> None:
+            if now is not None:
+                out.append((now, n, np.abs(total / n)))
+
+        for batch in batches:
+            clips, times = (batch.column(k).to_numpy() for k in range(2))
+            edges = [0, *(np.flatnonzero(clips[1:] != clips[:-1]) + 1).tolist(), len(clips)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                if clips[low] != now:
+                    close()
+                    now, n, total = int(clips[low]), 0, np.zeros(len(grid), dtype=complex)
+                for k in range(low, high, CHUNK):
+                    turn = times[k : min(k + CHUNK, high), None] * (2 * np.pi) / grid
+                    total += np.cos(turn).sum(axis=0) + 1j * np.sin(turn).sum(axis=0)
+                n += high - low
+            if out:
+                yield _scored(out)
+                out.clear()
+        close()
+        yield _scored(out)
+
+    def _scored(rows: list[tuple]) -> pa.RecordBatch:
+        scores = pa.array([r[2] for r in rows], pa.list_(pa.float64()))
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), scores], names=names)
+
+    dealt = onsets.select(F.col("clip_id").cast("long").alias("clip_id"), "onset").repartition("clip_id").sortWithinPartitions("clip_id")
+    found = dealt.mapInArrow(run, "clip_id long, n long, scores array<double>")
+    listed = F.posexplode(F.arrays_zip("scores", F.array(*map(F.lit, periods)).alias("periods"))).alias("k", "x")
+    return found.select("clip_id", "n", listed).select("clip_id", "k", F.col("x.periods").alias("period"), "n", F.col("x.scores").alias("score"))
 
 
 def tatum(scores: DataFrame) -> DataFrame:

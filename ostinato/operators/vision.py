@@ -80,7 +80,7 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
     A black key's columns count for the black key only. Rows: clip_id, frame, time, pitch, hand, top, bottom (pixels).
     """
     names = list(palette)
-    colours = np.array([palette[n] for n in names], dtype=np.float32)
+    colours = [palette[n] for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boards: dict[int, tuple] = {}
@@ -89,16 +89,21 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
             for clip, frame, time, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if w not in boards:
                     boards[w] = _board(w)
-                keys, spans, share = boards[w]
-                image = picture(raw, h, w).astype(np.float32)
-                apart = np.stack([np.square(image - c).sum(axis=2) for c in colours], axis=2)
-                label = np.where(apart.min(axis=2) <= radius * radius, apart.argmin(axis=2), -1)
+                keys, spans, first, past = boards[w]
+                planes = picture(raw, h, w).astype(np.int32).transpose(2, 0, 1)
+                label, best = np.full((h, w), -1), np.full((h, w), radius * radius)
+                for c, colour in enumerate(colours):
+                    apart = sum(np.square(plane - v) for plane, v in zip(planes, colour, strict=True))
+                    near = (apart < best) | ((apart == best) & (label < 0))
+                    label[near], best[near] = c, apart[near]
                 for c, name in enumerate(names):
                     lit = label == c
                     if not lit.any():
                         continue
+                    so_far = np.zeros((h, w + 1), dtype=np.int32)
+                    np.cumsum(lit, axis=1, out=so_far[:, 1:])
                     on = np.zeros((len(keys), h + 2), dtype=bool)  # a row per key, dark at both ends
-                    on[:, 1:-1] = (lit.astype(np.float32) @ share).T > 0.5
+                    on[:, 1:-1] = (2 * (so_far[:, past] - so_far[:, first]) > past - first).T
                     key, edge = np.nonzero(on[:, 1:] != on[:, :-1])
                     for k, x, y in zip(key[::2].tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         if _own(label, c, x, y, *spans[keys[k]], keys[k]):
@@ -110,20 +115,19 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
     return frames.mapInArrow(run, "clip_id long, frame long, time double, pitch long, hand string, top double, bottom double")
 
 
-def _board(width: int) -> tuple[list[int], dict[int, tuple[int, int]], np.ndarray]:
-    """Keys, their columns, and a matrix that takes the mean over each key's own columns; black keys' columns are theirs alone."""
+def _board(width: int) -> tuple[list[int], dict[int, tuple[int, int]], np.ndarray, np.ndarray]:
+    """Keys, their columns, and the first and past column of each that is its own: black keys stand on the edges of white ones, so what
+    they leave of a white key is one piece."""
     spans = key_spans(width)
     keys = sorted(spans)
-    share = np.zeros((width, len(keys)), dtype=np.float32)
-    dark = np.zeros(width, dtype=bool)
-    for k in sorted(range(len(keys)), key=lambda k: keys[k] % 12 not in BLACK):
-        a, b = spans[keys[k]]
-        black = keys[k] % 12 in BLACK
-        own = np.arange(a, b) if black else a + np.flatnonzero(~dark[a:b])
-        dark[a:b] |= black
-        if len(own):
-            share[own, k] = 1 / len(own)
-    return keys, spans, share
+    own = []
+    for pitch in keys:
+        a, b = spans[pitch]
+        if pitch % 12 not in BLACK:
+            a = max([a, *(spans[k][1] for k in (pitch - 1,) if k in spans and k % 12 in BLACK)])
+            b = max(a, min([b, *(spans[k][0] for k in (pitch + 1,) if k in spans and k % 12 in BLACK)]))
+        own.append((a, b))
+    return keys, spans, np.array([a for a, _ in own]), np.array([b for _, b in own])
 
 
 def _own(label: np.ndarray, colour: int, top: int, bottom: int, a: int, b: int, pitch: int) -> bool:

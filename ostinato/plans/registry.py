@@ -12,6 +12,7 @@ from ostinato.plans import (
     layout_queries,
     notation_queries,
     projections,
+    score_queries,
     segment_queries,
     stream_queries,
     track_queries,
@@ -29,5 +30,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 MODULES = (
-    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, segment_queries, stream_queries, track_queries, vision_queries, written_queries,
+    beats, evaluation, fold_queries, hand_queries, harmony, layout_queries, notation_queries, projections, score_queries, segment_queries, stream_queries, track_queries, vision_queries, written_queries,
 )
