@@ -16,14 +16,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], own: list[st
     broadcast. A hot key's left rows are dealt to the salts by a hash of the ``own`` columns, its right rows are repeated for each
     salt; there are at most 8 P repeats of a key's right rows in all. Null keys meet nothing.
     """
-    share = 4 * partitions(left.sparkSession)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_t"))
-    least = float(total.first()[0]) / share
+    found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    least = float(max(1.0, found["total"] / (4 * partitions(left.sparkSession))))
+    if found["most"] <= least:  # no key is hot
+        return left.join(right.hint("merge"), keys, how)
     names = [f"_hot{k}" for k in range(len(keys))]
     hot = F.broadcast(
-        counts.where(F.col("n") > max(least, 1.0)).select(
-            *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.ceil(F.col("n") / max(least, 1.0)).cast("int").alias("_salts")
-        )
+        counts.where(F.col("n") > least).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.ceil(F.col("n") / least).cast("int").alias("_salts"))
     )
 
     def marked(df: DataFrame) -> DataFrame:
