@@ -33,7 +33,7 @@ from ostinato.runtime import persist_table
 
 CAPACITY = 1024
 #: Pieces in an island, about; generations in an epoch; packings in a population; elite bins that migrate.
-ISLAND, GENERATIONS, POPULATION, ELITE = 6000, 40, 6, 512
+ISLAND, GENERATIONS, POPULATION, ELITE = 6000, 120, 24, 512
 
 
 def best_fit(order: np.ndarray, lengths: np.ndarray, bins: np.ndarray, room: list[tuple[int, int]], next_bin: int, capacity: int) -> int:
