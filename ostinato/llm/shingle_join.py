@@ -261,7 +261,7 @@ FAN = 64
 
 
 def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row: key, n_shingles and component_id."""
+    """Per row: key, n_shingles, component_id and text_hash (xxhash64 of the text: with the key it tells a row)."""
     features = persist_table(set_features(docs, key, text, size, percent), "sets")
     one = F.struct("key", "th")
     of_set = features.where("key is not null and n > 0").groupBy("n", "sig1", "sig2")
@@ -320,4 +320,5 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
         rows, told.drop("rows").withColumnRenamed("n", "size"), ["size", "sig1", "sig2"], ["key", "th"], counts.withColumnRenamed("_rows", "n"), "left"
     )
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-    return met.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"))
+    met = persist_table(met, "set-components")  # it is read more than once by those who filter by it
+    return met.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"))

@@ -267,3 +267,40 @@ def test_pipeline_stages_pass_documents_on(spark, data):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert out.select("doc_id").distinct().count() == before
     assert json.dumps(out.columns)
+
+
+def test_pipeline_stages_agree_with_brute_force_on_odd_rows(spark, data):
+    """What each stage after the first keeps of odd rows: nulls, empty and very long texts, ties, repeated rows, clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(9)).capitalize() + "."
+    one, two, passage = (" ".join(sentence() for _ in range(n)) for n in (12, 12, 7))
+    long = " ".join(sentence() for _ in range(6000))
+    near = two.replace(two.split()[50], "zzz", 1)
+    rows = [(1, one), (2, f"{two} {passage}"), (3, None), (4, ""), (5, one), (6, long), (7, f"{sentence()} {passage} {sentence()}"), (None, one), (None, None), (1, one), (8, "few words"), (9, "few words"), (2, "another text of key two")]
+    docs = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], "doc_id long, text string, _maybe int, key int, th string")
+    cut = corpus_pipeline.line_dedup(spark, docs, data)
+    assert cut.columns == docs.columns
+    got = sorted(((r["doc_id"] is not None, r["doc_id"], r["text"] is not None, r["text"]) for r in cut.collect()), key=repr)
+    left = [(k, t) for k, t in rows if k != 5]
+    left[[k for k, _ in left].index(7)] = (7, rows[6][1].replace(passage + " ", ""))
+    assert got == sorted(((k is not None, k, t is not None, t) for k, t in left), key=repr)
+    again = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in [*left, (10, near), (11, f"{near} {sentence()}"), (12, two)]], docs.schema)
+    first = corpus_pipeline.ngram_join(spark, again, data)
+    assert first.columns == docs.columns
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w)} if 0 < len(w) < 5 else set(zip(*(w[k:] for k in range(5)), strict=False))
+
+    own = [(k, grams(t)) for k, t in [*left, (10, near), (11, None), (12, two)]]
+    texts = {k: t for k, t in [(r["doc_id"], r["text"]) for r in again.collect()] if k is not None}
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    named = [(k, grams(texts[k]) if k in (11,) else g) for k, g in own]
+    kept = sorted(k for k, g in named if k is not None and not any(alike(g, h) for j, h in named if j is not None and j < k))
+    assert sorted(r["doc_id"] for r in first.collect() if r["doc_id"] is not None) == kept and first.where("doc_id is null").count() == 2
+    packed = corpus_pipeline.packing(spark, first, data)
+    assert packed.where("piece = 0").count() == first.count()
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.where("false"), data).count() == 0
