@@ -244,6 +244,24 @@ def test_copies_with_few_shared_table_entries_are_verified(spark, monkeypatch):
     assert sum(got[k] == got[k + 1] for k in got if k % 2 == 0) >= 0.8 * few
 
 
+def test_a_crowd_of_differing_edits_is_one_group(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for group in range(3):
+        image = image_links.draw(rng.standard_normal(8), 72)
+        for k in range(40):
+            cut = rng.integers(0, 14, 4)
+            part = image[cut[0] : 72 - cut[1], cut[2] : 72 - cut[3]].astype(float) * rng.uniform(0.8, 1.1)
+            part = image_links.resized(part, 0.75) if k % 4 == 3 else np.rot90(part, k % 4)
+            own = (part + rng.normal(0, 2, part.shape)).clip(0, 255).round().astype(np.uint8)
+            rows.append((100 * group + k, *own.shape, own.tobytes()))
+    rng.shuffle(rows)
+    images = spark.createDataFrame([(int(a), int(b), int(c), d) for a, b, c, d in rows], "id long, height int, width int, pixels binary")
+    got = {r["id"]: r["component_id"] for r in image_links.image_groups(images, "id").collect()}
+    assert all(got[k] // 100 == k // 100 for k in got)  # no group takes another's
+    assert sum(got[k] == k // 100 * 100 for k in got) >= 0.95 * len(got)
+
+
 def test_broken_images_have_no_descriptors(spark):
     rows = [(1, 4, 4, b"\0" * 15), (2, 0, 4, b""), (3, 40, 40, bytes(1600)), (None, 40, 40, bytes(1600)), (4, None, 3, b"x")]
     images = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
