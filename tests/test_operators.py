@@ -182,3 +182,16 @@ def test_empty_tables(spark):
     assert matching.maximum_matching(matching.candidates(empty, empty)).count() == 0
     assert tracks.tracks_to_notes(tracks.build_tracks(tracks.with_previous_frame(src.tiles(empty), src.frame_clock(empty))), 1 / src.FPS).count() == 0
     assert isinstance(notation.voices(spark.createDataFrame([], "clip_id long, side string, start long, stop long, pitch long")).toPandas(), pd.DataFrame)
+
+
+def test_neighbours_are_the_nearest_however_many_share_an_onset(spark):
+    from ostinato.operators import hands
+
+    rng = random.Random(5)
+    rows = [(k, 1, rng.choice([0.0, 1.0, 1.0, 1.0, 2.5, 2.75]), rng.randint(30, 90), 0.5, "L", 80) for k in range(150)]
+    got = {r["idx"]: r for r in hands.neighbours(hands.positioned(made(spark, rows)), 8).collect()}
+    own = sorted(rows, key=lambda r: (r[2], r[3], r[4], r[5], r[6], r[0]))
+    for i, r in enumerate(own):
+        near = sorted(range(len(own)), key=lambda j: (abs(own[j][2] - r[2]), j))[:8]
+        pitches = sorted(own[j][3] for j in near)
+        assert (got[i]["low"], got[i]["high"], got[i]["middle"], got[i]["n"]) == (pitches[0], pitches[-1], (pitches[3] + pitches[4]) / 2, 8)
