@@ -135,7 +135,3 @@ def set_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.nd
         keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
         h, r = h[keep], r[keep]
     return h, r, np.searchsorted(r, np.arange(n_rows + 1), side="left")
-
-
-def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
