@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.operators import folds, rhythm
+from ostinato.operators import folds, rhythm, tempo
 from ostinato.plans.catalog import query
 from ostinato.sources.views import estimate, notes
 
@@ -32,3 +32,9 @@ def track_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lcs_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = notes(spark, sf_dir)
     return folds.ordered_alignment(truth, estimate(truth))
+
+
+@query()
+def estimated_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tatum, beat and tempo of each clip."""
+    return tempo.estimate_beats(notes(spark, sf_dir))

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ostinato.operators import folds
+from ostinato.operators import folds, tempo
 from ostinato.plans import registry
 from ostinato.sources.views import notes
 
@@ -119,3 +119,48 @@ def test_streamed_tracks_are_those_of_all_clips(spark, data, tmp_path):
     )
     assert streamed["clip_id"].max() >= 20
     pd.testing.assert_frame_equal(streamed, batch)
+
+
+def steady(bpm, bars=16, seed=0, loose=0.0):
+    """Quarters in the bass, eighths above with some sixteenths, at a tempo."""
+    rng = np.random.default_rng(seed)
+    beat = 60 / bpm
+    rows = []
+    for k in range(bars * 4):
+        rows.append((k * beat, beat * 0.6))
+        rows += [(k * beat + x * beat, 0.5 * beat * 0.6) for x in (0, 0.5)]
+        if rng.random() < 0.4:
+            rows.append((k * beat + 0.75 * beat, 0.25 * beat * 0.6))
+    rows = np.array(sorted(rows))
+    rows[:, 0] += rng.normal(0, loose, len(rows)).clip(-3 * loose, 3 * loose)
+    return rows[rows[:, 0].argsort()]
+
+
+@pytest.mark.parametrize("bpm", [72, 84, 96, 110, 126, 144])
+def test_tempo_of_steady_playing(bpm):
+    for loose in (0.0, 0.004):
+        rows = steady(bpm, seed=bpm, loose=loose)
+        different = np.unique(np.round(rows[:, 0], 4))
+        tatum, phase, score, drifts = tempo.fine_grid(different)
+        beat = tempo.chosen_multiple(tatum, rows[:, 0], rows[:, 1], drifts)
+        assert abs(60 / beat / bpm - 1) < 0.02 and not drifts
+        off = (different - phase) / tatum
+        assert np.abs(off - np.rint(off)).mean() < 0.1
+
+
+def test_beats_of_all_clips(spark, data):
+    got = registry.queries()["estimated_beats"](spark, data).toPandas()
+    counts = notes(spark, data).selectExpr("clip_id", "round(onset, 4) as o").distinct().groupBy("clip_id").count().where("count >= 8").count()
+    ratio = (got["beat"] / got["tatum"]).round(6)
+    assert len(got) == counts and ratio.isin(tempo.MULTIPLES).all() and got["confidence"].between(0, 1).all()
+    few = notes(spark, data).limit(5)
+    assert tempo.estimate_beats(few).count() == 0
+
+
+def test_repeats_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        onsets = np.array(sorted({round(rng.uniform(0, 4), 2) for _ in range(rng.randint(0, 12))}))
+        able = [x for x in onsets if x + 0.5 <= onsets[-1] + 0.06]
+        want = np.mean([any(abs(y - x - 0.5) <= 0.06 for y in onsets) for x in able]) if able else 0.0
+        assert tempo.repeats(onsets, 0.5, 0.06) == pytest.approx(want)
