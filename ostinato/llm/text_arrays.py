@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
