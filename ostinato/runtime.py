@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = f"/tmp/ostinato-checkpoints-{os.getuid()}"
+#: Rows and bytes that a Python worker gets at once: rows here are texts and pictures, and several workers share an executor.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _shipped: set[str] = set()
 
 
@@ -62,11 +64,13 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application, and bounds the batches that they get."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
+    for name, most in BATCHES.items():
+        spark.conf.set(name, most)
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp()) / "ostinato_package.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
