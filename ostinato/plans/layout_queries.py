@@ -188,16 +188,23 @@ def from_the_downbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT beats, unit, CASE WHEN unit = 8 AND beats IN (6, 9, 12) THEN 'dotted quarter' ELSE 'quarter' END AS mark,
- CAST(CASE WHEN unit = 8 AND beats IN (6, 9, 12) THEN round_even(96 * 2 / 3::double, 0) ELSE 96 END AS INTEGER) AS per_minute
-FROM (VALUES (4, 4), (3, 4), (6, 8), (9, 8), (12, 8), (2, 4)) AS t(beats, unit)"""
+    """WITH clips AS (SELECT DISTINCT user_id AS clip_id FROM events),
+ told AS (SELECT clip_id, 60 + clip_id % 90 AS tempo, [4, 3, 6, 9, 12, 2][clip_id % 6 + 1] AS beats, [4, 4, 8, 8, 8, 4][clip_id % 6 + 1] AS unit FROM clips)
+SELECT clip_id, beats, unit, CASE WHEN unit = 8 AND beats IN (6, 9, 12) THEN 'dotted quarter' ELSE 'quarter' END AS mark,
+ CAST(CASE WHEN unit = 8 AND beats IN (6, 9, 12) THEN round_even(tempo * 2 / 3::double, 0) ELSE tempo END AS INTEGER) AS per_minute FROM told"""
 )
 def tempo_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(4, 4), (3, 4), (6, 8), (9, 8), (12, 8), (2, 4)], "beats int, unit int")
+    """The tempo mark of each clip; clips go through the metres by turns."""
+    from ostinato.runtime import table
+
+    clip = F.col("clip_id")
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (clip % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id")).distinct()
+    rows = rows.select("clip_id", (60 + clip % 90).alias("tempo"), one_of([4, 3, 6, 9, 12, 2]).alias("beats"), one_of([4, 4, 8, 8, 8, 4]).alias("unit"))
     compound = (F.col("unit") == 8) & F.col("beats").isin(6, 9, 12)
     return rows.select(
-        "beats", "unit", F.when(compound, "dotted quarter").otherwise("quarter").alias("mark"),
-        F.when(compound, F.rint(F.lit(96 * 2 / 3))).otherwise(96.0).cast("int").alias("per_minute"),
+        "clip_id", "beats", "unit", F.when(compound, "dotted quarter").otherwise("quarter").alias("mark"),
+        F.when(compound, F.rint(F.col("tempo") * 2 / F.lit(3.0))).otherwise(F.col("tempo")).cast("int").alias("per_minute"),
     )
 
 
@@ -230,23 +237,28 @@ def run_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_THEMES = ["aurora", "capture", "classic", "flush", "minimal", "neon", "paper", "sparks", "synthesia"]
+_RECIPE_KEYS = ["G major", "D minor", "A minor", "C major", "F major", "E minor"]
+
+
 @query(
-    """SELECT theme || '_88key_seed0' || CASE WHEN sustained THEN '_sustained' ELSE '' END || CASE WHEN key = 'G major' THEN '' ELSE '_' || replace(key, ' ', '') END
- || CASE WHEN tempo = 96 THEN '' ELSE '_' || CAST(tempo AS VARCHAR) || 'bpm' END AS name, tempo, key
-FROM (VALUES ('aurora', 'G major', 96, false), ('classic', 'D minor', 60, false), ('minimal', 'A minor', 80, false), ('aurora', 'C major', 126, false),
- ('synthesia', 'F major', 144, false), ('synthesia', 'G major', 96, true), ('capture', 'E minor', 72, true)) AS t(theme, key, tempo, sustained)"""
+    f"""WITH clips AS (SELECT DISTINCT user_id AS c FROM events),
+ recipe AS (SELECT c, {_THEMES}[c % 9 + 1] AS theme, {_RECIPE_KEYS}[c % 6 + 1] AS key, [96, 60, 80, 126, 144][c % 5 + 1] AS tempo, c % 4 = 0 AS sustained FROM clips)
+SELECT c AS clip_id, theme || '_88key_seed0' || CASE WHEN sustained THEN '_sustained' ELSE '' END || CASE WHEN key = 'G major' THEN '' ELSE '_' || replace(key, ' ', '') END
+ || CASE WHEN tempo = 96 THEN '' ELSE '_' || CAST(tempo AS VARCHAR) || 'bpm' END AS name, tempo, key FROM recipe"""
 )
 def corpus_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of corpus clips: what is usual goes unsaid."""
-    rows = [
-        ("aurora", "G major", 96, False), ("classic", "D minor", 60, False), ("minimal", "A minor", 80, False), ("aurora", "C major", 126, False),
-        ("synthesia", "F major", 144, False), ("synthesia", "G major", 96, True), ("capture", "E minor", 72, True),
-    ]
-    table_ = spark.createDataFrame(rows, "theme string, key string, tempo int, sustained boolean")
+    """Names of corpus clips, one for each clip: what is usual goes unsaid."""
+    from ostinato.runtime import table
+
+    clip = F.col("clip_id")
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (clip % len(values) + 1).cast("int"))
+    clips = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id")).distinct()
+    rows = clips.select("clip_id", one_of(_THEMES).alias("theme"), one_of(_RECIPE_KEYS).alias("key"), one_of([96, 60, 80, 126, 144]).alias("tempo"), (clip % 4 == 0).alias("sustained"))
     part = lambda usual, text: F.when(usual, "").otherwise(text)
     name = F.concat(
         "theme", F.lit("_88key_seed0"), part(~F.col("sustained"), "_sustained"),
         part(F.col("key") == "G major", F.concat(F.lit("_"), F.replace("key", F.lit(" "), F.lit("")))),
         part(F.col("tempo") == 96, F.concat(F.lit("_"), F.col("tempo").cast("string"), F.lit("bpm"))),
     )
-    return table_.select(name.alias("name"), "tempo", "key")
+    return rows.select("clip_id", name.alias("name"), "tempo", "key")

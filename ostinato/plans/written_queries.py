@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ostinato.operators import written as w
 from ostinato.plans.catalog import query
+from ostinato.runtime import table
 from ostinato.sources.views import notes, with_views
 
 _WRITTEN = (
@@ -38,15 +39,23 @@ def printed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.printed_score(page, moved.select("clip_id", "note_id", "pitch", "onset", "written", "staff"), 2.0)
 
 
-_PAGES = "(VALUES ('a', 100, 4, 102, 4, 'C major'), ('b', 60, 3, 90, 3, 'F major'), ('c', 120, 4, 60, 2, 'A minor'), ('d', NULL, 4, 96, 4, 'D minor')) AS t(name, tempo, beats, found_tempo, found_beats, found_key)"
-
-
 @query(
-    f"""SELECT name, abs(found_tempo::double / tempo - 1) <= 0.03 AS tempo_right, abs((found_beats * 60 / found_tempo::double) / (beats * 60 / tempo::double) - 1) <= 0.05 AS meter_right,
- CASE WHEN name <> 'd' THEN list_contains(['C major', 'A minor'], found_key) END AS key_right FROM {_PAGES}"""
+    """WITH clips AS (SELECT DISTINCT user_id AS clip_id FROM events),
+ pages AS (SELECT clip_id, CASE WHEN clip_id % 7 <> 0 THEN 60 + clip_id % 60 END AS tempo, 3 + clip_id % 2 AS beats, (60 + clip_id % 60) * [1.0, 1.02, 1.06, 0.5][clip_id % 4 + 1]::double AS found_tempo,
+   3 + clip_id % 3 % 2 AS found_beats, ['C major', 'A minor', 'F major'][clip_id % 3 + 1] AS found_key FROM clips)
+SELECT 'clip_' || clip_id AS name, abs(found_tempo / tempo - 1) <= 0.03 AS tempo_right, abs((found_beats * 60 / found_tempo) / (beats * 60 / tempo::double) - 1) <= 0.05 AS meter_right,
+ CASE WHEN clip_id % 5 <> 0 THEN found_key IN ('C major', 'A minor') END AS key_right FROM pages"""
 )
 def printed_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT *, IF(name <> 'd', array('C major', 'A minor'), array()) AS keys FROM {_PAGES}")
+    """Each clip's tempo, bar and key against its page; every seventh page says no tempo, every fifth no key."""
+    clip = F.col("user_id")
+    one_of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (clip % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(clip).distinct().select(
+        F.concat(F.lit("clip_"), clip.cast("string")).alias("name"), F.when(clip % 7 != 0, 60 + clip % 60).alias("tempo"), (3 + clip % 2).alias("beats"),
+        ((60 + clip % 60) * one_of([1.0, 1.02, 1.06, 0.5], 4)).alias("found_tempo"), (3 + clip % 3 % 2).alias("found_beats"),
+        one_of(["C major", "A minor", "F major"], 3).alias("found_key"),
+        F.when(clip % 5 != 0, F.array(F.lit("C major"), F.lit("A minor"))).otherwise(F.array().cast("array<string>")).alias("keys"),
+    )
     return w.judgements(rows)
 
 
