@@ -7,6 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ostinato.functions.music import snapped
+from ostinato.operators import hands, rhythm, tonality
+from ostinato.operators.joins import as_of
 
 # Periods searched, seconds; how steady a clip must be to be read as a whole; windows otherwise; what passes for the best.
 LOW, HIGH, STEPS = 0.06, 1.0, 1200
@@ -95,11 +100,12 @@ def chosen_multiple(period: float, onsets: np.ndarray, durations: np.ndarray, dr
     return beat if beat is not None else min((period * m for m in MULTIPLES), key=lambda b: abs(math.log(60 / b / PRIOR)))
 
 
-def estimate_beats(notes: DataFrame) -> DataFrame:
-    """(clip_id, tatum, tatum_phase, beat, tempo, confidence); a clip of fewer than LEAST different onsets has none."""
+def estimate_beats(notes: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """(keys, tatum, tatum_phase, beat, tempo, confidence) of each group of notes; one of fewer than LEAST different onsets has none."""
+    keys = list(keys)
+    columns = [*keys, "tatum", "tatum_phase", "beat", "tempo", "confidence"]
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        columns = ["clip_id", "tatum", "tatum_phase", "beat", "tempo", "confidence"]
         own = own.sort_values(["onset", "duration"], kind="stable")
         onsets, durations = own["onset"].to_numpy(), own["duration"].to_numpy()
         different = np.unique(np.round(onsets, 4))
@@ -107,7 +113,34 @@ def estimate_beats(notes: DataFrame) -> DataFrame:
             return pd.DataFrame([], columns=columns)
         tatum, phase, score, drifts = fine_grid(different)
         beat = chosen_multiple(tatum, onsets, durations, drifts)
-        return pd.DataFrame([(own["clip_id"].iloc[0], tatum, phase, beat, 60 / beat, min(1.0, score))], columns=columns)
-
-    schema = "clip_id long, tatum double, tatum_phase double, beat double, tempo double, confidence double"
-    return notes.select("clip_id", "onset", "duration").groupBy("clip_id").applyInPandas(solve, schema)
+        return pd.DataFrame([(*own[keys].iloc[0], tatum, phase, beat, 60 / beat, min(1.0, score))], columns=columns)
+
+    kinds = ", ".join(f"{k} {notes.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, tatum double, tatum_phase double, beat double, tempo double, confidence double"
+    return notes.select(*keys, "onset", "duration").groupBy(*keys).applyInPandas(solve, schema)
+
+
+def postprocessed(notes: DataFrame, steps_per_beat: int | None = None) -> DataFrame:
+    """Notes with hands by their neighbours, and onsets and lengths on their clip's grid where they are near it.
+
+    ``steps_per_beat`` cuts the beat found; None takes the grid found, 0 leaves notes as they were played. Notes of a clip without a
+    beat stay as they are. Columns: clip_id, note_id, pitch, hand, onset, duration.
+    """
+    handed = hands.split_by_neighbours(notes).select("clip_id", "note_id", "pitch", F.col("side").alias("hand"), "onset", "duration")
+    if steps_per_beat == 0:
+        return handed
+    step = F.col("beat") / steps_per_beat if steps_per_beat else F.col("tatum")
+    rows = handed.join(estimate_beats(notes).withColumn("step", step), "clip_id", "left")
+    at = snapped(F.col("onset"), F.col("step"), F.col("tatum_phase"), rhythm.MAX_SHIFT)
+    length = snapped(F.col("duration"), F.col("step"), F.lit(0.0), rhythm.MAX_SHIFT)
+    length = F.when(length >= F.col("step") / 2, length)
+    return rows.select("clip_id", "note_id", "pitch", "hand", F.coalesce(at, F.col("onset")).alias("onset"), F.coalesce(length, F.greatest("duration", F.lit(0.03))).alias("duration"))
+
+
+def analysed_sections(notes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Beat of each section (clip_id, section_no, start) by its own notes, the key by the whole piece; a section of too few onsets is
+    left out. Notes before the first section's start belong to none."""
+    placed = as_of(notes, sections, ["clip_id"], "onset", "start", ["section_no"]).where("section_no is not null")
+    beats = estimate_beats(placed, ("clip_id", "section_no"))
+    keys = tonality.find_key(tonality.key_scores(tonality.pitch_class_weights(notes))).select("clip_id", "key")
+    return beats.join(keys, "clip_id").join(sections, ["clip_id", "section_no"])

@@ -38,3 +38,18 @@ def lcs_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def estimated_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tatum, beat and tempo of each clip."""
     return tempo.estimate_beats(notes(spark, sf_dir))
+
+
+@query()
+def postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hands, beat and grid of all notes."""
+    return tempo.postprocessed(notes(spark, sf_dir))
+
+
+@query()
+def section_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beat of each half of each clip, and the key of the whole."""
+    rows = notes(spark, sf_dir)
+    span = rows.groupBy("clip_id").agg(F.min("onset").alias("lo"), F.max("onset").alias("hi"))
+    halves = F.posexplode(F.array(F.col("lo"), (F.col("lo") + F.col("hi")) / 2)).alias("section_no", "start")
+    return tempo.analysed_sections(rows, span.select("clip_id", halves))

@@ -164,3 +164,25 @@ def test_repeats_equal_brute_force():
         able = [x for x in onsets if x + 0.5 <= onsets[-1] + 0.063]
         want = np.mean([any(abs(y - x - 0.5) <= 0.063 for y in onsets) for x in able]) if able else 0.0
         assert tempo.repeats(onsets, 0.5, 0.063) == pytest.approx(want)
+
+
+def test_notes_near_the_grid_are_put_on_it(spark, data):
+    rows = [(k, 1, float(t), 60 + k % 5, float(d), "L", 80) for k, (t, d) in enumerate(steady(96, loose=0.003))]
+    made = spark.createDataFrame(rows, "note_id long, clip_id long, onset double, pitch long, duration double, hand string, velocity long")
+    beat = tempo.estimate_beats(made).first()
+    got = tempo.postprocessed(made).toPandas()
+    off = (got["onset"] - beat["tatum_phase"]) / beat["tatum"]
+    assert (np.abs(off - np.rint(off)) < 1e-6).mean() > 0.95 and abs(beat["tempo"] / 96 - 1) < 0.02
+    assert tempo.postprocessed(made, 0).select("note_id", "onset").orderBy("note_id").collect() == made.select("note_id", "onset").orderBy("note_id").collect()
+    whole = registry.queries()["postprocess"](spark, data)
+    assert whole.count() == notes(spark, data).count() and set(r["hand"] for r in whole.select("hand").distinct().collect()) <= {"L", "R"}
+
+
+def test_sections_are_analysed_by_their_own_notes(spark):
+    one, two = steady(72, 4, 1), steady(126, 6, 2)
+    two[:, 0] += 100
+    rows = [(k, 1, float(t), 60 + k % 5, float(d), "L", 80) for k, (t, d) in enumerate([*one, *two])]
+    made = spark.createDataFrame(rows, "note_id long, clip_id long, onset double, pitch long, duration double, hand string, velocity long")
+    sections = spark.createDataFrame([(1, 0, -1.0), (1, 1, 99.0), (1, 2, 999.0)], "clip_id long, section_no int, start double")
+    got = {r["section_no"]: r["tempo"] for r in tempo.analysed_sections(made, sections).collect()}
+    assert set(got) == {0, 1} and abs(got[0] / 72 - 1) < 0.02 and abs(got[1] / 126 - 1) < 0.02
