@@ -42,3 +42,31 @@ def load_truth(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     good = raw.where("truth.sequence.notes is not null")
     notes = good.select(F.col("truth.clip_id").alias("clip_id"), F.col("truth.sequence.tempo").alias("tempo"), F.inline("truth.sequence.notes"))
     return notes, bad
+
+
+# The ending of a printed piece's file, and its fields; a note is an array of pitch, beat, length and staff.
+PIECE = ".printed.json"
+PIECE_SCHEMA = (
+    "title string, video string, first_beat double, beat double, window array<double>, tempo double, beats_per_bar int, keys array<string>, "
+    "notes array<array<string>>, lowest int, highest int, end double, beat_times array<array<double>>, sections array<double>, scored_by string"
+)
+
+
+def load_pieces(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pieces, their notes) of the printed pieces in a folder, one file each; what a file leaves out is null or its usual value."""
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{PIECE}").select(F.col("_metadata.file_name").alias("file"), "value")
+    read = raw.select(F.expr(f"left(file, length(file) - {len(PIECE)})").alias("name"), F.from_json("value", PIECE_SCHEMA, {"mode": "FAILFAST"}).alias("p")).select("name", "p.*")
+    point = lambda x: F.struct(x[0].alias("beat"), x[1].alias("t"))
+    usual = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    pieces = read.select(
+        "name", F.coalesce("title", "name").alias("title"), "video", usual("first_beat", 0.0), usual("beat", 0.0),
+        F.struct(F.col("window")[0].alias("lo"), F.col("window")[1].alias("hi")).alias("window"), F.nullif("tempo", F.lit(0.0)).alias("tempo"),
+        F.nullif("beats_per_bar", F.lit(0)).alias("beats_per_bar"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), "lowest", "highest", "end",
+        F.array_sort(F.transform(F.coalesce("beat_times", F.array().cast("array<array<double>>")), point)).alias("beat_times"),
+        F.array_sort(F.coalesce("sections", F.array().cast("array<double>"))).alias("sections"), usual("scored_by", "beat"),
+    )
+    each = read.select("name", F.posexplode("notes").alias("note_no", "n"))
+    notes = each.select(
+        "name", "note_no", F.col("n")[0].cast("int").alias("pitch"), F.col("n")[1].cast("double").alias("beat"), F.col("n")[2].cast("double").alias("length"), F.col("n")[3].alias("staff")
+    )
+    return pieces, notes

@@ -57,3 +57,18 @@ def test_truth_without_a_sequence_is_told(spark, tmp_path):
     assert len(pairs) == 1 and pairs[0]["video"].endswith("a.mp4")
     lone = corpus.paired_clips(spark.createDataFrame([("x/b.truth.json",)], "path string")).select(F.col("video")).first()
     assert lone["video"] is None
+
+
+def test_printed_pieces_are_read(spark, tmp_path):
+    full = {"title": "A piece", "video": "a.mp4", "first_beat": 1.5, "beat": 0.5, "window": [0, 32], "tempo": 96, "beats_per_bar": 3, "keys": ["C major"], "notes": [[60, 0, 1, "R"], [48, 0.5, 0.25, "L"]],
+            "lowest": 40, "highest": 80, "end": 31.5, "beat_times": [[4, 2.5], [0, 0.5]], "sections": [9.0, 3.0], "scored_by": "order"}
+    (tmp_path / "a.printed.json").write_text(json.dumps(full, indent=2))
+    (tmp_path / "b.printed.json").write_text(json.dumps({"video": "b.mp4", "window": [1, 2], "notes": [], "tempo": 0}))
+    (tmp_path / "c.json").write_text("{}")
+    pieces, written = corpus.load_pieces(spark, str(tmp_path))
+    got = {r["name"]: r for r in pieces.collect()}
+    assert set(got) == {"a", "b"} and got["a"]["title"] == "A piece" and got["a"]["window"]["hi"] == 32.0 and got["a"]["sections"] == [3.0, 9.0]
+    assert [tuple(x) for x in got["a"]["beat_times"]] == [(0.0, 0.5), (4.0, 2.5)]
+    b = got["b"]
+    assert (b["title"], b["tempo"], b["beats_per_bar"], b["keys"], b["first_beat"], b["scored_by"], b["lowest"]) == ("b", None, None, [], 0.0, "beat", None)
+    assert sorted(tuple(r) for r in written.collect()) == [("a", 0, 60, 0.0, 1.0, "R"), ("a", 1, 48, 0.5, 0.25, "L")]
