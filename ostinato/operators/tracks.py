@@ -89,7 +89,9 @@ def median_spread(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def pauses(tiles: DataFrame, least: float) -> DataFrame:
     """Runs of frames that show the same picture, of at least ``least`` seconds: (clip_id, first, last)."""
-    picture = F.array_sort(F.collect_list(F.struct("pitch", "hand", F.round("top", 1), F.round("bottom", 1)))).alias("picture")
+    # 128 bits and a count tell a frame's picture, whatever the order of its tiles
+    tile = [F.col("pitch"), F.col("hand"), F.round("top", 1), F.round("bottom", 1)]
+    picture = F.struct(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(*tile, F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]).alias("picture")
     movable = F.max(((F.col("bottom") < STRIKE - EDGE) | (F.col("top") > EDGE)).cast("int")).alias("movable")
     frames = tiles.groupBy("clip_id", "frame", "time").agg(picture, movable)
     order = W.partitionBy("clip_id").orderBy("frame")
