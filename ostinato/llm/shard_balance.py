@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinato.llm.ordering import dealt_in_order, part_offsets
+from ostinato.llm.spread import salted_join
 from ostinato.runtime import persist_table
 
 ROUNDS = 4
@@ -39,7 +40,7 @@ def propagate(linked: DataFrame, n_shards: int, quota: int) -> DataFrame:
 
     Unlinked rows take what room is left later, so only linked rows count against the quota here.
     """
-    counts = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+    counts = persist_table(linked.groupBy("grp", "shard").agg(F.count("*").alias("n")), "shard-counts")
     loads = counts.groupBy("shard").agg(F.sum("n").alias("load"))
     shards = linked.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     room = shards.join(loads, "shard", "left").select("shard", (F.lit(quota) - F.coalesce("load", F.lit(0))).alias("room"))
@@ -64,7 +65,8 @@ def propagate(linked: DataFrame, n_shards: int, quota: int) -> DataFrame:
     # at most n_shards x CLASSES rows
     moves = wish.join(F.broadcast(grants), ["target", "class"]).select("grp", "shard", "target", "share")
     granted = F.coalesce(_fraction("uid") < F.col("share"), F.lit(False))
-    return linked.join(moves, ["grp", "shard"], "left").select(
+    # one group may be a third of all rows
+    return salted_join(linked, moves, ["grp", "shard"], ["uid"], counts, "left").select(
         "uid", "grp", F.when(granted, F.col("target")).otherwise(F.col("shard")).alias("shard")
     )
 
@@ -123,14 +125,16 @@ def balanced_shards(
     )
     # equal texts have equal hash, CRC and size
     keys = ["_hash", "text_crc32", "size"]
-    groups = nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = groups.withColumn("grp", F.xxhash64(*keys))
+    groups = persist_table(nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
+    marks = groups.drop("n").withColumn("grp", F.xxhash64(*keys))
     start = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n_shards)).cast("int").alias("shard")
-    labelled = persist_table(nodes.join(marks, keys, "left").select("uid", "grp", start), "shard-labels")
+    labelled = persist_table(salted_join(nodes, marks, keys, ["uid"], groups, "left").select("uid", "grp", start), "shard-labels")
     total = nodes.count()
     linked = labelled.where("grp is not null")
-    for _ in range(rounds):
-        linked = persist_table(propagate(linked, n_shards, -(-total // n_shards)), "shard-labels")
+    even = -(-total // n_shards)
+    for left in reversed(range(rounds)):
+        # quotas start loose, or nothing could move where all rows are linked, and are even in the end
+        linked = persist_table(propagate(linked, n_shards, even + even * left // max(1, rounds - 1)), "shard-labels")
     alone = labelled.where("grp is null").select("uid", F.lit(0).cast("long").alias("grp"), "shard", F.lit(False).alias("linked"))
     state = alone.unionAll(linked.select("uid", "grp", "shard", F.lit(True).alias("linked")))
     final = persist_table(even_out(state, n_shards, total), "shard-final")

@@ -137,6 +137,19 @@ def test_shards_are_even_and_keep_groups(spark):
     assert shard_balance.balanced_shards(rows.limit(3), "doc_id", "text", 16).count() == 3
 
 
+def test_propagation_cuts_fewer_links_than_the_start(spark):
+    """Links are pairs of equal texts. Shards of 27 rows must cut some groups of up to 12. Null keys are rows like any other."""
+    rng = random.Random(6)
+    texts = [f"group {g}" for g in range(60) for _ in range(rng.randint(2, 12))] + [None] * 3
+    rows = spark.createDataFrame([(k if k % 50 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = shard_balance.balanced_shards(rows.withColumn("uid", F.lit(1)).withColumn("grp", F.lit(2)), "doc_id", "text", 16)
+    sizes = got.groupBy("text_crc32").agg(F.count("*").alias("n"))
+    together = got.groupBy("text_crc32", "shard").agg(F.count("*").alias("n"))
+    pairs = lambda d: d.selectExpr("sum(n * (n - 1) / 2)").first()[0]
+    cut = 1 - float(pairs(together)) / float(pairs(sizes))
+    assert got.count() == len(texts) and cut < 0.4, cut  # 0.94 of the links are cut when rows are dealt by chance
+
+
 # --- WARC
 
 
