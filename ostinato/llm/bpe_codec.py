@@ -6,7 +6,8 @@ neighbours first, leftmost on ties, which is the order of byte-level BPE. Each p
 itself. Decoding maps ids back to bytes.
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows give repeated results; columns of
-the input besides the key and the text are ignored, whatever their names; an empty table gives an empty result.
+the input besides the key and the text are ignored, whatever their names; a text of any length is one row, whole (its ids take a few
+times its size in memory); null keys and repeated ones are rows like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Prefix sums come from range-partitioned parts and their offsets, so a conversati
 
 Defined results: null text and null role are empty; null conversation ids form one conversation; turns are ordered by
 turn, role and text with nulls first, so ties and repeated rows have a fixed order and each is kept; columns of other
-names are ignored; an empty table gives no windows.
+names are ignored; a turn of any length stays whole, in a window of its own if need be, so the budget bounds where windows are cut and
+not the length of one turn; an empty table gives no windows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Labels are learned on at most ``SAMPLE`` labelled rows of each class, chosen by
 crc32(key as text) mod 4 = 2); the true share of the classes, counted over all labelled training rows, sets the intercept.
 
 Defined results: null, empty and blank texts have no hits and get the score of texts without hits; repeated rows get equal
-scores; a label row without a label is no label, one of several for a key counts if any is 1; extra columns are ignored;
+scores; a label row without a label is no label, one of several for a key counts if any is 1; a row with a null key has a score and no
+label; a text of any length is scored whole, word by word; extra columns are ignored, whatever their names;
 without training rows the fixed list alone decides; an empty table gives an empty result.
 """
 

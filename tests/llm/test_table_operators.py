@@ -137,6 +137,12 @@ def test_shards_are_even_and_keep_groups(spark):
     assert shard_balance.balanced_shards(rows.limit(3), "doc_id", "text", 16).count() == 3
 
 
+def test_shards_of_very_long_texts(spark):
+    texts = ["é" * 2_000_000, "é" * 2_000_000, "short", None]
+    got = {r["doc_id"]: r for r in shard_balance.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 2).collect()}
+    assert got[0]["size"] == 4_000_001 and got[0]["text_crc32"] == got[1]["text_crc32"] == zlib.crc32(texts[0].encode()) and got[0]["shard"] == got[1]["shard"]
+
+
 def test_propagation_cuts_fewer_links_than_the_start(spark):
     """Links are pairs of equal texts. Shards of 27 rows must cut some groups of up to 12. Null keys are rows like any other."""
     rng = random.Random(6)
@@ -223,6 +229,15 @@ def test_conversations_come_back_from_windows(spark, stride, history):
     assert chat_windows.read_back(chat_windows.chat_windows(table.where("false"), COUNTER)).count() == 0
 
 
+def test_a_very_long_turn_comes_back(spark):
+    long = "</s>[INST] \\ <<SYS>> é " * 30_000
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", long), (1, 2, "assistant", long + "end"), (1, 3, "user", "and?"), (1, 4, "assistant", "no")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat_windows.read_back(chat_windows.chat_windows(table, COUNTER, 2048, 512)).first()
+    assert got["n_turns"] == 5 and got["loss_chars"] == len(long) + 5
+    assert got["loss_sha256"] == hashlib.sha256((long + "end" + "no").encode()).hexdigest()
+
+
 # --- images
 
 

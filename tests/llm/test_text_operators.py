@@ -437,6 +437,24 @@ def test_quotation_is_told_from_abuse():
     assert toxic_terms.features(None, lexicon, weights) == toxic_terms.features(" ", lexicon, weights) == [0.0] * 6
 
 
+def test_scores_of_odd_rows(spark):
+    """Very long texts, clashing columns, null keys, repeated rows, empty tables."""
+    long = "plain words of a long text " * 40_000
+    rows = docs(spark, ["you idiot", "a plain text", long, long + "you idiot, you moron", None, "", "you idiot"])
+    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") != 6, F.col("doc_id")))
+    for k, name in enumerate(["label", "_id", "_key", "key", "score", "toxic", "predicted", "term"]):
+        rows = rows.withColumn(name, F.lit(k))
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 0), (None, 1, 1), (3, 1, None), (4, None, 0)], "doc_id long, quality int, toxic int")
+    for told in (labels, labels.where("false")):
+        model = toxic_terms.learn(rows, told)
+        got = {r["doc_id"]: r for r in toxic_terms.toxicity(rows, model).collect()}
+        assert len(got) == 7 and all(0 <= r["score"] <= 1 for r in got.values())
+        assert got[0]["score"] == got[None]["score"] > got[1]["score"] and got[4]["score"] == got[5]["score"] and got[3]["score"] > got[2]["score"]
+        assert toxic_terms.without_toxic(rows, model).columns == rows.columns
+        assert toxic_terms.toxicity(rows.where("false"), model).count() == 0
+    assert toxic_terms.learn(rows.where("false"), labels).coefficients
+
+
 def test_scores_are_learned_from_training_rows_only(spark):
     rng = random.Random(9)
     texts, labels = [], []
