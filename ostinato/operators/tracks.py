@@ -289,3 +289,24 @@ def notes_of(tiles: DataFrame, keys: list[str], interval: float) -> DataFrame:
 
 def tracks_to_notes(tracks: DataFrame, interval: float) -> DataFrame:
     return notes_of(tracks, ["clip_id", "pitch", "hand", "track_id"], interval)
+
+
+def weighted_line(rows: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
+    """(keys, slope, level, n) of the weighted least-squares line; no line where x doesn't vary. One pass of sums."""
+    a, b, c = F.col(x), F.col(y), F.col(w)
+    sums = rows.groupBy(*keys).agg(
+        F.sum(c).alias("_w"), F.sum(c * a).alias("_x"), F.sum(c * b).alias("_y"), F.sum(c * a * a).alias("_xx"), F.sum(c * a * b).alias("_xy"), F.count("*").alias("n")
+    )
+    across = F.col("_w") * F.col("_xx") - F.col("_x") * F.col("_x")
+    slope = (F.col("_w") * F.col("_xy") - F.col("_x") * F.col("_y")) / across
+    lines = sums.where(across > 1e-9).withColumn("slope", slope)
+    return lines.select(*keys, "slope", ((F.col("_y") - F.col("slope") * F.col("_x")) / F.col("_w")).alias("level"), "n")
+
+
+def trimmed_line(rows: DataFrame, keys: list[str], x: str, y: str, w: str, reach: float = 3.0) -> DataFrame:
+    """The weighted line through the rows that lie within ``reach`` times the median distance from the line through all of them."""
+    first = weighted_line(rows, keys, x, y, w).drop("n")
+    apart = rows.join(first, keys).withColumn("_off", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("level")))
+    middle = apart.groupBy(*keys).agg(F.median("_off").alias("_middle"))
+    near = apart.join(middle, keys).where(F.col("_off") <= reach * F.col("_middle") + 1e-6)
+    return weighted_line(near.drop("slope", "level"), keys, x, y, w)

@@ -201,3 +201,20 @@ def timed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes from tracks whose tiles are known."""
     found = t.notes_of(src.tiles(notes(spark, sf_dir)), t.TRACK, 1 / src.FPS)
     return _r(found, "onset", "duration")
+
+
+def _line(source: str) -> str:
+    return f"""SELECT clip_id, (w * xy - x * y) / (w * xx - x * x) AS slope, (y - (w * xy - x * y) / (w * xx - x * x) * x) / w AS level, n
+  FROM (SELECT clip_id, sum(duration) AS w, sum(duration * onset) AS x, sum(duration * pitch) AS y, sum(duration * onset * onset) AS xx, sum(duration * onset * pitch) AS xy, count(*) AS n FROM {source} GROUP BY 1)
+  WHERE w * xx - x * x > 1e-9"""
+
+
+@query(
+    with_views("notes")
+    + f""", first AS ({_line('notes')}), apart AS (SELECT n.clip_id, onset, pitch, duration, abs(pitch - slope * onset - level) AS off FROM notes n JOIN first USING (clip_id)),
+ near AS (SELECT a.* FROM apart a JOIN (SELECT clip_id, median(off) AS middle FROM apart GROUP BY 1) USING (clip_id) WHERE off <= 1.2::double * middle + 1e-6)
+SELECT clip_id, round(slope, 6) AS slope, round(level, 6) AS level, n FROM ({_line('near')})"""
+)
+def trimmed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each clip's pitches drift: a line weighted by length through the notes near the line through all of them."""
+    return _r(t.trimmed_line(notes(spark, sf_dir), ["clip_id"], "onset", "pitch", "duration", 1.2), "slope", "level")
