@@ -169,3 +169,37 @@ def regressions(baseline: DataFrame, current: DataFrame, fall: float = FALL) ->
     joined = baseline.select("clip_id", F.col("f1").alias("before")).join(after, F.col("clip_id") == F.col("_c"), "left").drop("_c")
     joined = joined.withColumn("after", F.coalesce("after", F.lit(0.0)))
     return joined.where(F.col("before") - F.col("after") > fall).withColumn("delta", F.col("after") - F.col("before"))
+
+
+def settled_chords(page: DataFrame, played: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Further pairs that an alignment in order dropped only for the order in which a chord came in.
+
+    page: clip_id, page_no, pitch, beat; played: clip_id, played_no, pitch; pairs: clip_id, page_no, played_no. A page's note without a
+    partner whose chord (its beat, two notes or more) has one elsewhere takes the first free played note of its pitch that is no
+    further from the chord's partners than the chord is large. Notes of a page take turns in their order.
+    """
+    met = page.join(pairs, ["clip_id", "page_no"], "left")
+    chord = met.groupBy("clip_id", "beat").agg(F.count("*").alias("size"), F.min("played_no").alias("low"), F.max("played_no").alias("high"))
+    chord = chord.where("size > 1 and low is not null").select("clip_id", "beat", (F.col("low") - F.col("size")).alias("from"), (F.col("high") + F.col("size")).alias("to"))
+    open_ = met.where("played_no is null").drop("played_no").join(chord, ["clip_id", "beat"])
+    free = played.join(pairs.select("clip_id", "played_no"), ["clip_id", "played_no"], "left_anti")
+    # places near a chord are a generator, so that this is a join on equality
+    asked = open_.select("clip_id", "pitch", "page_no", F.explode(F.sequence("from", "to")).alias("played_no"))
+    found = asked.join(free, ["clip_id", "pitch", "played_no"])
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        taken: set[int] = set()
+        given: set[int] = set()
+        out = []
+        for row in rows:  # (page_no, page_no, distance, played_no), in order
+            if row[1] not in given and row[3] not in taken:
+                given.add(row[1])
+                taken.add(row[3])
+                out.append(row)
+        return out
+
+    lanes = found.select(
+        F.col("clip_id").cast("long"), F.col("pitch").cast("long"), F.col("page_no").cast("double").alias("ref_onset"), F.col("page_no").cast("long").alias("ref_id"),
+        F.col("played_no").cast("double").alias("error"), F.col("played_no").cast("long").alias("est_id"),
+    )
+    return _by_lane(lanes, solve).select("clip_id", F.col("ref_id").alias("page_no"), F.col("est_id").alias("played_no"))

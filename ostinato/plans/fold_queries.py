@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ostinato.operators import folds, rhythm, tempo
+from ostinato.operators import folds, matching, rhythm, tempo
 from ostinato.plans.catalog import query
+from ostinato.runtime import persist_table
 from ostinato.sources.views import estimate, notes
 
 
@@ -53,3 +55,16 @@ def section_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = rows.groupBy("clip_id").agg(F.min("onset").alias("lo"), F.max("onset").alias("hi"))
     halves = F.posexplode(F.array(F.col("lo"), (F.col("lo") + F.col("hi")) / 2)).alias("section_no", "start")
     return tempo.analysed_sections(rows, span.select("clip_id", halves))
+
+
+@query()
+def chord_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of chords that an alignment in order leaves out, from each clip's notes and their copy with other onsets."""
+    rows = notes(spark, sf_dir)
+    numbered = lambda d, name: d.withColumn(name, F.row_number().over(W.partitionBy("clip_id").orderBy("onset", "pitch", "note_id")) - 1)
+    page = numbered(rows.withColumn("beat", F.rint(F.col("onset") * 2) / 2), "page_no").select("clip_id", "page_no", "pitch", "beat", "note_id")
+    played = numbered(estimate(rows), "played_no").select("clip_id", "played_no", "pitch", "note_id")
+    aligned = persist_table(folds.ordered_alignment(rows, estimate(rows)), "alignment")
+    pairs = aligned.join(page.select("clip_id", "page_no", F.col("note_id").alias("page_id")), ["clip_id", "page_id"])
+    pairs = pairs.join(played.select("clip_id", "played_no", F.col("note_id").alias("played_id")), ["clip_id", "played_id"])
+    return matching.settled_chords(page.drop("note_id"), played.drop("note_id"), pairs.select("clip_id", "page_no", "played_no"))

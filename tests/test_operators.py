@@ -195,3 +195,34 @@ def test_neighbours_are_the_nearest_however_many_share_an_onset(spark):
         near = sorted(range(len(own)), key=lambda j: (abs(own[j][2] - r[2]), j))[:8]
         pitches = sorted(own[j][3] for j in near)
         assert (got[i]["low"], got[i]["high"], got[i]["middle"], got[i]["n"]) == (pitches[0], pitches[-1], (pitches[3] + pitches[4]) / 2, 8)
+
+
+def test_chords_are_settled_as_by_hand(spark):
+    rng = random.Random(8)
+    page, played, pairs, want = [], [], [], []
+    for clip in range(40):
+        own = sorted((rng.randint(0, 3) * 1.0, rng.randint(60, 63)) for _ in range(8))
+        heard = [rng.randint(60, 63) for _ in range(9)]
+        page += [(clip, k, p, b) for k, (b, p) in enumerate(own)]
+        played += [(clip, k, p) for k, p in enumerate(heard)]
+        at, mine = -1, {}
+        for k, (_, p) in enumerate(own):  # some increasing pairs
+            there = next((j for j in range(at + 1, 9) if heard[j] == p), None)
+            if there is not None and rng.random() < 0.6:
+                mine[k] = at = there
+        pairs += [(clip, k, j) for k, j in mine.items()]
+        used = set(mine.values())
+        for k, (b, p) in enumerate(own):
+            mates = [i for i, (c, _) in enumerate(own) if c == b]
+            places = [mine[i] for i in mates if i in mine]
+            if k in mine or len(mates) < 2 or not places:
+                continue
+            near = [j for j in range(9) if j not in used and heard[j] == p and min(places) - len(mates) <= j <= max(places) + len(mates)]
+            if near:
+                used.add(near[0])
+                want.append((clip, k, near[0]))
+    made = [
+        spark.createDataFrame(page, "clip_id long, page_no long, pitch long, beat double"), spark.createDataFrame(played, "clip_id long, played_no long, pitch long"),
+        spark.createDataFrame(pairs, "clip_id long, page_no long, played_no long"),
+    ]
+    assert sorted(tuple(r) for r in matching.settled_chords(*made).collect()) == sorted(want) and len(want) > 10
