@@ -223,6 +223,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     Pairs are grouped by their first text, which is sent once per group of ``FAN`` pairs, and stream by it.
     """
     spark = pairs.sparkSession
+    pairs = persist_table(pairs, "candidates")
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     # a text with few partners is sent once; one with many is sent to up to 64 parts
     many = pairs.groupBy("a").agg(F.count("*").alias("k"))
@@ -231,11 +232,11 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     dealt = persist_table(dealt.select("a", "b", "part"), "pairs")
     heads = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
     wanted = heads.unionAll(dealt.select(F.col("b").alias("id"), "a", "part", "b"))
-    counts = persist_table(wanted.groupBy("id").agg(F.count("*").alias("n")).join(classes.select("id", "key", "th").hint("merge"), "id"), "wanted")
+    wanted = persist_table(wanted.join(classes.select("id", "key", "th").hint("merge"), "id").drop("id"), "wanted")
+    counts = persist_table(wanted.groupBy("key", "th").agg(F.count("*").alias("n")), "wanted-texts")
     near = marked(texts, ["key", "th"], counts, ["key", "th"]).where("_maybe").drop("_maybe")
-    named = counts.join(near.hint("merge"), ["key", "th"]).select("id", "text")
     # a text that many pairs hold is sent to several tasks
-    rows = salted_join(wanted, named, ["id"], ["a", "b"], counts.select("id", "n")).select("a", "part", "b", "text")
+    rows = salted_join(wanted, near, ["key", "th"], ["a", "b"], counts).select("a", "part", "b", "text")
     ordered = rows.repartition(2 * partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +296,10 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
     links = persist_table(tested(filtered(_hub_pairs(top.select("key", "t.*"), percent))), "links")
     left = opened(links, entries)
     links = persist_table(tested(filtered(_hub_pairs(left, percent))).unionAll(links), "links")
-    left = persist_table(opened(links, left).join(parities.drop("n"), "key"), "prefixes")
+    last = opened(links, left)
+    left = last.join(parities.drop("n"), "key")
     side = lambda name: left.select("gram", F.struct("key", "n", "pos", "comp", "parity").alias(name))
-    lists = left.groupBy("gram").agg(F.count("*").alias("n"))
+    lists = last.groupBy("gram").agg(F.count("*").alias("n"))
     close = near_enough("x", "y", percent) & few_apart("x", "y", percent)
     across = (
         salted_join(side("x"), side("y"), ["gram"], ["x.key"], lists)
