@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.functions.music import LOWEST, MAJOR_SCALE, MINOR_SCALE
+from ostinato.functions.music import LOWEST, MAJOR_SCALE, MINOR_SCALE, nearest_unit
 from ostinato.operators import rhythm
 
 # The letters of the naturals in MAJOR_SCALE, and the degree that each semitone above the tonic is written on.
@@ -70,8 +70,8 @@ def scored(notes: DataFrame, windows: DataFrame, tolerance: float) -> DataFrame:
 
 def by_written_place(notes: DataFrame, written: DataFrame) -> DataFrame:
     """Notes with the written values of their clip that have their pitch and, to a millionth of a second, their onset."""
-    named = written.withColumn("_at", F.round("onset", 6)).drop("onset")
-    return notes.withColumn("_at", F.round("onset", 6)).join(named, ["clip_id", "pitch", "_at"]).drop("_at")
+    named = written.withColumn("_at", nearest_unit(F.col("onset"), 6)).drop("onset")
+    return notes.withColumn("_at", nearest_unit(F.col("onset"), 6)).join(named, ["clip_id", "pitch", "_at"]).drop("_at")
 
 
 def opening_phase(notes: DataFrame, beat: float, phase: float) -> DataFrame:

@@ -54,3 +54,10 @@ def test_errors_count_every_competing_candidate(spark, tmp_path):
     got = rows_of(registry.queries()["clip_errors"](spark, folder))
     assert got == rows_of_sql(con, registry.oracle_sql()["clip_errors"])
     assert got[1][0][got[0].index("matched")] > 4
+
+
+def test_written_values_meet_where_onsets_are_halves_of_a_millionth(spark, tmp_path):
+    # a millionth of a second is 36 ms of event time: onsets at its halves, and those that the written value's offset puts there
+    at = [36_000 * (9_973 * k + 11) + part for k in range(400) for part in (18_000, 14_400)]
+    folder, con = with_events(tmp_path, [(2 * k, t, k, 30.0) for k, t in enumerate(at)])
+    assert rows_of(registry.queries()["written_lookup"](spark, folder)) == rows_of_sql(con, registry.oracle_sql()["written_lookup"])
