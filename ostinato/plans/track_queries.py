@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.operators import tracks as t
+from ostinato.operators.joins import merged
 from ostinato.plans.catalog import query
 from ostinato.runtime import persist_table
 from ostinato.sources import tiles as src
@@ -137,7 +138,7 @@ def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     phase = F.col("frame") % 60
     shown = F.when(phase.between(20, 26), F.col("frame") - phase + 20).otherwise(F.col("frame"))
     frames = rows.select("clip_id", "frame").distinct().select("clip_id", F.col("frame").alias("at"), shown.alias("frame"))
-    return frames.join(rows.drop("time"), ["clip_id", "frame"]).select("clip_id", F.col("at").alias("frame"), (F.col("at") / src.FPS).alias("time"), "pitch", "hand", "top", "bottom", "note_id")
+    return merged(frames, rows.drop("time"), ["clip_id", "frame"]).select("clip_id", F.col("at").alias("frame"), (F.col("at") / src.FPS).alias("time"), "pitch", "hand", "top", "bottom", "note_id")
 
 
 @query(_FROZEN + " SELECT * FROM stops")
