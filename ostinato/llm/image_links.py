@@ -20,6 +20,7 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from ostinato.runtime import partitions, persist_table
 SCALES = (1.0, 0.75, 0.5)
 CELL, PATCH, BITS, TABLES = 12, 8, 256, 8
 MAX_BITS, MIN_TIES, MIN_INLIERS, MIN_SHARE, ORDERS = 48, 4, 7, 0.3, 2
-#: Images in a block, about; candidates are verified by pairs of blocks.
-BLOCK = 20_000
+#: Images in two blocks, about, and blocks at least; candidates are verified by pairs of blocks, in either order.
+BLOCK, LEAST_BLOCKS = 20_000, 4
 _TESTS = np.random.default_rng(7).normal(0, PATCH / 2.5, (BITS, 4)).clip(-PATCH, PATCH)
 
 
@@ -115,25 +116,31 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(bits)
 
 
-def consensus(places: np.ndarray, bits: np.ndarray, places2: np.ndarray, bits2: np.ndarray) -> int:
-    """Most matches that one similarity transform explains; each match proposes one from its scales and angles."""
+def bits_apart(bits: np.ndarray, bits2: np.ndarray) -> np.ndarray:
+    """Hamming distances of all descriptors of two images, by one product of matrices; whole numbers this small are exact."""
+    a, b = (np.unpackbits(x, axis=1).astype(np.float32) for x in (bits, bits2))
+    return a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
+
+
+def consensus(places: np.ndarray, bits: np.ndarray, places2: np.ndarray, bits2: np.ndarray, least: float = MIN_INLIERS) -> int:
+    """Most matches that one similarity transform explains; each match proposes one from its scales and angles. 0 as soon as fewer than
+    ``least`` are sure."""
     if not len(bits) or not len(bits2):
         return 0
-    apart = np.bitwise_count(bits[:, None, :] ^ bits2[None, :, :]).sum(axis=2)
+    apart = bits_apart(bits, bits2)
     near = apart.argmin(axis=1)
     good = np.flatnonzero(apart[np.arange(len(bits)), near] <= MAX_BITS)
-    if len(good) < MIN_INLIERS:
+    if len(good) < least:
         return 0
     a, b = places[good], places2[near[good]]
-    turn, grow = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
-    cos, sin = np.cos(turn) * grow, np.sin(turn) * grow
-    y, x = a[:, 0], a[:, 1]
-    # row k: all places under the transform that match k proposes
-    ty = cos[:, None] * (y[None] - y[:, None]) + sin[:, None] * (x[None] - x[:, None]) + b[:, 0, None]
-    tx = cos[:, None] * (x[None] - x[:, None]) - sin[:, None] * (y[None] - y[:, None]) + b[:, 1, None]
-    inside = np.hypot(ty - b[None, :, 0], tx - b[None, :, 1]) <= 4.0
     # several scales find one corner: places count once per pixel
     spot = (np.rint(a[:, 0] / 3) * 100_003 + np.rint(a[:, 1] / 3)).astype(np.int64)
+    if len(set(spot.tolist())) < least:
+        return 0
+    turn, grow = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
+    # places as complex numbers y + x i; row k: all places under the transform that match k proposes, less where they were matched
+    p, q, by = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1], grow * np.exp(-1j * turn)
+    inside = np.abs(by[:, None] * p[None] + (q - by * p)[:, None] - q[None]) <= 4.0
     best = inside[inside.sum(axis=1).argmax()]
     return len(np.unique(spot[best]))
 
@@ -227,9 +234,9 @@ def image_groups(images: DataFrame, key: str) -> DataFrame:
         pairs = pairs.unionAll(more)
     pairs = persist_table(pairs.distinct(), "image-pairs")
     # an image's descriptors go once to each pair of blocks that has a candidate of it, not to each candidate
-    blocks = -(-features.count() // BLOCK) or 1
+    blocks = max(LEAST_BLOCKS, -(-2 * features.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.withColumn("cell", block("a") * blocks + block("b"))
+    dealt = pairs.withColumn("cell", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
     asked = dealt.select("cell", F.col("a").alias("key")).unionAll(dealt.select("cell", F.col("b").alias("key"))).distinct()
     sent = asked.join(features, "key").select("cell", "key", "places", "bits")
 
@@ -237,6 +244,7 @@ def image_groups(images: DataFrame, key: str) -> DataFrame:
         places, bits = held.column("places"), held.column("bits")
         at = {k: row for row, k in enumerate(held.column("key").to_pylist())}
 
+        @cache
         def arrays(k: int) -> tuple[np.ndarray, np.ndarray]:
             p, b = places[at[k]].as_py(), bits[at[k]].as_py()
             return np.frombuffer(p, "<f4").reshape(-1, 4).astype(float), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)
@@ -244,7 +252,8 @@ def image_groups(images: DataFrame, key: str) -> DataFrame:
         good = []
         for row, (a, b) in enumerate(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)):
             left, right = arrays(a), arrays(b)
-            if consensus(*left, *right) >= max(MIN_INLIERS, MIN_SHARE * min(len(left[1]), len(right[1]))):
+            least = max(MIN_INLIERS, MIN_SHARE * min(len(left[1]), len(right[1])))
+            if consensus(*left, *right, least) >= least:
                 good.append(row)
         return own.select(["a", "b"]).take(pa.array(good, pa.int64()))
 

@@ -350,3 +350,12 @@ def test_pipeline_stages_agree_with_brute_force_on_odd_rows(spark, data):
     assert packed.where("piece = 0").count() == first.count()
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.where("false"), data).count() == 0
+
+
+def test_candidates_are_verified_in_many_even_cells(spark):
+    """A cell of a pair of blocks is one task, so small tables have several, too; distances by matrices are those of the bits."""
+    assert image_links.LEAST_BLOCKS * (image_links.LEAST_BLOCKS + 1) // 2 >= 10
+    rng = np.random.default_rng(3)
+    one, two = (rng.integers(0, 256, (37, 32), np.uint8) for _ in range(2))
+    want = np.bitwise_count(one[:, None, :] ^ two[None, :, :]).sum(axis=2)
+    assert (image_links.bits_apart(one, two) == want).all()
