@@ -7,6 +7,7 @@ picture or one band of rows; Spark deals pictures out, and statistics over pictu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,10 +38,14 @@ def key_spans(width: int = WIDTH) -> dict[int, tuple[int, int]]:
     return out
 
 
+@cache
+def _blank(width: int) -> np.ndarray:
+    return np.tile(np.array(BACKGROUND, np.uint8), (HEIGHT, width, 1))
+
+
 def drawn(tiles: list[tuple[bool, int, int, int, int, str]], width: int = WIDTH) -> np.ndarray:
     """A picture of tiles (black key, first column, past column, first row, past row, hand), black keys over white ones."""
-    image = np.empty((HEIGHT, width, 3), np.uint8)
-    image[:] = BACKGROUND
+    image = _blank(width).copy()
     for _, a, b, top, bottom, hand in sorted(tiles, key=lambda t: t[0]):
         image[top:bottom, a:b] = COLOURS[hand]
     return image
@@ -74,6 +79,14 @@ def picture(image: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(image, np.uint8).reshape(height, width, 3)
 
 
+def row_runs(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each run of equal rows, and the run that each row is in. What is a row's own is worked out once for each run."""
+    flat = image.reshape(len(image), -1)
+    new = np.ones(len(image), dtype=bool)
+    new[1:] = (flat[1:] != flat[:-1]).any(axis=1)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS, radius: float = 60.0) -> DataFrame:
     """Tiles in pictures: for each key, runs of rows in which most of its columns are near a colour of the palette.
 
@@ -90,23 +103,26 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
                 if w not in boards:
                     boards[w] = _board(w)
                 keys, spans, first, past = boards[w]
-                planes = picture(raw, h, w).astype(np.int32).transpose(2, 0, 1)
-                label, best = np.full((h, w), -1), np.full((h, w), radius * radius)
+                image = picture(raw, h, w)
+                starts, at = row_runs(image)
+                planes = image[starts].astype(np.int32).transpose(2, 0, 1)
+                label, best = np.full((len(starts), w), -1), np.full((len(starts), w), radius * radius)
                 for c, colour in enumerate(colours):
                     apart = sum(np.square(plane - v) for plane, v in zip(planes, colour, strict=True))
                     near = (apart < best) | ((apart == best) & (label < 0))
                     label[near], best[near] = c, apart[near]
+                whole = label[at]
                 for c, name in enumerate(names):
                     lit = label == c
                     if not lit.any():
                         continue
-                    so_far = np.zeros((h, w + 1), dtype=np.int32)
+                    so_far = np.zeros((len(starts), w + 1), dtype=np.int32)
                     np.cumsum(lit, axis=1, out=so_far[:, 1:])
                     on = np.zeros((len(keys), h + 2), dtype=bool)  # a row per key, dark at both ends
-                    on[:, 1:-1] = (2 * (so_far[:, past] - so_far[:, first]) > past - first).T
+                    on[:, 1:-1] = (2 * (so_far[:, past] - so_far[:, first]) > past - first).T[:, at]
                     key, edge = np.nonzero(on[:, 1:] != on[:, :-1])
                     for k, x, y in zip(key[::2].tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        if _own(label, c, x, y, *spans[keys[k]], keys[k]):
+                        if _own(whole, c, x, y, *spans[keys[k]], keys[k]):
                             out.append((clip, frame, time, keys[k], name, float(x), float(y)))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
             columns_ = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
@@ -139,6 +155,13 @@ def _own(label: np.ndarray, colour: int, top: int, bottom: int, a: int, b: int,
     return not (left.mean() > 0.9 or right.mean() > 0.9)
 
 
+def _middle(stack: np.ndarray) -> np.ndarray:
+    """The median of each column of bytes, halves cut off."""
+    low, high = (len(stack) - 1) // 2, len(stack) // 2
+    parted = np.partition(stack, (low, high), axis=0)
+    return ((parted[low].astype(np.uint16) + parted[high]) // 2).astype(np.uint8)
+
+
 def median_picture(frames: DataFrame) -> DataFrame:
     """Per clip the median over time of each pixel's grey, by bands of 32 rows: (clip_id, band, grey)."""
 
@@ -146,14 +169,16 @@ def median_picture(frames: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for clip, _, _, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grey = picture(raw, h, w).mean(axis=2).astype(np.uint8)
+                image = picture(raw, h, w)
+                starts, at = row_runs(image)
+                grey = (image[starts].sum(axis=2, dtype=np.uint16) // 3).astype(np.uint8)[at]
                 out += [(clip, k, grey[k * BAND : (k + 1) * BAND].tobytes()) for k in range(-(-h // BAND))]
             kinds = (pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["clip_id", "band", "grey"])
 
     def middle(own: pd.DataFrame) -> pd.DataFrame:
         stack = np.stack([np.frombuffer(x, np.uint8) for x in own["grey"]])
-        return pd.DataFrame({"clip_id": [own["clip_id"].iloc[0]], "band": [own["band"].iloc[0]], "grey": [np.median(stack, axis=0).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"clip_id": [own["clip_id"].iloc[0]], "band": [own["band"].iloc[0]], "grey": [_middle(stack).tobytes()]})
 
     schema = "clip_id long, band int, grey binary"
     return frames.mapInArrow(cut, schema).groupBy("clip_id", "band").applyInPandas(middle, schema)
@@ -161,6 +186,11 @@ def median_picture(frames: DataFrame) -> DataFrame:
 
 def row_shift(first: np.ndarray, second: np.ndarray) -> float:
     """Rows that the second picture has moved down, by phase correlation of row profiles per column, to a part of a row."""
+    # a column that is the same in all rows has no part in the correlation
+    told = (first != first[:1]).any(axis=0) & (second != second[:1]).any(axis=0)
+    if not told.any():
+        return 0.0
+    first, second = first[:, told], second[:, told]
     a, b = (np.fft.rfft(x - x.mean(axis=0), axis=0, n=2 * len(x)) for x in (first, second))
     cross = (a.conj() * b).sum(axis=1)
     size = np.abs(cross)
@@ -178,7 +208,9 @@ def scroll_speeds(frames: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for clip, frame, time, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lit = picture(raw, h, w).astype(int).sum(axis=2) > 150
+                image = picture(raw, h, w)
+                starts, at = row_runs(image)
+                lit = (image[starts].sum(axis=2, dtype=np.uint16) > 150)[at]
                 out.append((clip, frame, time, h, w, np.packbits(lit).tobytes() if lit.any() else None))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["clip_id", "frame", "time", "height", "width", "mask"])
@@ -187,7 +219,7 @@ def scroll_speeds(frames: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for clip, past, h, w, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.unpackbits(np.frombuffer(x, np.uint8), count=h * w).reshape(h, w).astype(float) for x in (before, after))
+                a, b = (np.unpackbits(np.frombuffer(x, np.uint8), count=h * w).reshape(h, w) for x in (before, after))
                 speed = row_shift(a, b) / past
                 if 1 < speed < 200:
                     out.append((clip, float(speed)))
@@ -233,10 +265,15 @@ def palette(frames: DataFrame, colours: int = 3, seed: int = 5) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.zeros(1 << 15, dtype=np.int64)
+            codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for h, w, raw in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
-                p = picture(raw, h, w).reshape(-1, 3) >> 3
-                total += np.bincount((p[:, 0].astype(int) << 10) | (p[:, 1].astype(int) << 5) | p[:, 2], minlength=1 << 15)
+                image = picture(raw, h, w)
+                starts, at = row_runs(image)
+                p = image[starts].reshape(-1, 3).astype(np.int64) >> 3
+                codes.append((p[:, 0] << 10) | (p[:, 1] << 5) | p[:, 2])
+                counts.append(np.repeat(np.bincount(at), w))
+            # sums of whole numbers, which doubles hold exactly up to 2^53
+            total = np.bincount(np.concatenate(codes), np.concatenate(counts), minlength=1 << 15).astype(np.int64)
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 

@@ -70,3 +70,14 @@ def test_speeds_are_medians_of_all_pairs(spark, data):
         good = np.array([s for s in speeds if 1 < s < 200])
         assert got[clip]["samples"] == len(good) > 0
         assert np.isclose(got[clip]["speed"], np.median(good)) and np.isclose(got[clip]["spread"], np.median(np.abs(good - np.median(good))))
+
+
+def test_runs_of_rows_give_what_all_rows_give():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (6, 9, 3), np.uint8)[[0, 0, 1, 2, 2, 2, 0, 3, 4, 5, 5]]
+    starts, at = v.row_runs(image)
+    assert starts.tolist() == [0, 2, 3, 6, 7, 8, 9] and (image[starts][at] == image).all()
+    for n in (1, 2, 5, 8):
+        stack = rng.integers(0, 256, (n, 40), np.uint8)
+        assert (v._middle(stack) == np.median(stack, axis=0).astype(np.uint8)).all()
+    assert v.row_shift(np.ones((20, 5)), np.ones((20, 5))) == 0.0
