@@ -1,7 +1,9 @@
 import hashlib
 import json
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +117,48 @@ def test_blocks_of_a_large_bucket_count_like_one(spark, monkeypatch):
     assert (got["n_links"] == 149).all() and (got["component_id"] == 0).all()
 
 
+def shuffled_bytes(spark):
+    """Bytes of shuffle files that are on disk now."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*") if f.exists())
+
+
+def test_disk_of_vectors_does_not_grow_with_the_tables(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = pairs_at(rng, 0.97, 1500, 48)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, vector_links.vector_links(vectors, "vec_id", "embedding").collect()))
+    monkeypatch.setattr(vector_links, "TURN", 1, raising=False)  # two tables a turn
+    before = shuffled_bytes(spark)
+    found = vector_links.vector_links(vectors, "vec_id", "embedding")
+    for _ in range(50):  # files go in the background
+        left = shuffled_bytes(spark) - before
+        if left < 1_000_000:
+            break
+        time.sleep(0.2)
+    assert left < 1_000_000  # the vectors have 1.2 MB
+    assert sorted(map(tuple, found.collect())) == whole
+    for tables, volume in ((1, 0), (24, 16e6), (36, 190e6), (52, 5e9)):
+        dealt = vector_links.turns(tables, volume)
+        assert [t for own in dealt for t in own] == list(range(tables))
+        assert max(map(len, dealt)) * volume <= max(vector_links.TURN, 2 * volume)
+
+
+def test_bucket_names_are_those_of_the_vector_alone():
+    rng = np.random.default_rng(13)
+    unit = rng.standard_normal((500, 300))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    whole = vector_links.bucket_keys(unit, 7, 9, 2.0, 1)
+    for own in (range(7), range(2, 5), range(6, 7)):
+        for k in (0, 7, 499):
+            assert (vector_links.bucket_keys(unit[k : k + 1], 7, 9, 2.0, 1, own) == whole[k, own]).all()
+    mixed = rng.permutation(300)
+    planes, _ = vector_links.directions(300, 7, 9, 1)
+    units = np.rint(unit * 2**22) / 2**22
+    assert (units @ planes == np.ascontiguousarray(units[:, mixed]) @ np.ascontiguousarray(planes[mixed])).all()
+
+
 # --- shards
 
 
