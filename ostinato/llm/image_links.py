@@ -1,26 +1,25 @@
-"""Copies among images by local descriptors: corners at several scales, binary tests, Hamming tables, geometric consensus.
+"""Copies among images by local descriptors: corners at several scales, binary tests, geometric consensus of all pairs.
 
 Images are 8-bit grey planes (``height``, ``width``, ``pixels``). Per image: corners of the structure tensor on a pyramid of
 scales, the strongest of each cell of a grid so that a crop keeps some; the patch around each is turned by the angle of its
-intensity centroid and compared in 256 fixed pairs of points, which gives 256 bits. Two images are candidates if
-descriptors of both fall together in a table: each table is one of the ``TABLES`` disjoint slices of the bits, so two descriptors that differ
-in fewer than TABLES bits always meet in one. A descriptor that many images hold counts once per image and ties each to the first
-image that holds it and to its neighbour in the list, which is linear in the list. That is done in ``ORDERS`` orders of the images, by key and
-by hashes of it: an image that stands between two copies in one order seldom does in the next, and one order holds for all tables, so
-what a group's images share goes to the same few first ones. Candidates are kept from ``MIN_TIES`` descriptors in one order on. A
-candidate pair is verified on all descriptors of both: matches are the nearest within a Hamming bound, and a similarity transform (turn,
-scale, shift) must explain at least ``MIN_INLIERS`` of them and ``MIN_SHARE`` of the descriptors of the image that has fewer. Links give components; images of one component whose links were not
-drawn pair by pair still meet through their first one.
+intensity centroid and compared in 256 fixed pairs of points, which gives 256 bits. A pair of images is compared on all descriptors of
+both: each descriptor of one is matched with its nearest in the other within a Hamming bound, and a similarity transform (turn, scale,
+shift) must explain at least ``MIN_INLIERS`` of the matches and ``MIN_SHARE`` of the descriptors of the image that has fewer. That must
+hold whichever of the two is matched with the other: a link doesn't depend on the order of keys.
+
+Every pair of images is compared, there is no table or tie in front, so the work is the square of the number of different images. Images
+with the same descriptors are one class and are compared once. Classes are dealt to chunks of about ``CHUNK``; a turn sends one chunk to all tasks,
+which compare it with their own classes of this chunk and later ones; nothing is shuffled. In a task distances are products of
+matrices, and an upper bound on what a transform can explain, worked out for a block of images at once, leaves few pairs to the transform itself.
 
 Defined results: an image without pixels, or one whose pixels don't fit its size, has no descriptors and is its own group;
-rows of one key are one image; null keys link with nothing; extra columns are ignored; an empty table gives an empty
-result.
+rows of one key are one image (that of the smallest digest of descriptors, where they differ); null keys link with nothing; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.components import connected_components
+from ostinato.llm.spread import salted_join
 from ostinato.runtime import partitions, persist_table
 
 SCALES = (1.0, 0.75, 0.5)
-CELL, PATCH, BITS, TABLES = 12, 8, 256, 8
-MAX_BITS, MIN_TIES, MIN_INLIERS, MIN_SHARE, ORDERS = 48, 4, 7, 0.3, 2
-#: Images in two blocks, about, and blocks at least; candidates are verified by pairs of blocks, in either order.
-BLOCK, LEAST_BLOCKS = 20_000, 4
+CELL, PATCH, BITS = 12, 8, 256
+MAX_BITS, MIN_INLIERS, MIN_SHARE, REACH = 48, 7, 0.3, 4.0
+#: Classes that a turn sends to all tasks, about, and turns at least; descriptors of a block of them, and numbers that a step of the bound holds.
+CHUNK, LEAST_BLOCKS, BLOCK, STEP = 4096, 4, 8192, 1 << 19
 _TESTS = np.random.default_rng(7).normal(0, PATCH / 2.5, (BITS, 4)).clip(-PATCH, PATCH)
 
 
@@ -123,8 +123,15 @@ def bits_apart(bits: np.ndarray, bits2: np.ndarray) -> np.ndarray:
 
 
 def consensus(places: np.ndarray, bits: np.ndarray, places2: np.ndarray, bits2: np.ndarray, least: float = MIN_INLIERS) -> int:
-    """Most matches that one similarity transform explains; each match proposes one from its scales and angles. 0 as soon as fewer than
-    ``least`` are sure."""
+    """Most matches that one similarity transform explains, whichever image is matched with the other; 0 as soon as fewer than ``least``
+    are sure. Matches of one way alone may send many descriptors to few."""
+    there = explained(places, bits, places2, bits2, least)
+    return min(there, explained(places2, bits2, places, bits, least)) if there >= least else 0
+
+
+def explained(places: np.ndarray, bits: np.ndarray, places2: np.ndarray, bits2: np.ndarray, least: float) -> int:
+    """Most matches of the first image's descriptors that one similarity transform explains; each match proposes one from its scales and
+    angles. 0 as soon as fewer than ``least`` are sure."""
     if not len(bits) or not len(bits2):
         return 0
     apart = bits_apart(bits, bits2)
@@ -140,7 +147,7 @@ def consensus(places: np.ndarray, bits: np.ndarray, places2: np.ndarray, bits2:
     turn, grow = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
     # places as complex numbers y + x i; row k: all places under the transform that match k proposes, less where they were matched
     p, q, by = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1], grow * np.exp(-1j * turn)
-    inside = np.abs(by[:, None] * p[None] + (q - by * p)[:, None] - q[None]) <= 4.0
+    inside = np.abs(by[:, None] * p[None] + (q - by * p)[:, None] - q[None]) <= REACH
     best = inside[inside.sum(axis=1).argmax()]
     return len(np.unique(spot[best]))
 
@@ -168,103 +175,185 @@ def image_features(images: DataFrame, key: str) -> DataFrame:
     return chosen.mapInArrow(run, _FEATURES)
 
 
-def _table_entries(features: DataFrame) -> DataFrame:
-    """(bucket, key): an image once per value of a table's slice of the bits; the bucket names table and value together."""
-    step = BITS // 8 // TABLES
+def least_inliers(n: int, m: int) -> float:
+    return max(MIN_INLIERS, MIN_SHARE * min(n, m))
+
+
+def linked(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two images (places, bits) are copies."""
+    least = least_inliers(len(one[1]), len(two[1]))
+    return consensus(*one, *two, least) >= least
+
+
+def _arrays(places: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
+
+
+def _signs(bits: np.ndarray) -> np.ndarray:
+    """Bits as 1 and -1: products of two descriptors are BITS less twice their distance, exactly."""
+    return np.unpackbits(bits, axis=-1).astype(np.float32) * 2 - 1
+
+
+class _Block:
+    """Images whose descriptors are padded to one number, which matches nothing."""
+
+    def __init__(self, images: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.sizes = np.array([len(bits) for _, bits in images])
+        n, self.width = len(images), int(self.sizes.max())
+        signs = np.zeros((n, self.width, BITS), np.float32)
+        self.spot = np.zeros((n, self.width), complex)
+        self.frame = np.zeros((n, self.width), complex)
+        for k, (places, bits) in enumerate(images):
+            signs[k, : len(bits)] = _signs(bits)
+            self.spot[k, : len(bits)] = places[:, 0] + 1j * places[:, 1]
+            self.frame[k, : len(bits)] = np.exp(-1j * places[:, 3]) / places[:, 2]
+        self.signs = signs.reshape(-1, BITS).T
+        self.reach = np.abs(self.spot).max()
+
+    def matches(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row of ``signs`` and image: the nearest descriptor, the first of equal ones, and whether it is near enough."""
+        near = (signs @ self.signs).reshape(len(signs), -1, self.width)
+        at = near.argmax(axis=2)
+        return at, np.take_along_axis(near, at[:, :, None], 2)[:, :, 0] >= BITS - 2 * MAX_BITS
+
+    def may_link(self, places: np.ndarray, at: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Images of this block that one image may link with: with all others ``explained`` is below what is asked.
+
+        Counts what each match's transform explains, places counted as often as they are found: never fewer than ``explained`` returns. Squared
+        distances of all matches under all transforms are one product of matrices per pair of images; they have room for rounding.
+        """
+        n = len(places)
+        least = np.maximum(MIN_INLIERS, MIN_SHARE * np.minimum(n, self.sizes))
+        maybe = np.flatnonzero(good.sum(axis=0) >= least)
+        if n * n > STEP:
+            return maybe
+        p = places[:, 0] + 1j * places[:, 1]
+        turn = places[:, 2] * np.exp(1j * places[:, 3])
+        # the largest number that is squared below is a place under a transform that grows it
+        most = (np.abs(p).max() * np.abs(turn).max() * np.abs(self.frame).max() + self.reach + 1) * 3
+        room = REACH * REACH + 1e-3 + 1e-13 * most * most
+        out = []
+        for low in range(0, len(maybe), max(1, STEP // (n * n))):
+            own = maybe[low : low + max(1, STEP // (n * n))]
+            place, far = at[:, own].T, np.where(good[:, own].T, 0.0, 1e30)
+            q, by = self.spot[own[:, None], place], turn * self.frame[own[:, None], place]
+            c = q - by * p
+            u, pq = by * c.conj(), p * q.conj()
+            # |by p + c - q|^2, a column for each transform (by, c), a row for each match (p, q)
+            row = np.empty((len(own), n, 9))
+            column = np.empty((len(own), 9, n))
+            square = lambda z: z.real**2 + z.imag**2
+            for k, (x, y) in enumerate(
+                (
+                    (square(p), square(by)), (1.0, square(c) + far), (square(q) + far, 1.0), (p.real, 2 * u.real), (p.imag, -2 * u.imag),
+                    (pq.real, -2 * by.real), (pq.imag, 2 * by.imag), (q.real, -2 * c.real), (q.imag, -2 * c.imag),
+                )
+            ):
+                row[:, :, k], column[:, k] = x, y
+            explained = (row @ column <= room).sum(axis=1, dtype=np.int32).max(axis=1)
+            out.append(own[explained >= least[own]])
+        return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def _compared(classes: DataFrame, chunk: int) -> DataFrame:
+    """(a, b): linked classes, one of them of this chunk and the other of it or a later one."""
+    spark = classes.sparkSession
+    rows = sorted(classes.where(F.col("chunk") == chunk).select("key", "places", "bits").collect(), key=lambda r: (len(r["bits"]), r["key"]))
+    sent = spark.sparkContext.broadcast([(r["key"], bytes(r["places"]), bytes(r["bits"])) for r in rows])
+
+    def blocks() -> Iterator[tuple[list[int], list[tuple], _Block]]:
+        low = 0
+        while low < len(sent.value):
+            high = low + 1
+            # sorted by size, so the last one is the widest
+            while high < len(sent.value) and (high + 1 - low) * len(sent.value[high][2]) * 8 <= BLOCK * BITS:
+                high += 1
+            images = [_arrays(p, b) for _, p, b in sent.value[low:high]]
+            yield [k for k, _, _ in sent.value[low:high]], images, _Block(images)
+            low = high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                keys, buckets = [], []
-                part = batch.slice(low, 1024)
-                for own, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    bits = np.frombuffer(raw, np.uint8).reshape(-1, TABLES, step)
-                    value = np.ascontiguousarray(bits).view(f"<u{step}").reshape(-1, TABLES).astype(np.int64)
-                    named = np.unique(value * TABLES + np.arange(TABLES))
-                    keys.append(np.full(len(named), own, dtype=np.int64))
-                    buckets.append(named)
-                none = [np.zeros(0, np.int64)]
-                yield pa.record_batch([pa.array(np.concatenate(none + buckets)), pa.array(np.concatenate(none + keys))], names=["bucket", "key"])
-
-    return features.select("key", "bits").mapInArrow(run, "bucket long, key long")
-
-
-def _ties(entries: DataFrame, order: int) -> DataFrame:
-    """(a, b) with a < b: each key of a bucket with the bucket's first key and with the one before it, in one order of the keys; linear
-    in the entries.
-
-    One streaming pass over sorted partitions that holds two keys.
-    """
-    placed = entries.withColumn("at", F.xxhash64("key", F.lit(order)) if order else F.col("key"))
-    ordered = placed.repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket", "at", "key").select("bucket", "key")
+            for low in range(0, batch.num_rows, 128):
+                keys, chunks, places, bits = (c.to_pylist() for c in batch.slice(low, 128).columns)
+                own = [_arrays(p, b) for p, b in zip(places, bits, strict=True)]
+                found: list[tuple[int, int]] = []
+                for others, images, block in blocks():
+                    later = np.array(others)
+                    for first in range(0, len(own), 8):
+                        few = own[first : first + 8]
+                        nearest, near = block.matches(_signs(np.concatenate([bits for _, bits in few])))
+                        ends = np.cumsum([len(bits) for _, bits in few])[:-1]
+                        for k, part, one, at, good in zip(
+                            keys[first:], chunks[first:], few, np.split(nearest, ends), np.split(near, ends), strict=False
+                        ):
+                            if part == chunk:  # pairs inside the chunk are met from both sides
+                                good &= later > k
+                            found += [(k, others[x]) for x in block.may_link(one[0], at, good).tolist() if linked(one, images[x])]
+                yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    links = persist_table(classes.where(F.col("chunk") >= chunk).select("key", "chunk", "places", "bits").mapInArrow(run, "a long, b long"), "image-links")
+    sent.destroy()
+    return links
+
+
+def image_links(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): all pairs of linked classes (key, places, bits), each once; n: their number."""
+    spark = classes.sparkSession
+    chunks = max(LEAST_BLOCKS, -(-n // CHUNK))
+    # tasks of equal work: chunks and partitions are dealt by hashes of their own
+    dealt = classes.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
+    parts = max(3 * partitions(spark), -(-n // 512))
+    dealt = persist_table(dealt.repartition(parts, F.xxhash64("key", F.lit(1))), "image-chunks")
+    links = _compared(dealt, 0)
+    for chunk in range(1, chunks):
+        links = links.unionAll(_compared(dealt, chunk))
+    return links
+
+
+def _self_linked(classes: DataFrame) -> DataFrame:
+    """(cls, alike): whether images of exactly these descriptors are copies of each other; few descriptors aren't enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # bucket, key and first key of the row before
         for batch in batches:
-            bucket, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(bucket):
-                continue
-            new = np.ones(len(bucket), dtype=bool)
-            new[1:] = bucket[1:] != bucket[:-1]
-            goes_on = last is not None and last[0] == bucket[0]
-            new[0] = not goes_on
-            start = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), -1))
-            first = np.where(start >= 0, key[np.maximum(start, 0)], last[2] if goes_on else 0)
-            before = np.concatenate([[last[1] if goes_on else 0], key[:-1]])
-            tied = ~new & (first != key)
-            twice = tied & (before != first) & (before != key)
-            last = (bucket[-1], key[-1], first[-1])
-            a, b = np.concatenate([first[tied], before[twice]]), np.concatenate([key[tied], key[twice]])
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long")
+            keys, places, bits = (c.to_pylist() for c in batch.columns)
+            alike = [linked(one, one) for one in map(_arrays, places, bits)]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(alike, pa.bool_())], names=["cls", "alike"])
+
+    return classes.where("size > 1").select("key", "places", "bits").mapInArrow(run, "cls long, alike boolean")
 
 
 def image_groups(images: DataFrame, key: str) -> DataFrame:
-    """Per image: key, n_descriptors, n_links and component_id (the smallest key reachable by verified links)."""
-    spark = images.sparkSession
-    every = persist_table(image_features(images, key), "image-features")
+    """Per image: key, n_descriptors, n_links (all linked images) and component_id (the smallest key reachable by links)."""
+    digest = F.sha2(F.concat("places", "bits"), 256)
+    every = persist_table(image_features(images, key).withColumn("digest", digest), "image-features")
     features = every.where("key is not null and bits is not null")
-    tied = []
-    for order in range(ORDERS):
-        counted = _ties(_table_entries(features), order).groupBy("a", "b").agg(F.count("*").alias("n"))
-        tied.append(persist_table(counted.where(F.col("n") >= MIN_TIES).select("a", "b"), "image-pairs"))
-    pairs = tied[0]
-    for more in tied[1:]:
-        pairs = pairs.unionAll(more)
-    pairs = persist_table(pairs.distinct(), "image-pairs")
-    # an image's descriptors go once to each pair of blocks that has a candidate of it, not to each candidate
-    blocks = max(LEAST_BLOCKS, -(-2 * features.count() // BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.withColumn("cell", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
-    asked = dealt.select("cell", F.col("a").alias("key")).unionAll(dealt.select("cell", F.col("b").alias("key"))).distinct()
-    sent = asked.join(features, "key").select("cell", "key", "places", "bits")
-
-    def verify(held: pa.Table, own: pa.Table) -> pa.Table:
-        places, bits = held.column("places"), held.column("bits")
-        at = {k: row for row, k in enumerate(held.column("key").to_pylist())}
-
-        @cache
-        def arrays(k: int) -> tuple[np.ndarray, np.ndarray]:
-            p, b = places[at[k]].as_py(), bits[at[k]].as_py()
-            return np.frombuffer(p, "<f4").reshape(-1, 4).astype(float), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)
-
-        good = []
-        for row, (a, b) in enumerate(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)):
-            left, right = arrays(a), arrays(b)
-            least = max(MIN_INLIERS, MIN_SHARE * min(len(left[1]), len(right[1])))
-            if consensus(*left, *right, least) >= least:
-                good.append(row)
-        return own.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    found = sent.groupBy("cell").cogroup(dealt.select(F.col("cell").alias("own_cell"), "a", "b").groupBy("own_cell")).applyInArrow(verify, "a long, b long")
-    links = persist_table(found.distinct(), "image-links")
-    component = connected_components(links, "a", "b")
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    # rows of one key are one image
+    members = persist_table(features.groupBy("key").agg(F.min("digest").alias("digest")), "image-members")
+    sizes = members.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("size"))
+    held = features.join(sizes.hint("merge"), ["digest", "key"]).dropDuplicates(["key"])
+    classes = persist_table(held.select("digest", "key", "size", "places", "bits"), "image-classes")
+    links = persist_table(image_links(classes, classes.count()), "image-links")
+    size = classes.select("key", "size")
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.join(size.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("others"))
+    component = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
+    of_class = classes.select("digest", F.col("key").alias("cls"), "size")
+    of_class = of_class.join(component, "cls", "left").join(degree, "cls", "left").join(_self_linked(classes), "cls", "left")
+    copies = F.when(F.col("alike"), F.col("size") - 1).otherwise(0)
+    told = of_class.select(
+        "digest",
+        "size",
+        (F.coalesce("others", F.lit(0)) + copies).alias("n_links"),
+        # copies that are too small to be told to be copies are groups of their own
+        F.coalesce("component", F.when(F.col("alike"), F.col("cls"))).alias("component"),
+    )
+    told = persist_table(told, "image-classes")
+    # one image may be that of a third of all rows
+    counts = told.select("digest", F.col("size").alias("n"))
+    named = salted_join(members, told.drop("size"), ["digest"], ["key"], counts).drop("digest")
     found = every.select("key", (F.length("bits") / (BITS // 8)).cast("int").alias("n_descriptors"))
-    told = found.join(component.withColumnRenamed("node", "key"), "key", "left").join(degree.withColumnRenamed("node", "key"), "key", "left")
-    return told.select(
+    return found.join(named, "key", "left").select(
         F.col("key").alias(key),
         F.coalesce("n_descriptors", F.lit(0)).alias("n_descriptors"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

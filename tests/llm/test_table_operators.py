@@ -334,6 +334,37 @@ def test_a_crowd_of_differing_edits_is_one_group(spark):
     assert sum(got[k] == k // 100 * 100 for k in got) >= 0.95 * len(got)
 
 
+def test_every_pair_of_images_is_compared(spark):
+    """Links and groups against all pairs: chance likenesses that share few descriptors, exact copies, and a pair that stands apart in
+    every list; keys in another order give the same links."""
+    rng = np.random.default_rng(29)
+    drawn = [image_links.draw(rng.standard_normal(8), 72) for _ in range(70)]
+    for base in list(drawn[:30]):  # noise leaves few equal slices of bits
+        cut = rng.integers(0, 22, 2)
+        drawn.append((base[cut[0] :, : 72 - cut[1]].astype(float) + rng.normal(0, rng.uniform(3, 9), (72 - cut[0], 72 - cut[1]))).clip(0, 255).round().astype(np.uint8))
+    drawn += [drawn[3]] * 5 + [drawn[40]] * 2
+    told = [image_links.describe(x.astype(float)) for x in drawn]
+    told = [(p.astype("<f4").astype(float), b) for p, b in told]
+
+    def link(one, two):
+        least = max(image_links.MIN_INLIERS, image_links.MIN_SHARE * min(len(one[1]), len(two[1])))
+        ways = [image_links.consensus(*one, *two) >= least, image_links.consensus(*two, *one) >= least]
+        assert ways[0] == ways[1]
+        return ways[0]
+
+    pairs = [(i, j) for i in range(len(drawn)) for j in range(i) if link(told[i], told[j])]
+    assert len(pairs) > 40
+    for keys in (list(range(len(drawn))), rng.permutation(10 * len(drawn))[: len(drawn)].tolist()):
+        first = dict(zip(keys, keys, strict=True))
+        for _ in keys:
+            for i, j in pairs:
+                first[keys[i]] = first[keys[j]] = min(first[keys[i]], first[keys[j]])
+        rows = [(k, *x.shape, x.tobytes()) for k, x in zip(keys, drawn, strict=True)]
+        images = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
+        got = {r["id"]: (r["n_links"], r["component_id"]) for r in image_links.image_groups(images, "id").collect()}
+        assert got == {k: (sum(n in pair for pair in pairs), first[k]) for n, k in enumerate(keys)}
+
+
 def test_broken_images_have_no_descriptors(spark):
     rows = [(1, 4, 4, b"\0" * 15), (2, 0, 4, b""), (3, 40, 40, bytes(1600)), (None, 40, 40, bytes(1600)), (4, None, 3, b"x")]
     images = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
