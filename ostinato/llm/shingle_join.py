@@ -36,7 +36,7 @@ from ostinato.llm.components import connected_components
 from ostinato.llm.key_filter import marked
 from ostinato.llm.spread import salted_join
 from ostinato.llm.text_arrays import byte_table, mix, set_hashes, shingle_hashes, slices, span_hashes, words
-from ostinato.runtime import partitions, persist_table
+from ostinato.runtime import discard, partitions, persist_table, short_lived_shuffles
 
 #: Counters for n-gram frequencies (16 MB), and the segments they are summed in. What tells a frequent n-gram from the
 #: chance load of its counter gets clearer as the input grows, as the load's spread grows with its root only.
@@ -262,12 +262,22 @@ FAN = 64
 
 
 def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row: key, n_shingles, component_id and text_hash (xxhash64 of the text: with the key it tells a row)."""
+    """Per row: key, n_shingles, component_id and text_hash (xxhash64 of the text: with the key it tells a row).
+
+    Shuffle files go when their query ends, and tables as soon as the next ones have taken what they hold.
+    """
+    with short_lived_shuffles(docs.sparkSession):
+        return _components(docs, key, text, size, percent)
+
+
+def _components(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     features = persist_table(set_features(docs, key, text, size, percent), "sets")
     one = F.struct("key", "th")
     of_set = features.where("key is not null and n > 0").groupBy("n", "sig1", "sig2")
     class_of = of_set.agg(F.min(one).alias("one"), F.count("*").alias("rows"), F.min_by("prefix", one).alias("prefix"), F.min_by("parity", one).alias("parity"))
     classes = persist_table(class_of.select("n", "sig1", "sig2", "one.*", "rows", "prefix", "parity").withColumn("id", F.monotonically_increasing_id()), "set-classes")
+    rows = persist_table(features.select("key", "th", F.col("n").alias("size"), "sig1", "sig2"), "set-rows")
+    discard(features)
     parities = classes.select(F.col("id").alias("key"), "n", "parity")
     every = classes.select(F.col("id").alias("key"), "n", F.posexplode("prefix").alias("pos", "gram"))
     entries = persist_table(_shared(every).withColumn("comp", F.col("key")), "prefixes")
@@ -283,13 +293,15 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
         return near.select("p.a", "p.b")
 
     def opened(links: DataFrame, last: DataFrame) -> DataFrame:
-        """Entries with their components, of n-grams whose lists still hold several components."""
+        """Entries with their components, of n-grams whose lists still hold several components; ``last`` is read no more."""
         component = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "now"})
         placed = last.join(component, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
         placed = persist_table(placed, "prefixes")
         held = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         still = persist_table(held.where("lo < hi").select("gram", "n"), "open-grams")
-        return persist_table(salted_join(placed, still.select("gram"), ["gram"], ["key"], still), "prefixes")
+        kept = persist_table(salted_join(placed, still.select("gram"), ["gram"], ["key"], still), "prefixes")
+        discard(last, placed, still)
+        return kept
 
     # each text's n-gram of the longest list: a crowd meets at one hub
     top = entries.groupBy("key").agg(F.max_by(F.struct("gram", "n", "pos", "comp"), F.struct("many", "gram")).alias("t"))
@@ -316,7 +328,6 @@ def shingle_components(docs: DataFrame, key: str, text: str, size: int = SIZE, p
     told = classes.select("id", "n", "sig1", "sig2", "key", "rows").join(named, "id", "left")
     told = persist_table(told.select("n", "sig1", "sig2", F.coalesce("first", "key").alias("component_id"), "rows"), "set-components")
     counts = told.select("n", "sig1", "sig2", F.col("rows").alias("_rows")).withColumnRenamed("n", "size")
-    rows = features.select("key", "th", F.col("n").alias("size"), "sig1", "sig2")
     # one set may be that of a third of all rows
     met = salted_join(
         rows, told.drop("rows").withColumnRenamed("n", "size"), ["size", "sig1", "sig2"], ["key", "th"], counts.withColumnRenamed("_rows", "n"), "left"

@@ -27,18 +27,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ostinato.llm.components import connected_components
 from ostinato.llm.spread import salted_join
-from ostinato.runtime import partitions, persist_table
+from ostinato.runtime import partitions, persist_table, short_lived_shuffles
 
 WIDTH, SEED, MISS = 2.0, 20240229, 0.03
 #: Classes of a block, and those compared at once: the matrix of cosines has TILE x TILE numbers.
@@ -175,24 +174,12 @@ def _compare(left: tuple, right: tuple | None, table: int, names, threshold: flo
         link(a, b)
 
 
-@contextmanager
-def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query go when it ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def vector_links(
     vectors: DataFrame, key: str, column: str, threshold: float = 0.9, miss: float = MISS, width: float = WIDTH, seed: int = SEED
 ) -> DataFrame:
     """Per row: key, n_links, component_id and kept. A pair at the threshold is missed with a chance of ``miss``."""
     spark = vectors.sparkSession
-    with _short_lived_shuffles(spark):
+    with short_lived_shuffles(spark):
         of_class = persist_table(classes(vectors, key, column), "vector-classes")
         item = of_class.schema["vec"].dataType.elementType
         seen = of_class.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()

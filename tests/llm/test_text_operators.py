@@ -482,3 +482,28 @@ def test_scores_are_learned_from_training_rows_only(spark):
     nothing = toxic_terms.learn(rows, table.where("false"))
     assert toxic_terms.toxicity(rows, nothing).where("doc_id = 0").count() == 1
     assert toxic_terms.toxicity(rows.where("false"), nothing).count() == 0
+
+
+def test_the_ngram_join_keeps_only_tables_it_still_reads(spark):
+    """Disk is what is needed at once: sets and superseded prefixes are gone before the end, and the result can be read twice."""
+    from pathlib import Path
+
+    from ostinato import runtime
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: 50 + k % 5] + [f"x{k % 3}"])) for k in range(30)] + [(40, "few words"), (41, None)]
+    folder = Path(runtime.shared_folder(spark).removeprefix("file://")) / "ostinato"
+    before = set(folder.glob("*"))
+    got = shingle_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 90)
+    left = [path.name.rsplit("-", 1)[0] for path in set(folder.glob("*")) - before]
+    assert "sets" not in left and left.count("prefixes") <= 1 and "set-classes" in left
+    first = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert first == {r["doc_id"]: r["component_id"] for r in got.collect()}
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in ((k, t.split()) for k, t in rows[:30])}
+    want = {k: k for k in sets} | {40: 40, 41: 41}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert first == want
