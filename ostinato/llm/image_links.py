@@ -9,8 +9,9 @@ hold whichever of the two is matched with the other: a link doesn't depend on th
 
 Every pair of images is compared, there is no table or tie in front, so the work is the square of the number of different images. Images
 with the same descriptors are one class and are compared once. Classes are dealt to chunks of about ``CHUNK``; a turn sends one chunk to all tasks,
-which compare it with their own classes of this chunk and later ones; nothing is shuffled. In a task distances are products of
-matrices, and an upper bound on what a transform can explain, worked out for a block of images at once, leaves few pairs to the transform itself.
+which compare it with their own classes of this chunk and later ones; nothing is shuffled. Of pairs inside the chunk each image takes
+half, so that none is worked on twice. In a task distances are counts of differing bits, 64 at a time, and an upper bound on what a
+transform can explain, worked out for a block of images at once, leaves few pairs to the transform itself.
 
 Defined results: an image without pixels, or one whose pixels don't fit its size, has no descriptors and is its own group;
 rows of one key are one image (that of the smallest digest of descriptors, where they differ); null keys link with nothing; extra columns
@@ -189,32 +190,49 @@ def _arrays(places: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
 
 
-def _signs(bits: np.ndarray) -> np.ndarray:
-    """Bits as 1 and -1: products of two descriptors are BITS less twice their distance, exactly."""
-    return np.unpackbits(bits, axis=-1).astype(np.float32) * 2 - 1
-
-
 class _Block:
     """Images whose descriptors are padded to one number, which matches nothing."""
 
     def __init__(self, images: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.sizes = np.array([len(bits) for _, bits in images])
         n, self.width = len(images), int(self.sizes.max())
-        signs = np.zeros((n, self.width, BITS), np.float32)
+        words = np.zeros((self.width, n, BITS // 8), np.uint8)
         self.spot = np.zeros((n, self.width), complex)
         self.frame = np.zeros((n, self.width), complex)
         for k, (places, bits) in enumerate(images):
-            signs[k, : len(bits)] = _signs(bits)
+            words[: len(bits), k] = bits
             self.spot[k, : len(bits)] = places[:, 0] + 1j * places[:, 1]
             self.frame[k, : len(bits)] = np.exp(-1j * places[:, 3]) / places[:, 2]
-        self.signs = signs.reshape(-1, BITS).T
+        # word by word, all images' first descriptors before their second ones
+        self.words = np.ascontiguousarray(words.reshape(self.width * n, -1).view(np.uint64).T)
+        # a distance and a descriptor's number in one integer; the padding has further distances than there are
+        self.shift = max(6, (self.width - 1).bit_length())
+        number = np.arange(self.width)[:, None] + (BITS << self.shift) * (np.arange(self.width)[:, None] >= self.sizes)
+        self.number = number.astype(np.uint16 if self.shift == 6 else np.uint32)
+        # residuals don't depend on the origin
+        self.spot -= (self.spot.real.max() + 1j * self.spot.imag.max()) / 2
         self.reach = np.abs(self.spot).max()
 
-    def matches(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per row of ``signs`` and image: the nearest descriptor, the first of equal ones, and whether it is near enough."""
-        near = (signs @ self.signs).reshape(len(signs), -1, self.width)
-        at = near.argmax(axis=2)
-        return at, np.take_along_axis(near, at[:, :, None], 2)[:, :, 0] >= BITS - 2 * MAX_BITS
+    def matches(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row of ``bits`` and image: the nearest descriptor, the first of equal ones, and whether it is near enough; if not, any."""
+        words, size = np.ascontiguousarray(bits).view(np.uint64), self.words.shape[1]
+        step = max(1, STEP // size)
+        differ, count, apart = (np.empty((min(step, len(bits)), size), t) for t in (np.uint64, np.uint8, np.uint8))
+        key = np.empty(apart.shape, self.number.dtype)
+        found = np.empty((len(bits), len(self.sizes)), key.dtype)
+        for low in range(0, len(bits), step):
+            own = words[low : low + step]
+            d, c, a, k = (x[: len(own)] for x in (differ, count, apart, key))
+            for w, other in enumerate(self.words):
+                np.bitwise_xor(own[:, w, None], other, out=d)
+                np.bitwise_count(d, out=c if w else a)
+                if w:
+                    # all bits together would be one more than there is room for
+                    np.add(np.minimum(a, 255 - 64, out=a), c, out=a)
+            np.left_shift(a, self.shift, out=k, dtype=k.dtype, casting="unsafe")
+            k = k.reshape(len(own), self.width, -1)
+            found[low : low + step] = np.add(k, self.number, out=k).min(axis=1)
+        return (found & ((1 << self.shift) - 1)).astype(np.int64), found >> self.shift <= MAX_BITS
 
     def may_link(self, places: np.ndarray, at: np.ndarray, good: np.ndarray) -> np.ndarray:
         """Images of this block that one image may link with: with all others ``explained`` is below what is asked.
@@ -228,33 +246,45 @@ class _Block:
         if n * n > STEP:
             return maybe
         p = places[:, 0] + 1j * places[:, 1]
+        p -= (p.real.max() + 1j * p.imag.max()) / 2
         turn = places[:, 2] * np.exp(1j * places[:, 3])
-        # the largest number that is squared below is a place under a transform that grows it
-        most = (np.abs(p).max() * np.abs(turn).max() * np.abs(self.frame).max() + self.reach + 1) * 3
-        room = REACH * REACH + 1e-3 + 1e-13 * most * most
+        # no number that is squared below is larger; what is added up is at most six squares of it, each with some twenty roundings
+        most = np.abs(p).max() * np.abs(turn).max() * np.abs(self.frame).max() + self.reach + 1
+        real, rounded = (np.float32, 2e-5) if most < 300 else (np.float64, 1e-12)
+        room = REACH * REACH + 1e-3 + rounded * most * most
+        p, turn, spot, frame = (x.astype(np.result_type(real, np.complex64)) for x in (p, turn, self.spot, self.frame))
+        square = lambda z: z.real**2 + z.imag**2
         out = []
         for low in range(0, len(maybe), max(1, STEP // (n * n))):
             own = maybe[low : low + max(1, STEP // (n * n))]
-            place, far = at[:, own].T, np.where(good[:, own].T, 0.0, 1e30)
-            q, by = self.spot[own[:, None], place], turn * self.frame[own[:, None], place]
+            place, far = at[:, own].T, np.where(good[:, own].T, real(0), real(1e30))
+            q, by = spot[own[:, None], place], turn * frame[own[:, None], place]
             c = q - by * p
-            u, pq = by * c.conj(), p * q.conj()
+            u, pq = 2 * by * c.conj(), p * q.conj()
+            by2, c2 = -2 * by, -2 * c
             # |by p + c - q|^2, a column for each transform (by, c), a row for each match (p, q)
-            row = np.empty((len(own), n, 9))
-            column = np.empty((len(own), 9, n))
-            square = lambda z: z.real**2 + z.imag**2
+            row = np.empty((len(own), 9, n), real)
+            column = np.empty((len(own), 9, n), real)
             for k, (x, y) in enumerate(
                 (
-                    (square(p), square(by)), (1.0, square(c) + far), (square(q) + far, 1.0), (p.real, 2 * u.real), (p.imag, -2 * u.imag),
-                    (pq.real, -2 * by.real), (pq.imag, 2 * by.imag), (q.real, -2 * c.real), (q.imag, -2 * c.imag),
+                    (square(p), square(by)), (1.0, square(c) + far), (square(q) + far, 1.0), (p.real, u.real), (-p.imag, u.imag),
+                    (pq.real, by2.real), (-pq.imag, by2.imag), (q.real, c2.real), (q.imag, c2.imag),
                 )
             ):
-                row[:, :, k], column[:, k] = x, y
-            explained = (row @ column <= room).sum(axis=1, dtype=np.int32).max(axis=1)
+                row[:, k], column[:, k] = x, y
+            inside = row.transpose(0, 2, 1) @ column <= room
+            explained = inside.sum(axis=1, dtype=np.uint8 if n < 256 else np.int32).max(axis=1)
             out.append(own[explained >= least[own]])
         return np.concatenate([np.zeros(0, np.int64), *out])
 
 
+def _takes(rank: int, n: int, low: int, high: int) -> np.ndarray:
+    """Which of the ranks from ``low`` on, below ``high``, this rank of n compares itself with: half of all, and each pair is one rank's only."""
+    others = np.arange(low, high)
+    ahead = (others - rank) % n
+    return (ahead > 0) & ((2 * ahead < n) | ((2 * ahead == n) & (rank < others)))
+
+
 def _compared(classes: DataFrame, chunk: int) -> DataFrame:
     """(a, b): linked classes, one of them of this chunk and the other of it or a later one."""
     spark = classes.sparkSession
@@ -273,23 +303,22 @@ def _compared(classes: DataFrame, chunk: int) -> DataFrame:
             low = high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {k: at for at, (k, _, _) in enumerate(sent.value)}
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                keys, chunks, places, bits = (c.to_pylist() for c in batch.slice(low, 128).columns)
+            for start in range(0, batch.num_rows, 128):
+                keys, chunks, places, bits = (c.to_pylist() for c in batch.slice(start, 128).columns)
                 own = [_arrays(p, b) for p, b in zip(places, bits, strict=True)]
                 found: list[tuple[int, int]] = []
+                low = 0
                 for others, images, block in blocks():
-                    later = np.array(others)
-                    for first in range(0, len(own), 8):
-                        few = own[first : first + 8]
-                        nearest, near = block.matches(_signs(np.concatenate([bits for _, bits in few])))
-                        ends = np.cumsum([len(bits) for _, bits in few])[:-1]
-                        for k, part, one, at, good in zip(
-                            keys[first:], chunks[first:], few, np.split(nearest, ends), np.split(near, ends), strict=False
-                        ):
-                            if part == chunk:  # pairs inside the chunk are met from both sides
-                                good &= later > k
-                            found += [(k, others[x]) for x in block.may_link(one[0], at, good).tolist() if linked(one, images[x])]
+                    for k, part, one in zip(keys, chunks, own, strict=True):
+                        asked = _takes(rank[k], len(rank), low, low + len(others)) if part == chunk else True
+                        if not np.any(asked):
+                            continue
+                        at, good = block.matches(one[1])
+                        good &= asked
+                        found += [(k, others[x]) for x in block.may_link(one[0], at, good).tolist() if linked(one, images[x])]
+                    low += len(others)
                 yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     links = persist_table(classes.where(F.col("chunk") >= chunk).select("key", "chunk", "places", "bits").mapInArrow(run, "a long, b long"), "image-links")

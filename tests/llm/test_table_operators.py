@@ -365,6 +365,33 @@ def test_every_pair_of_images_is_compared(spark):
         assert got == {k: (sum(n in pair for pair in pairs), first[k]) for n, k in enumerate(keys)}
 
 
+def test_no_pair_of_images_is_worked_on_twice():
+    """Each image of a chunk takes half of the others, whatever the blocks; both of a pair took it before."""
+    for n in (1, 2, 3, 8, 9):
+        taken = [np.concatenate([image_links._takes(rank, n, low, min(low + 3, n)) for low in range(0, n, 3)]) for rank in range(n)]
+        assert (np.add(taken, np.transpose(taken)) == 1 - np.eye(n)).all()
+        assert max(map(sum, taken)) <= n // 2
+
+
+def test_matches_of_a_block_are_those_of_all_distances():
+    """The first nearest descriptor of each image, also with ties, complements (all bits differ) and more descriptors than a byte numbers."""
+    rng = np.random.default_rng(31)
+    for most in (1, 5, 64, 65, 300):
+        images = []
+        for k in range(7):
+            n = most if k == 3 else int(rng.integers(1, most + 1))
+            images.append((rng.normal(0, 20, (n, 4)) ** 2 + 1, rng.integers(0, 256, (n, 32), np.uint8)))
+        own = np.concatenate([bits[:9] for _, bits in images])
+        flips = rng.random((len(own), 256)) < rng.choice([0, 0.05, 0.18, 0.2], (len(own), 1))
+        own = np.concatenate([own ^ np.packbits(flips, axis=1), ~own])
+        images[2][1][:] = images[2][1][0]
+        at, good = image_links._Block(images).matches(own)
+        for k, (_, bits) in enumerate(images):
+            apart = np.bitwise_count(own[:, None] ^ bits[None]).sum(axis=2, dtype=int)
+            assert (good[:, k] == (apart.min(axis=1) <= image_links.MAX_BITS)).all()
+            assert (at[:, k] == apart.argmin(axis=1))[good[:, k]].all()
+
+
 def test_broken_images_have_no_descriptors(spark):
     rows = [(1, 4, 4, b"\0" * 15), (2, 0, 4, b""), (3, 40, 40, bytes(1600)), (None, 40, 40, bytes(1600)), (4, None, 3, b"x")]
     images = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
