@@ -87,6 +87,24 @@ def row_runs(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def labels(rows: np.ndarray, colours: list[tuple[int, int, int]], radius: float) -> np.ndarray:
+    """Which colour each pixel is nearest to, within the radius; -1: none."""
+    planes = rows.astype(np.int32).transpose(2, 0, 1)
+    label, best = np.full(rows.shape[:2], -1), np.full(rows.shape[:2], radius * radius)
+    for c, colour in enumerate(colours):
+        apart = sum(np.square(plane - v) for plane, v in zip(planes, colour, strict=True))
+        near = (apart < best) | ((apart == best) & (label < 0))
+        label[near], best[near] = c, apart[near]
+    return label
+
+
+def lit_keys(lit: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """For each row and key, whether most of the key's own columns are lit."""
+    so_far = np.zeros((len(lit), lit.shape[1] + 1), dtype=np.int32)
+    np.cumsum(lit, axis=1, out=so_far[:, 1:])
+    return 2 * (so_far[:, past] - so_far[:, first]) > past - first
+
+
 def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS, radius: float = 60.0) -> DataFrame:
     """Tiles in pictures: for each key, runs of rows in which most of its columns are near a colour of the palette.
 
@@ -105,21 +123,14 @@ def detect(frames: DataFrame, palette: dict[str, tuple[int, int, int]] = COLOURS
                 keys, spans, first, past = boards[w]
                 image = picture(raw, h, w)
                 starts, at = row_runs(image)
-                planes = image[starts].astype(np.int32).transpose(2, 0, 1)
-                label, best = np.full((len(starts), w), -1), np.full((len(starts), w), radius * radius)
-                for c, colour in enumerate(colours):
-                    apart = sum(np.square(plane - v) for plane, v in zip(planes, colour, strict=True))
-                    near = (apart < best) | ((apart == best) & (label < 0))
-                    label[near], best[near] = c, apart[near]
+                label = labels(image[starts], colours, radius)
                 whole = label[at]
                 for c, name in enumerate(names):
                     lit = label == c
                     if not lit.any():
                         continue
-                    so_far = np.zeros((len(starts), w + 1), dtype=np.int32)
-                    np.cumsum(lit, axis=1, out=so_far[:, 1:])
                     on = np.zeros((len(keys), h + 2), dtype=bool)  # a row per key, dark at both ends
-                    on[:, 1:-1] = (2 * (so_far[:, past] - so_far[:, first]) > past - first).T[:, at]
+                    on[:, 1:-1] = lit_keys(lit, first, past).T[:, at]
                     key, edge = np.nonzero(on[:, 1:] != on[:, :-1])
                     for k, x, y in zip(key[::2].tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         if _own(whole, c, x, y, *spans[keys[k]], keys[k]):
@@ -231,7 +242,11 @@ def scroll_speeds(frames: DataFrame) -> DataFrame:
     before = {c: F.lag(c).over(order) for c in ("time", "height", "width", "mask")}
     pairs = made.withColumns({f"{c}_before": x for c, x in before.items()}).withColumn("past", F.col("time") - F.col("time_before"))
     pairs = pairs.where("past < 0.3 and mask is not null and mask_before is not null and height = height_before and width = width_before")
-    speeds = pairs.select("clip_id", "past", "height", "width", "mask_before", "mask").mapInArrow(measure, "clip_id long, speed double")
+    return speed_summary(pairs.select("clip_id", "past", "height", "width", "mask_before", "mask").mapInArrow(measure, "clip_id long, speed double"))
+
+
+def speed_summary(speeds: DataFrame) -> DataFrame:
+    """(clip_id, speed, spread, samples) of (clip_id, speed)."""
     per_clip = speeds.groupBy("clip_id").agg(F.median("speed").alias("speed"), F.collect_list("speed").alias("all"), F.count("*").alias("samples"))
     apart = per_clip.select("clip_id", "speed", "samples", F.explode("all").alias("one"))
     return apart.groupBy("clip_id", "speed", "samples").agg(F.median(F.abs(F.col("one") - F.col("speed"))).alias("spread")).select("clip_id", "speed", "spread", "samples")
@@ -277,11 +292,16 @@ def palette(frames: DataFrame, colours: int = 3, seed: int = 5) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 
+    return clustered(frames.mapInArrow(count, "c int, n long"), colours, seed)
+
+
+def clustered(parts: DataFrame, colours: int, seed: int) -> DataFrame:
+    """k-means on counts n of colours c."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     # written down: the fit goes over the counts many times, and drawing or decoding pictures is dear
-    counts = persist_table(frames.mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").cast("double").alias("n")), "colour-counts")
+    counts = persist_table(parts.groupBy("c").agg(F.sum("n").cast("double").alias("n")), "colour-counts")
     part = lambda k: (F.shiftright("c", k).bitwiseAND(31) * 8 + 4).cast("double")
     points = counts.select("n", array_to_vector(F.array(part(10), part(5), part(0))).alias("features"))
     model = KMeans(k=colours, seed=seed, weightCol="n", initSteps=4).fit(points)
