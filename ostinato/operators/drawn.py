@@ -187,6 +187,49 @@ def pictures(batches: Iterator[pa.RecordBatch], behind: int = 0) -> Iterator[Run
         yield Runs(clip[whose], block[whose], which, of, begins, past, row.reshape(-1), drawn_rows(distinct, keys))
 
 
+def _batch(columns: list, schema: dict) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
+
+
+def detect(notes: DataFrame, radius: float = 60.0) -> DataFrame:
+    """``vision.detect`` on the pictures of notes."""
+    schema = {"clip_id": pa.int64(), "frame": pa.int64(), "time": pa.float64(), "pitch": pa.int64(), "hand": pa.string(), "top": pa.float64(), "bottom": pa.float64()}
+    colours = list(v.COLOURS.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, spans, first, past = v._board(v.WIDTH)
+        keys = np.array(keys)
+        black = np.array([k % 12 in BLACK for k in keys])
+        left, right = (np.array(x) for x in zip(*((max(0, a - 1), min(v.WIDTH - 1, b)) for a, b in (spans[k] for k in keys.tolist())), strict=True))
+        for p in pictures(batches):
+            label = v.labels(p.rows, colours, radius)
+            begins, ends, long = p.top == 0, p.past == v.HEIGHT, p.past - p.top
+            for c, hand in enumerate(HANDS):
+                near = label == c
+                lit = v.lit_keys(near, first, past)
+                some = np.flatnonzero(lit.any(axis=0))
+                if not len(some):
+                    continue
+                on = lit.T[some][:, p.row]
+                start, stop = on.copy(), on.copy()
+                start[:, 1:] &= ~on[:, :-1] | begins[1:]
+                stop[:, :-1] &= ~on[:, 1:] | ends[:-1]
+                key, a = np.nonzero(start)
+                b = np.nonzero(stop)[1]
+                own = np.ones(len(a), dtype=bool)
+                for side in (left, right):
+                    # rows of a black key's run over which the colour goes on at a side of it
+                    for k in np.flatnonzero(black[some]):
+                        so_far = np.concatenate([[0], np.cumsum(near[:, side[some[k]]][p.row] * long)])
+                        at = np.flatnonzero(key == k)
+                        own[at] &= ~((so_far[b[at] + 1] - so_far[a[at]]) / (p.past[b[at]] - p.top[a[at]]) > 0.9)
+                key, a, b = key[own], a[own], b[own]
+                of = p.picture[a]
+                yield _batch([p.clip[of], p.frame[of], p.frame[of] / src.FPS, keys[some[key]], np.full(len(a), hand), p.top[a].astype(float), p.past[b].astype(float)], schema)
+
+    return dealt(notes, ["clip_id", "block"]).mapInArrow(run, "clip_id long, frame long, time double, pitch long, hand string, top double, bottom double")
+
+
 def palette(notes: DataFrame, colours: int = 3, seed: int = 5) -> DataFrame:
     """``vision.palette`` of the pictures of notes."""
 

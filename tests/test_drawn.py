@@ -29,7 +29,7 @@ def rendered(notes):
     return v.render(src.tiles(notes))
 
 
-@pytest.mark.parametrize("name", ["colour_palette"])
+@pytest.mark.parametrize("name", ["colour_palette", "detected_tiles"])
 def test_no_picture_leaves_where_it_is_drawn(spark, data, name, monkeypatch):
     def sent(tiles):
         raise AssertionError("pictures of 62,400 bytes each are sent from operator to operator")
@@ -55,3 +55,8 @@ def test_runs_are_the_rows_of_all_pictures(crowd, monkeypatch):
 def test_palette_of_notes_is_that_of_their_pictures(crowd):
     colours = ["pixels", "b", "g", "r"]
     assert sorted(d.palette(crowd).select(colours).collect()) == sorted(v.palette(rendered(crowd)).select(colours).collect())
+
+
+def test_tiles_found_are_those_of_the_pictures(crowd):
+    got, want = (sorted(tuple(r) for r in found.collect()) for found in (d.detect(crowd), v.detect(rendered(crowd))))
+    assert got == want and {p % 12 in d.BLACK for _, _, _, p, *_ in got} == {True, False}
