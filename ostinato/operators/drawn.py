@@ -245,3 +245,46 @@ def palette(notes: DataFrame, colours: int = 3, seed: int = 5) -> DataFrame:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 
     return v.clustered(dealt(notes, ["clip_id", "block"]).mapInArrow(count, "c int, n long"), colours, seed)
+
+
+def median_picture(notes: DataFrame) -> DataFrame:
+    """``vision.median_picture`` of the pictures of notes: greys are counted by pixel, a clip at a time."""
+    greys = sorted({sum(c) // 3 for c in (v.BACKGROUND, *v.COLOURS.values())})
+    values = np.array(greys, np.uint16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        counts = np.zeros((len(greys), v.HEIGHT, v.WIDTH), np.int64)
+
+        def middle() -> pa.RecordBatch:
+            so_far = np.cumsum(counts, axis=0)
+            low, high = (values[(so_far <= k).sum(axis=0)] for k in ((n - 1) // 2, n // 2))
+            grey = ((low + high) // 2).astype(np.uint8)
+            bands = range(-(-v.HEIGHT // v.BAND))
+            return pa.record_batch(
+                [pa.array([now] * len(bands), pa.int64()), pa.array(bands, pa.int32()), pa.array([grey[k * v.BAND : (k + 1) * v.BAND].tobytes() for k in bands], pa.binary())],
+                names=["clip_id", "band", "grey"],
+            )
+
+        for p in pictures(batches):
+            grey = p.rows.sum(axis=2, dtype=np.uint16) // 3
+            at = np.flatnonzero(np.append(True, p.clip[1:] != p.clip[:-1]))
+            for a, b in zip(at, [*at[1:], len(p.clip)], strict=True):
+                if p.clip[a] != now:
+                    if n:
+                        yield middle()
+                    now, n = int(p.clip[a]), 0
+                    counts[:] = 0
+                n += int(b - a)
+                part = slice(*np.searchsorted(p.picture, (a, b)))
+                used, row = np.unique(p.row[part], return_inverse=True)
+                steps = np.zeros((len(used), v.HEIGHT + 1))
+                np.add.at(steps, (row, p.top[part]), 1)
+                np.subtract.at(steps, (row, p.past[part]), 1)
+                shown = np.cumsum(steps, axis=1)[:, : v.HEIGHT].T  # pictures that show the distinct row at each row
+                for k, g in enumerate(greys):
+                    counts[k] += (shown @ (grey[used] == g).astype(float)).astype(np.int64)
+        if n:
+            yield middle()
+
+    return dealt(notes, ["clip_id"]).mapInArrow(run, "clip_id long, band int, grey binary")

@@ -29,7 +29,7 @@ def rendered(notes):
     return v.render(src.tiles(notes))
 
 
-@pytest.mark.parametrize("name", ["colour_palette", "detected_tiles"])
+@pytest.mark.parametrize("name", ["colour_palette", "detected_tiles", "median_pictures"])
 def test_no_picture_leaves_where_it_is_drawn(spark, data, name, monkeypatch):
     def sent(tiles):
         raise AssertionError("pictures of 62,400 bytes each are sent from operator to operator")
@@ -60,3 +60,8 @@ def test_palette_of_notes_is_that_of_their_pictures(crowd):
 def test_tiles_found_are_those_of_the_pictures(crowd):
     got, want = (sorted(tuple(r) for r in found.collect()) for found in (d.detect(crowd), v.detect(rendered(crowd))))
     assert got == want and {p % 12 in d.BLACK for _, _, _, p, *_ in got} == {True, False}
+
+
+def test_medians_are_those_of_the_pictures(crowd):
+    got, want = (sorted(tuple(r) for r in medians.collect()) for medians in (d.median_picture(crowd), v.median_picture(rendered(crowd))))
+    assert got == want and len({bytes(grey) for *_, grey in got}) > 4
