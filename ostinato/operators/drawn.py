@@ -288,3 +288,57 @@ def median_picture(notes: DataFrame) -> DataFrame:
             yield middle()
 
     return dealt(notes, ["clip_id"]).mapInArrow(run, "clip_id long, band int, grey binary")
+
+
+def row_shifts(p: Runs, pairs: np.ndarray) -> np.ndarray:
+    """``vision.row_shift`` of lit pixels between pictures (pairs - 1) and pairs; 0 where no column tells."""
+    lit = p.rows.sum(axis=2, dtype=np.uint16) > 150
+    # columns that are the same in all rows count as often as they stand there
+    columns, weight = np.unique(lit, axis=1, return_counts=True)
+    begins = np.searchsorted(p.picture, np.arange(len(p.clip)))
+    shown = columns[p.row]
+    told = np.logical_or.reduceat(shown, begins) & ~np.logical_and.reduceat(shown, begins)
+    shift = np.zeros(len(pairs))
+    which, column = np.nonzero(told[pairs - 1] & told[pairs])
+    if not len(which):
+        return shift
+    need, at = np.unique(np.concatenate([(pairs[which] - 1) * len(weight) + column, pairs[which] * len(weight) + column]), return_inverse=True)
+    rows = np.repeat(p.row, p.past - p.top).reshape(len(p.clip), v.HEIGHT)
+    profile = columns.T[(need % len(weight))[:, None], rows[need // len(weight)]].astype(float)
+    wave = np.fft.rfft(profile - profile.mean(axis=1, keepdims=True), axis=1, n=2 * v.HEIGHT)
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+    cross = np.add.reduceat(wave[at[: len(which)]].conj() * wave[at[len(which) :]] * weight[column][:, None], first, axis=0)
+    size = np.abs(cross)
+    spread = np.fft.irfft(np.where(size > 1e-9, cross / np.maximum(size, 1e-9), 0), axis=1)
+    top = spread[:, : v.HEIGHT].argmax(axis=1)
+    each = np.arange(len(top))
+    low, mid, high = spread[each, top - 1], spread[each, top], spread[each, (top + 1) % spread.shape[1]]
+    bend = low - 2 * mid + high
+    flat = np.abs(bend) <= 1e-12
+    shift[which[first]] = top + np.where(flat, 0.0, 0.5 * (low - high) / np.where(flat, 1.0, bend))
+    return shift
+
+
+def scroll_speeds(notes: DataFrame) -> DataFrame:
+    """``vision.scroll_speeds`` of the pictures of notes; a block begins with the last picture before it."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pictures(batches, behind=1):
+            time = p.frame / src.FPS
+            past = time[1:] - time[:-1]
+            same = (p.clip[1:] == p.clip[:-1]) & (p.block[1:] == p.block[:-1]) & (past < 0.3)
+            pairs = np.flatnonzero(same) + 1
+            for k in range(0, len(pairs), 512):
+                own = pairs[k : k + 512]
+                speed = row_shifts(_part(p, own[0] - 1, own[-1] + 1), own - own[0] + 1) / past[own - 1]
+                good = (speed > 1) & (speed < 200)
+                yield pa.record_batch([pa.array(p.clip[own[good]], pa.int64()), pa.array(speed[good])], names=["clip_id", "speed"])
+
+    return v.speed_summary(dealt(notes, ["clip_id", "block"], behind=1).mapInArrow(measure, "clip_id long, speed double"))
+
+
+def _part(p: Runs, a: int, b: int) -> Runs:
+    """Pictures from a to before b."""
+    runs = slice(*np.searchsorted(p.picture, (a, b)))
+    used, row = np.unique(p.row[runs], return_inverse=True)
+    return Runs(p.clip[a:b], p.block[a:b], p.frame[a:b], p.picture[runs] - a, p.top[runs], p.past[runs], row, p.rows[used])

@@ -29,7 +29,7 @@ def rendered(notes):
     return v.render(src.tiles(notes))
 
 
-@pytest.mark.parametrize("name", ["colour_palette", "detected_tiles", "median_pictures"])
+@pytest.mark.parametrize("name", ["colour_palette", "detected_tiles", "median_pictures", "scroll_speeds"])
 def test_no_picture_leaves_where_it_is_drawn(spark, data, name, monkeypatch):
     def sent(tiles):
         raise AssertionError("pictures of 62,400 bytes each are sent from operator to operator")
@@ -65,3 +65,9 @@ def test_tiles_found_are_those_of_the_pictures(crowd):
 def test_medians_are_those_of_the_pictures(crowd):
     got, want = (sorted(tuple(r) for r in medians.collect()) for medians in (d.median_picture(crowd), v.median_picture(rendered(crowd))))
     assert got == want and len({bytes(grey) for *_, grey in got}) > 4
+
+
+def test_speeds_are_those_of_the_pictures(crowd):
+    got, want = (sorted(tuple(r) for r in speeds.collect()) for speeds in (d.scroll_speeds(crowd), v.scroll_speeds(rendered(crowd))))
+    assert [(r[0], r[3]) for r in got] == [(r[0], r[3]) for r in want] and len(got) > 2
+    assert np.allclose(np.array(got), np.array(want), rtol=0, atol=1e-9)
